@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spikeloom.llm import piece_codec, quality_rules
+from spikeloom.llm import packing, piece_codec, quality_rules, topk, url_filter
 from spikeloom.llm.common import bounded_batches, table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_exact(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"))
@@ -26,6 +40,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+OP3_SQL = r"""
+WITH p AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), j AS (
+    SELECT *, starts_with(path, '/') AS root, starts_with(path, '/en/') AS en, starts_with(path, '/de/') AS de, starts_with(path, '/fr/') AS fr,
+           '.' || host AS h FROM u
+), r AS (
+    SELECT page_id, host, path,
+           CASE WHEN ends_with(h, '.example.net') AND en THEN 'example.net/en/' WHEN ends_with(h, '.example.com') AND de THEN 'example.com/de/'
+                WHEN ends_with(h, '.org') AND fr THEN 'org/fr/' WHEN ends_with(h, '.net') AND root THEN 'net/' END AS rule FROM j
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP10_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -59,4 +101,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_topk": OP4_SQL, "op10_quality_rules": OP10_SQL}
