@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import packing, piece_codec, quality_rules, topk, url_filter
+from spikeloom.llm import packing, piece_codec, quality_gam, quality_rules, topk, url_filter
 from spikeloom.llm.common import bounded_batches, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return quality_gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"))
