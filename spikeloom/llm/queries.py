@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import packing, pii, piece_codec, quality_gam, quality_rules, topk, url_filter
+from spikeloom.llm import near_dup, packing, pii, piece_codec, quality_gam, quality_rules, topk, url_filter
 from spikeloom.llm.common import bounded_batches, table
 
 
@@ -34,6 +34,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return near_dup.link(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return pii.detect(table(spark, sf_dir, "documents"))
