@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import line_dedup, near_dup, packing, pii, piece_codec, quality_gam, quality_rules, topk, url_filter
+from spikeloom.llm import html_extract, line_dedup, near_dup, packing, pii, piece_codec, quality_gam, quality_rules, topk, url_filter
 from spikeloom.llm.common import bounded_batches, table
 
 
@@ -44,6 +44,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
