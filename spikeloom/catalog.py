@@ -1,11 +1,657 @@
-"""The registered spike-train queries with their SQL twins."""
+"""The registered spike-train queries with their SQL twins.
+
+The driver's tables stand in for recordings: `events` gives spike times and labels (a recording an
+event type), `embeddings` joined to them gives waveforms, and `lineitem` gives volume and ties.
+Intervals there are seconds to minutes, so thresholds are scaled; defaults stay the reference ones.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spikeloom.jobs import recluster, sorting
+from spikeloom.operators import align, curate, features, metrics, model, windows
+from spikeloom.operators.model import RECORDING
+from spikeloom.sources import io
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+REFRACTORY, HIGH, DT = 60.0, 3600.0, 86400.0
+
+EV = """ev AS (SELECT event_type AS recording_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS time, event_id,
+  user_id % 10 AS label, user_id AS sub_label, value FROM events),
+sp AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY time, event_id) - 1 AS spike_id FROM ev)"""
+WF = EV + """, wf AS (SELECT recording_id, spike_id, time, e.label::BIGINT AS label, spike_id // 20 AS sub_label, embedding::DOUBLE[] AS waveform
+  FROM sp JOIN embeddings e ON e.vec_id = sp.event_id),
+px AS (SELECT recording_id, label, sub_label, spike_id, pos, waveform[pos + 1] AS x FROM wf, (SELECT unnest(generate_series(0, 63)) AS pos) WHERE pos < len(waveform))"""
+ST = """, st AS (SELECT 'train' AS recording_id, CASE event_type WHEN 'purchase' THEN 'playback' ELSE 'live' END AS category, event_id AS stim_id, time AS start_time
+  FROM (SELECT event_type, event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS time FROM events) WHERE event_type IN ('purchase', 'signup')),
+tr AS (SELECT 'train' AS recording_id, event_id AS spike_id, label, time FROM ev WHERE recording_id NOT IN ('purchase', 'signup'))"""
+ISI = EV + ", i AS (SELECT *, time - lag(time) OVER (PARTITION BY recording_id, label ORDER BY time, spike_id) AS isi FROM sp)"
+MERGED = EV + """, m AS (SELECT * FROM (SELECT *, time - lag(time) OVER w AS isi, lag(label) OVER w <> label AS across FROM sp
+  WINDOW w AS (PARTITION BY recording_id ORDER BY time, spike_id)) WHERE isi IS NOT NULL)"""
+
+
+def spikes_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times as spikes: recording by event type, unit by user."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_type").alias(RECORDING),
+        (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)") / 1e6).alias("time"),
+        "event_id", (F.col("user_id") % 10).alias("label"), F.col("user_id").alias("sub_label"), "value",
+    )
+    return model.spike_table(rows, "event_id")
+
+
+def spikes_wf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as waveforms of the events with the same id; sub-clusters are runs of 20 spikes."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("event_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("waveform"))
+    spikes = spikes_ev(spark, sf_dir).select(RECORDING, "spike_id", "time", "event_id")
+    return spikes.join(vectors, "event_id").select(RECORDING, "spike_id", "time", "label", F.floor(F.col("spike_id") / 20).alias("sub_label"), "waveform")
+
+
+def stimuli_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    category = F.when(F.col(RECORDING) == "purchase", "playback").otherwise("live")
+    return spikes_ev(spark, sf_dir).filter(F.col(RECORDING).isin("purchase", "signup")).select(F.lit("train").alias(RECORDING), category.alias("category"), F.col("event_id").alias("stim_id"), F.col("time").alias("start_time"))
+
+
+def train_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes_ev(spark, sf_dir).filter(~F.col(RECORDING).isin("purchase", "signup")).select(F.lit("train").alias(RECORDING), F.col("event_id").alias("spike_id"), "label", "time")
+
+
+def spikes_li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as spikes: many ties in time, a recording a supplier."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_suppkey").cast("string").alias(RECORDING),
+        (F.expr("timestampdiff(SECOND, timestamp_ntz'1992-01-01 00:00:00', l_shipdate)")).cast("double").alias("time"),
+        "l_orderkey", "l_linenumber", F.col("l_linenumber").alias("label"), F.col("l_extendedprice").alias("value"),
+    )
+    return model.spike_table(rows, "l_orderkey", "l_linenumber")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def _labels(df: DataFrame, condition: Column) -> DataFrame:
+    return df.select(RECORDING, "label").distinct().filter(condition)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes_ev(spark, sf_dir).select(RECORDING, "spike_id", "time", "label")
+
+
+# -- quality, the flagship
+
+
+@query("unit_quality", ISI + """SELECT recording_id, label, count(*) AS n, round(count(*) / (max(time) - min(time)), 9) AS rate,
+  round(count(*) FILTER (isi < 60.0) / count(isi), 6) AS violation_rate, round(1 - exp(-(count(*) / (max(time) - min(time))) * 60.0), 6) AS chance
+  FROM i GROUP BY ALL""")
+def unit_quality(spark, sf):
+    return rounded(rounded(metrics.violations(spikes_ev(spark, sf), REFRACTORY), "violation_rate", "chance"), "rate", digits=9)
+
+
+# -- sources
+
+
+@query("s1_load_spikes", f"WITH {WF} SELECT recording_id, count(*) AS n, min(len(waveform)) AS samples, round(sum(time), 3) AS times FROM wf GROUP BY 1")
+def s1(spark, sf):
+    return spikes_wf(spark, sf).groupBy(RECORDING).agg(F.count("*").alias("n"), F.min(F.size("waveform")).cast("long").alias("samples"), F.round(F.sum("time"), 3).alias("times"))
+
+
+@query("s4_nested_stimuli", f"WITH {EV}{ST} SELECT recording_id, category, round(start_time, 6) AS start_time FROM st")
+def s4(spark, sf):
+    s = stimuli_ev(spark, sf)
+    nested = s.groupBy(RECORDING, F.floor(F.col("start_time") / DT).alias("day")).agg(*[F.filter(F.collect_list(F.when(F.col("category") == c, F.struct("start_time"))), lambda x: x.isNotNull()).alias(c) for c in ("playback", "live")])
+    return rounded(io.stimuli_of_records(nested), "start_time")
+
+
+# -- construction and properties
+
+
+@query("d1_spike_table", f"WITH {EV} SELECT recording_id, spike_id, time, label FROM sp")
+def d1(spark, sf):
+    return spikes_ev(spark, sf).select(RECORDING, "spike_id", "time", "label")
+
+
+@query("d1_spike_table_ties", """SELECT l_suppkey::VARCHAR AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS spike_id,
+  date_diff('second', TIMESTAMP '1992-01-01', l_shipdate)::DOUBLE AS time, l_linenumber::BIGINT AS label FROM lineitem""")
+def d1_ties(spark, sf):
+    return spikes_li(spark, sf).select(RECORDING, "spike_id", "time", "label")
+
+
+@query("d1_spike_table_ranged", f"WITH {EV} SELECT recording_id, spike_id, time, label FROM sp")
+def d1_ranged(spark, sf):
+    rows = spikes_ev(spark, sf).select(RECORDING, "time", "event_id", "label")
+    return model.spike_table_ranged(rows, 8, "event_id").select(RECORDING, "spike_id", "time", "label")
+
+
+@query("d2_timed_table", f"WITH {EV} SELECT recording_id, spike_id::INT AS id, time, value::FLOAT::DOUBLE AS value FROM sp")
+def d2(spark, sf):
+    return model.timed_table(spikes_ev(spark, sf), {"value": "float"}, "event_id").withColumn("value", F.col("value").cast("double"))
+
+
+@query("d3_leaf_counts", f"WITH {EV} SELECT recording_id, label, count(DISTINCT sub_label) AS n_sub, count(*) AS n FROM sp GROUP BY 1, 2")
+def d3(spark, sf):
+    return model.leaf_counts(spikes_ev(spark, sf))
+
+
+@query("d4_weights", f"WITH {EV} SELECT recording_id, label, sub_label, count(*)::DOUBLE AS weight FROM sp GROUP BY 1, 2, 3")
+def d4(spark, sf):
+    return model.weights(spikes_ev(spark, sf))
+
+
+def _long(df: DataFrame, vector: str = "centroid", into: str = "x") -> DataFrame:
+    keys = [c for c in (RECORDING, "label", "sub_label", "spike_id") if c in df.columns]
+    return df.select(*keys, F.posexplode(vector).alias("pos", into)).withColumn("pos", F.col("pos").cast("long")).withColumn(into, F.round(into, 6))
+
+
+@query("d5_leaf_centroids", f"WITH {WF} SELECT recording_id, label, sub_label, pos, round(avg(x), 6) AS x FROM px GROUP BY 1, 2, 3, 4")
+def d5(spark, sf):
+    return _long(model.vector_mean(spikes_wf(spark, sf), [RECORDING, "label", "sub_label"]))
+
+
+D6 = WF + ", ctr AS (SELECT recording_id, label, pos, avg(m) AS mean FROM (SELECT recording_id, label, sub_label, pos, avg(x) AS m FROM px GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)"
+
+
+@query("d6_hierarchy_centroids", f"WITH {D6} SELECT recording_id, label, pos, round(mean, 6) AS x FROM ctr")
+def d6(spark, sf):
+    return _long(model.hierarchy_centroids(spikes_wf(spark, sf)))
+
+
+D7 = EV + """, sub AS (SELECT recording_id, label, sub_label, count(*) AS n, median(time) AS t FROM sp GROUP BY 1, 2, 3),
+cl AS (SELECT recording_id, label, median(t) AS med_time, sum(n)::BIGINT AS n, count(*) AS n_sub FROM sub GROUP BY 1, 2),
+lf AS (SELECT recording_id, label, median(time) AS leaf_time FROM sp GROUP BY 1, 2),
+nd AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY med_time, label) - 1 AS node_id FROM cl)"""
+
+
+@query("d7_cluster_times", f"WITH {D7} SELECT recording_id, label, round(med_time, 3) AS med_time, n, n_sub, round(leaf_time, 3) AS leaf_time FROM cl JOIN lf USING (recording_id, label)")
+def d7(spark, sf):
+    return rounded(model.cluster_times(spikes_ev(spark, sf)), "med_time", "leaf_time", digits=3)
+
+
+@query("d8_ordered_clusters", f"WITH {D7} SELECT recording_id, label, round(med_time, 3) AS med_time, node_id FROM nd")
+def d8(spark, sf):
+    return rounded(model.ordered_clusters(model.cluster_times(spikes_ev(spark, sf))).select(RECORDING, "label", "med_time", "node_id"), "med_time", digits=3)
+
+
+@query("d9_labeled_nodes", f"WITH {D7} SELECT recording_id, node_id, label FROM nd")
+def d9(spark, sf):
+    return model.labeled_nodes(spikes_ev(spark, sf))
+
+
+@query("d10_lineage", f"WITH {D7} SELECT c.recording_id, c.label, c.n, c.label // 2 AS source_label, s.n AS source_n FROM cl c LEFT JOIN cl s ON s.recording_id = c.recording_id AND s.label = c.label // 2")
+def d10(spark, sf):
+    clusters = model.cluster_times(spikes_ev(spark, sf)).select(RECORDING, "label", "n")
+    derived = clusters.select(RECORDING, "label", F.floor(F.col("label") / 2).alias("source_label"))
+    return model.lineage(clusters, derived).select(RECORDING, "label", "n", "source_label", "source_n")
+
+
+# -- selections
+
+
+@query("f1_select_mask", f"WITH {EV} SELECT recording_id, spike_id, value FROM sp WHERE value > 50")
+def f1(spark, sf):
+    return model.select_where(spikes_ev(spark, sf), F.col("value") > 50).select(RECORDING, "spike_id", "value")
+
+
+@query("f2_select_positions", f"WITH {EV} SELECT recording_id, spike_id, time FROM sp WHERE spike_id IN (SELECT o_custkey FROM orders)")
+def f2(spark, sf):
+    spikes = spikes_ev(spark, sf)
+    positions = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("spike_id")).distinct()
+    return model.select_positions(spikes, positions.join(spikes.select(RECORDING).distinct())).select(RECORDING, "spike_id", "time")
+
+
+@query("f3_select_clusters", f"WITH {D7} SELECT recording_id, spike_id, label, node AS node_id FROM sp JOIN (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY med_time, label) - 1 AS node FROM cl WHERE label % 3 = 0) USING (recording_id, label)")
+def f3(spark, sf):
+    spikes = spikes_ev(spark, sf)
+    return model.select_clusters(spikes, _labels(spikes, F.col("label") % 3 == 0)).select(RECORDING, "spike_id", "label", "node_id")
+
+
+@query("f4_split_mask", f"WITH {EV} SELECT recording_id, coalesce(value > 50, false) AS side, count(*) AS n FROM sp GROUP BY 1, 2")
+def f4(spark, sf):
+    return model.split_where(spikes_ev(spark, sf), F.col("value") > 50).groupBy(RECORDING, "side").agg(F.count("*").alias("n"))
+
+
+@query("f5_time_split", f"WITH {EV} SELECT recording_id, label, sub_label, time >= 86400 AND time < 864000 AS within, count(*) AS n, round(median(time), 3) AS med_time FROM sp GROUP BY 1, 2, 3, 4")
+def f5(spark, sf):
+    return rounded(model.time_split(spikes_ev(spark, sf), 86400.0, 864000.0), "med_time", digits=3)
+
+
+@query("f6_match_several", f"WITH {D7} SELECT recording_id, label, node_id, node_id IN (0, 2) AS matched FROM nd")
+def f6(spark, sf):
+    return model.match_several(model.labeled_nodes(spikes_ev(spark, sf)), nodes=[0, 2]).select(RECORDING, "label", "node_id", "matched")
+
+
+@query("f7_match_one", f"WITH {D7} SELECT recording_id, label, node_id FROM nd WHERE node_id = 1")
+def f7(spark, sf):
+    return model.match_one(model.labeled_nodes(spikes_ev(spark, sf)), F.col("node_id") == 1).select(RECORDING, "label", "node_id")
+
+
+@query("f8_every_kth", f"WITH {EV} SELECT recording_id, spike_id FROM sp JOIN (SELECT recording_id, greatest(1, count(*) // 100) AS k FROM sp GROUP BY 1) USING (recording_id) WHERE spike_id % k = 0")
+def f8(spark, sf):
+    return model.every_kth(spikes_ev(spark, sf), 100).select(RECORDING, "spike_id")
+
+
+@query("f9_cluster_sample")
+def f9(spark, sf):
+    return model.every_kth_of_cluster(spikes_ev(spark, sf), 20).select(RECORDING, "label", "spike_id")
+
+
+@query("f10_toggled_labels", f"WITH {EV}, l AS (SELECT DISTINCT recording_id, label FROM sp) SELECT recording_id, label FROM l WHERE (label % 2 = 0) <> (label % 3 = 0)")
+def f10(spark, sf):
+    spikes = spikes_ev(spark, sf)
+    return model.toggled(_labels(spikes, F.col("label") % 2 == 0), _labels(spikes, F.col("label") % 3 == 0))
+
+
+# -- windows
+
+
+@query("w1_duration_windows", f"""WITH {EV}, n AS (SELECT recording_id, unnest(generate_series(0, ceil(max(time) / 86400.0)::BIGINT - 1)) AS window_idx FROM sp GROUP BY 1)
+SELECT n.recording_id, n.window_idx, n.window_idx * 86400.0::DOUBLE AS start, n.window_idx * 86400.0::DOUBLE + 86400.0::DOUBLE AS stop, count(sp.time) AS n
+FROM n LEFT JOIN sp ON sp.recording_id = n.recording_id AND sp.time >= n.window_idx * 86400.0::DOUBLE AND sp.time < n.window_idx * 86400.0::DOUBLE + 86400.0::DOUBLE GROUP BY 1, 2""")
+def w1(spark, sf):
+    return windows.duration_windows(spikes_ev(spark, sf), DT)
+
+
+@query("w2_row_windows", f"WITH {EV} SELECT recording_id, spike_id // 100 AS window_idx, min(spike_id) AS first, max(spike_id) + 1 AS stop, min(time) AS t_first, max(time) AS t_last FROM sp GROUP BY 1, 2")
+def w2(spark, sf):
+    return windows.row_windows(spikes_ev(spark, sf), 100)
+
+
+@query("w3_processing_windows", """WITH sp AS (SELECT l_suppkey::VARCHAR AS recording_id, date_diff('second', TIMESTAMP '1992-01-01', l_shipdate)::DOUBLE AS time, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS spike_id FROM lineitem)
+SELECT recording_id, spike_id // 2000 AS window_idx, min(spike_id) AS first, max(spike_id) + 1 AS stop, min(time) AS t_first, max(time) AS t_last FROM sp GROUP BY 1, 2""")
+def w3(spark, sf):
+    return windows.row_windows(spikes_li(spark, sf))
+
+
+@query("w4_trailing_windows", f"""WITH {EV}, f AS (SELECT recording_id, ceil(max(time) / 86400.0)::BIGINT AS frames FROM sp GROUP BY 1),
+h AS (SELECT recording_id, floor(time / 86400.0)::BIGINT AS w, label, count(*) AS n FROM sp GROUP BY 1, 2, 3)
+SELECT recording_id, w + lag AS frame, lag::INT AS lag, label, n FROM h JOIN f USING (recording_id), (SELECT unnest([0, 1, 2]) AS lag) WHERE w < frames AND w + lag < frames""")
+def w4(spark, sf):
+    return windows.trailing_windows(spikes_ev(spark, sf), DT, 3)
+
+
+@query("w5_intervals", f"WITH {ISI} SELECT recording_id, label, spike_id, round(isi, 6) AS isi FROM i")
+def w5(spark, sf):
+    return rounded(windows.intervals(spikes_ev(spark, sf)).select(RECORDING, "label", "spike_id", "isi"), "isi")
+
+
+@query("w6_marked_intervals", f"WITH {MERGED} SELECT recording_id, spike_id, round(isi, 6) AS isi, across FROM m")
+def w6(spark, sf):
+    return rounded(windows.marked_intervals(spikes_ev(spark, sf)).select(RECORDING, "spike_id", "isi", "across"), "isi")
+
+
+# -- hierarchy
+
+
+@query("h1_cluster", f"WITH {D7} SELECT recording_id, label, n, round(leaf_time, 3) AS med_time, row_number() OVER (PARTITION BY recording_id ORDER BY leaf_time, label) - 1 AS node_id FROM cl JOIN lf USING (recording_id, label)")
+def h1(spark, sf):
+    return rounded(model.cluster(spikes_ev(spark, sf)), "med_time", digits=3)
+
+
+@query("h2_flatten", f"WITH {D7} SELECT recording_id, label, sub_label, n, round(t, 3) AS med_time, row_number() OVER (PARTITION BY recording_id, label ORDER BY t, sub_label) - 1 AS position FROM sub")
+def h2(spark, sf):
+    return rounded(model.flatten_once(spikes_ev(spark, sf)), "med_time", digits=3)
+
+
+@query("h3_window_hierarchy", f"""WITH {EV}, w AS (SELECT recording_id, spike_id, spike_id // 100 AS window_idx, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM sp),
+d AS (SELECT recording_id, window_idx, label, row_number() OVER (PARTITION BY recording_id ORDER BY window_idx, label) - 1 AS r FROM (SELECT DISTINCT recording_id, window_idx, label FROM w))
+SELECT recording_id, spike_id, window_idx, label, CASE WHEN label = -1 THEN -1 ELSE r END AS sub_label FROM w JOIN d USING (recording_id, window_idx, label)""")
+def h3(spark, sf):
+    spikes = spikes_ev(spark, sf).withColumn("label", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    return model.window_hierarchy(spikes, 100).select(RECORDING, "spike_id", "window_idx", "label", "sub_label")
+
+
+@query("h4_appended_labels", f"""WITH {EV} SELECT recording_id, g AS "group", top + row_number() OVER (PARTITION BY recording_id ORDER BY g) AS label
+FROM (SELECT DISTINCT recording_id, sub_label % 7 AS g FROM sp) JOIN (SELECT recording_id, max(label) AS top FROM sp GROUP BY 1) USING (recording_id)""")
+def h4(spark, sf):
+    spikes = spikes_ev(spark, sf)
+    return model.appended(spikes, spikes.select(RECORDING, (F.col("sub_label") % 7).alias("group")))
+
+
+# -- edits
+
+
+@query("e1_add_clusters", f"""WITH {EV}, b AS (SELECT recording_id, spike_id, time, label FROM sp WHERE label < 5), a AS (SELECT *, sub_label % 3 AS part FROM sp WHERE label >= 5),
+r AS (SELECT recording_id, part, row_number() OVER (PARTITION BY recording_id ORDER BY median(time), part) AS k FROM a GROUP BY 1, 2), t AS (SELECT recording_id, max(label) AS top FROM b GROUP BY 1)
+SELECT recording_id, spike_id, label FROM b UNION ALL SELECT recording_id, spike_id, coalesce(top, 0) + k FROM a JOIN r USING (recording_id, part) LEFT JOIN t USING (recording_id)""")
+def e1(spark, sf):
+    spikes = spikes_ev(spark, sf)
+    base = spikes.filter("label < 5").select(RECORDING, "spike_id", "time", "label")
+    return curate.add_clusters(base, spikes.filter("label >= 5").select(RECORDING, "spike_id", "time", (F.col("sub_label") % 3).alias("part"))).drop("time")
+
+
+@query("e2_delete_clusters", f"WITH {EV} SELECT recording_id, label, count(*) AS n FROM sp WHERE label NOT IN (1, 3) GROUP BY 1, 2")
+def e2(spark, sf):
+    a = _assigned(spark, sf)
+    return curate.delete_clusters(a, _labels(a, F.col("label").isin(1, 3))).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
+
+
+@query("e3_merge_clusters", f"WITH {EV}, t AS (SELECT recording_id, max(label) FILTER (label NOT IN (2, 9)) + 1 AS new FROM sp GROUP BY 1) SELECT recording_id, spike_id, CASE WHEN label IN (2, 9) THEN new ELSE label END AS label FROM sp JOIN t USING (recording_id)")
+def e3(spark, sf):
+    a = _assigned(spark, sf)
+    return curate.merge_clusters(a, _labels(a, F.col("label").isin(2, 9))).select(RECORDING, "spike_id", "label")
+
+
+@query("e4_keep_clusters", f"WITH {EV} SELECT recording_id, label, count(*) AS n FROM sp WHERE label IN (1, 3) GROUP BY 1, 2")
+def e4(spark, sf):
+    a = _assigned(spark, sf)
+    return curate.keep_clusters(a, _labels(a, F.col("label").isin(1, 3))).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
+
+
+@query("e5_hide_and_reveal", f"""WITH {EV}, h AS (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY median(time), label) AS k FROM sp WHERE label IN (0, 4) GROUP BY 1, 2),
+t AS (SELECT recording_id, max(label) AS top FROM sp WHERE label NOT IN (0, 4) GROUP BY 1)
+SELECT recording_id, spike_id, CASE WHEN h.k IS NULL THEN sp.label ELSE top + h.k END AS label FROM sp LEFT JOIN h USING (recording_id, label) JOIN t USING (recording_id)""")
+def e5(spark, sf):
+    a = _assigned(spark, sf)
+    return curate.hide_and_reveal(a, _labels(a, F.col("label").isin(0, 4))).select(RECORDING, "spike_id", "label")
+
+
+@query("e6_changed_labels", f"WITH {EV}, t AS (SELECT recording_id, max(label) FILTER (label NOT IN (2, 5)) + 1 AS new FROM sp GROUP BY 1) SELECT DISTINCT recording_id, label FROM sp WHERE label IN (2, 5) UNION SELECT recording_id, new FROM t")
+def e6(spark, sf):
+    a = _assigned(spark, sf)
+    return curate.changed_labels(a, curate.merge_clusters(a, _labels(a, F.col("label").isin(2, 5))))
+
+
+@query("e7_replayed_edits")
+def e7(spark, sf):
+    a = _assigned(spark, sf)
+    log = a.select(RECORDING).distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("action"), F.array(*[F.lit(x).cast("long") for x in v]).cast("array<bigint>").alias("labels")) for i, (k, v) in enumerate([("merge", [1, 2]), ("delete", [3]), ("undo", []), ("hide", [4]), ("reveal", [])])])))
+    return curate.replay(a, log.select(RECORDING, "e.*")).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
+
+
+@query("e8_tags", f"""WITH {EV}, l AS (SELECT DISTINCT recording_id, label FROM sp), g AS (SELECT recording_id, label, 'SINGLEUNIT' AS tag FROM l WHERE label % 2 = 0 UNION ALL SELECT recording_id, label, 'NOISY' FROM l WHERE label % 3 = 0 AND label <> 6)
+SELECT recording_id, label, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags FROM l LEFT JOIN g USING (recording_id, label) GROUP BY 1, 2""")
+def e8(spark, sf):
+    a = _assigned(spark, sf)
+    tagged = lambda cond, tag: _labels(a, cond).withColumn("tag", F.lit(tag))
+    tags = curate.add_tags(tagged(F.col("label") % 2 == 0, "SINGLEUNIT"), tagged(F.col("label") % 3 == 0, "NOISY"))
+    return curate.tag_sets(a, curate.remove_tags(tags, tagged(F.col("label") == 6, "NOISY")))
+
+
+def _subs(spark, sf):
+    return model.sub_clusters(spikes_wf(spark, sf))
+
+
+@query("e9_recluster_shape")
+def e9(spark, sf):
+    return recluster.by_shape(_subs(spark, sf))
+
+
+@query("e10_recluster_time")
+def e10(spark, sf):
+    return recluster.by_time(_subs(spark, sf))
+
+
+@query("e11_recluster_noise")
+def e11(spark, sf):
+    return recluster.by_noise(_subs(spark, sf))
+
+
+@query("e12_cleaned_assignments")
+def e12(spark, sf):
+    return recluster.cleaned_assignments(_subs(spark, sf))
+
+
+# -- metrics
+
+
+@query("q1_firing_rates", f"WITH {EV} SELECT recording_id, label, count(*) AS n, round(count(*) / (max(time) - min(time)), 9) AS rate FROM sp GROUP BY 1, 2")
+def q1(spark, sf):
+    return rounded(metrics.firing_rates(spikes_ev(spark, sf)), "rate", digits=9)
+
+
+BAND = D6 + ", sd AS (SELECT recording_id, label, pos, stddev_pop(x) AS std FROM px GROUP BY 1, 2, 3), band AS (SELECT * FROM ctr JOIN sd USING (recording_id, label, pos))"
+
+
+@query("q2_waveform_band", f"WITH {BAND} SELECT recording_id, label, pos, round(mean, 6) AS mean, round(std, 6) AS std FROM band")
+def q2(spark, sf):
+    return rounded(metrics.waveform_band(spikes_wf(spark, sf)).withColumn("pos", F.col("pos").cast("long")), "mean", "std")
+
+
+@query("q3_q4_signal_to_noise", f"WITH {BAND} SELECT recording_id, label, round(CASE WHEN avg(std) <> 0 THEN (max(mean) - min(mean)) / avg(std) END, 6) AS snr, round(max(mean) FILTER (pos = 32), 6) AS amplitude FROM band GROUP BY 1, 2")
+def q3(spark, sf):
+    return rounded(metrics.signal_to_noise(spikes_wf(spark, sf)), "snr", "amplitude")
+
+
+@query("q5_q7_violations_default", f"WITH {ISI} SELECT recording_id, label, count(*) AS n, round(count(*) FILTER (isi < 0.001) / count(isi), 6) AS violation_rate, round(1 - exp(-(count(*) / (max(time) - min(time))) * 0.001), 9) AS chance FROM i GROUP BY 1, 2")
+def q5(spark, sf):
+    return rounded(rounded(metrics.violations(spikes_ev(spark, sf)).drop("rate"), "violation_rate"), "chance", digits=9)
+
+
+@query("q6_across_violations", f"WITH {MERGED} SELECT recording_id, count(*) AS n_across, round(count(*) FILTER (isi < 60.0) / count(*), 6) AS violation_rate FROM m WHERE across GROUP BY 1")
+def q6(spark, sf):
+    return rounded(metrics.across_violations(spikes_ev(spark, sf), REFRACTORY), "violation_rate")
+
+
+@query("q8_isi_histogram", f"""WITH {ISI}, b AS (SELECT recording_id, label, least(floor(isi * 30 / 3600.0), 29)::BIGINT AS bin, count(*) AS n FROM i WHERE isi BETWEEN 0 AND 3600.0 GROUP BY 1, 2, 3),
+t AS (SELECT recording_id, label, sum(n) AS total FROM b GROUP BY 1, 2), s AS (SELECT recording_id, label, unnest(generate_series(0, 29)) AS bin FROM (SELECT DISTINCT recording_id, label FROM sp))
+SELECT recording_id, label, bin, coalesce(n, 0) AS n, round(coalesce(n, 0) / total / 120.0, 9) AS density FROM s LEFT JOIN b USING (recording_id, label, bin) LEFT JOIN t USING (recording_id, label)""")
+def q8(spark, sf):
+    return rounded(metrics.isi_histogram(spikes_ev(spark, sf), HIGH), "density", digits=9)
+
+
+@query("q9_stacked_histogram", f"""WITH {MERGED}, b AS (SELECT recording_id, least(floor(isi * 30 / 3600.0), 29)::BIGINT AS bin, count(*) FILTER (across) AS a, count(*) FILTER (NOT across) AS w FROM m WHERE isi BETWEEN 0 AND 3600.0 GROUP BY 1, 2),
+t AS (SELECT recording_id, sum(a + w) AS total FROM b GROUP BY 1), s AS (SELECT recording_id, unnest(generate_series(0, 29)) AS bin FROM (SELECT DISTINCT recording_id FROM sp))
+SELECT recording_id, bin, round(coalesce(a, 0) / total / 120.0, 9) AS density_across, round(coalesce(w, 0) / total / 120.0, 9) AS density_within FROM s LEFT JOIN b USING (recording_id, bin) LEFT JOIN t USING (recording_id)""")
+def q9(spark, sf):
+    return rounded(metrics.stacked_histogram(spikes_ev(spark, sf), HIGH), "density_across", "density_within", digits=9)
+
+
+@query("q10_q11_interval_fits")
+def q10(spark, sf):
+    return recluster.interval_fits(spikes_ev(spark, sf), HIGH * 24, skip=HIGH, short=REFRACTORY)
+
+
+@query("q12_cluster_cards", f"WITH {EV} SELECT recording_id, label, count(*) AS n, count(DISTINCT sub_label) AS n_sub FROM sp GROUP BY 1, 2")
+def q12(spark, sf):
+    return metrics.cluster_cards(spikes_ev(spark, sf)).orderBy(RECORDING, F.desc("label"))
+
+
+@query("q13_centroid_extent", f"WITH {D6} SELECT recording_id, round(min(mean), 6) AS low, round(max(mean), 6) AS high FROM ctr GROUP BY 1")
+def q13(spark, sf):
+    return rounded(metrics.centroid_extent(spikes_wf(spark, sf)), "low", "high")
+
+
+@query("q14_projection_histogram", f"""WITH {EV}, e AS (SELECT recording_id, min(value) AS lo, max(value) AS hi FROM sp GROUP BY 1)
+SELECT recording_id, label, least(floor((value - lo) * 100 / (hi - lo)), 99)::BIGINT AS bin, count(*) AS n FROM sp JOIN e USING (recording_id) GROUP BY 1, 2, 3""")
+def q14(spark, sf):
+    return metrics.projection_histogram(spikes_ev(spark, sf), "value")
+
+
+@query("q15_recording_extent", f"WITH {EV} SELECT recording_id, min(time) AS t_first, max(time) AS t_last, round(max(abs(value)) * 1.2, 6) AS \"limit\" FROM sp GROUP BY 1")
+def q15(spark, sf):
+    return rounded(metrics.recording_extent(spikes_ev(spark, sf), "value"), "limit")
+
+
+# -- stimuli
+
+
+@query("a1_align", f"WITH {EV}{ST} SELECT st.stim_id, st.category, tr.spike_id, tr.label, round(tr.time - st.start_time, 6) AS rel_time FROM st LEFT JOIN tr ON tr.time >= st.start_time - 60.0 AND tr.time < st.start_time + 60.0")
+def a1(spark, sf):
+    return rounded(align.align(train_ev(spark, sf), stimuli_ev(spark, sf), -60.0, 60.0).select("stim_id", "category", "spike_id", "label", "rel_time"), "rel_time")
+
+
+KEPT = EV + ST + ", x AS (SELECT recording_id, label, min(time) AS t0, max(time) AS t1 FROM tr GROUP BY 1, 2), kept AS (SELECT x.label, st.* FROM st JOIN x USING (recording_id) WHERE t0 <= start_time AND start_time < t1)"
+
+
+@query("a2_kept_stimuli", f"WITH {KEPT} SELECT label, category, count(*) AS n FROM kept GROUP BY 1, 2")
+def a2(spark, sf):
+    return align.kept_stimuli(train_ev(spark, sf), stimuli_ev(spark, sf)).groupBy("label", "category").agg(F.count("*").alias("n"))
+
+
+def _psth_sql(by: str) -> str:
+    return f"""WITH {KEPT}, n AS (SELECT label{by}, count(*) AS n_stim FROM kept GROUP BY ALL),
+h AS (SELECT kept.label{by}, least(floor((time - start_time) * 20 / 3600.0), 19)::BIGINT AS bin, count(*) AS c FROM kept JOIN tr ON tr.label = kept.label AND tr.time >= start_time - 3600.0 AND tr.time < start_time + 3600.0 AND tr.time - start_time BETWEEN 0 AND 3600.0 GROUP BY ALL),
+s AS (SELECT *, unnest(generate_series(0, 19)) AS bin FROM n)
+SELECT label{by}, bin, n_stim, round(coalesce(c, 0) / n_stim, 6) AS per_trial FROM s LEFT JOIN h USING (label, bin{by})"""
+
+
+@query("a3_psth", _psth_sql(""))
+def a3(spark, sf):
+    return rounded(align.psth(train_ev(spark, sf), stimuli_ev(spark, sf), high=HIGH).drop(RECORDING), "per_trial")
+
+
+@query("a4_psth_by_category", _psth_sql(", category"))
+def a4(spark, sf):
+    return rounded(align.psth(train_ev(spark, sf), stimuli_ev(spark, sf), ("category",), high=HIGH).drop(RECORDING), "per_trial")
+
+
+# -- features
+
+
+@query("m1_principal_scores")
+def m1(spark, sf):
+    return features.principal_scores(spikes_wf(spark, sf), 3).select(RECORDING, "spike_id", "pcs")
+
+
+@query("m2_whitened_scores")
+def m2(spark, sf):
+    return features.principal_scores(spikes_wf(spark, sf), 3, whiten=True).select(RECORDING, "spike_id", "pcs")
+
+
+@query("m3_vector_zscores", f"""WITH {WF}, m AS (SELECT recording_id, pos, avg(x) AS m, stddev_pop(x) AS s FROM px GROUP BY 1, 2)
+SELECT recording_id, spike_id, pos, round(CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END, 6) AS z FROM px JOIN m USING (recording_id, pos)""")
+def m3(spark, sf):
+    return _long(features.vector_zscores(spikes_wf(spark, sf)), "z", "z")
+
+
+@query("m4_time_feature", f"WITH {EV} SELECT recording_id, spike_id, round(time / 7200.0 - avg(time / 7200.0) OVER (PARTITION BY recording_id), 6) AS t FROM sp")
+def m4(spark, sf):
+    return rounded(features.time_feature(spikes_ev(spark, sf)).select(RECORDING, "spike_id", "t"), "t")
+
+
+@query("m5_feature_matrix")
+def m5(spark, sf):
+    return features.feature_matrix(spikes_wf(spark, sf), 4).select(RECORDING, "spike_id", "features")
+
+
+@query("m6_pca_time")
+def m6(spark, sf):
+    return features.pca_time(spikes_wf(spark, sf), k=4).select(RECORDING, "spike_id", "pcs")
+
+
+@query("m7_discriminant_axis")
+def m7(spark, sf):
+    stats = features.group_statistics(spikes_wf(spark, sf), [RECORDING, "label"])
+    a = stats.select(RECORDING, F.col("label").alias("a"), F.col("mean").alias("mean_a"), F.col("scatter").alias("scatter_a"))
+    b = stats.select(RECORDING, (F.col("label") - 1).alias("a"), F.col("mean").alias("mean_b"), F.col("scatter").alias("scatter_b"))
+    return features.discriminant_axis(a.join(b, [RECORDING, "a"])).select(RECORDING, "a", "axis")
+
+
+@query("m8_two_label_view")
+def m8(spark, sf):
+    return features.two_label_view(_subs(spark, sf).select(RECORDING, F.col("sub_label").alias("spike_id"), "label", F.col("centroid").alias("waveform")), 1, 2)
+
+
+@query("m9_inliers", f"""WITH {EV}, m AS (SELECT recording_id, label, count(*) AS n, avg(time) AS m, stddev_pop(time) AS s FROM sp GROUP BY 1, 2)
+SELECT recording_id, label, n <= 4 OR CASE WHEN s > 0 THEN abs(time - m) / s ELSE 0 END < 1.5 AS inlier, count(*) AS n FROM sp JOIN m USING (recording_id, label) GROUP BY ALL""".replace("count(*) AS n FROM sp JOIN", "count(*) AS rows FROM sp JOIN"))
+def m9(spark, sf):
+    return features.inliers_1d(spikes_ev(spark, sf), limit=1.5).groupBy(RECORDING, "label", "inlier").agg(F.count("*").alias("rows"))
+
+
+@query("m10_smoothed_labels")
+def m10(spark, sf):
+    return features.smoothed_labels(spikes_wf(spark, sf))
+
+
+@query("m11_closest", f"""WITH {EV}, q AS (SELECT recording_id, spike_id AS query_id, time / 86400.0 AS qx, value / 10.0 AS qy FROM sp WHERE spike_id % 50 = 0),
+p AS (SELECT recording_id, spike_id, time / 86400.0 AS x, value / 10.0 AS y FROM sp WHERE spike_id % 50 <> 0),
+d AS (SELECT recording_id, query_id, spike_id, sqrt((x - qx) ** 2 + (y - qy) ** 2) AS distance FROM q JOIN p USING (recording_id))
+SELECT recording_id, query_id, spike_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, query_id ORDER BY distance, spike_id) AS r FROM d WHERE distance < 1.0) WHERE r = 1""")
+def m11(spark, sf):
+    at = spikes_ev(spark, sf).select(RECORDING, "spike_id", (F.col("time") / 86400.0).alias("x"), (F.col("value") / 10.0).alias("y"))
+    queries = at.filter("spike_id % 50 = 0").select(RECORDING, F.col("spike_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return rounded(features.closest(at.filter("spike_id % 50 <> 0"), queries, 1.0), "distance")
+
+
+@query("m12_outlier_factors")
+def m12(spark, sf):
+    return features.outlier_factors(spikes_wf(spark, sf))
+
+
+@query("m14_ks", f"""WITH {EV}, v AS (SELECT recording_id, label // 2 AS pair, 1 + label % 2 AS side, value AS x FROM sp), n AS (SELECT recording_id, pair, count(*) FILTER (side = 1) AS na, count(*) FILTER (side = 2) AS nb FROM v GROUP BY 1, 2),
+r AS (SELECT recording_id, pair, x, count(*) FILTER (side = 1) OVER w AS fa, count(*) FILTER (side = 2) OVER w AS fb FROM v WINDOW w AS (PARTITION BY recording_id, pair ORDER BY x))
+SELECT recording_id, pair, round(max(abs(fa / na - fb / nb)), 6) AS ks FROM r JOIN n USING (recording_id, pair) GROUP BY 1, 2""")
+def m14(spark, sf):
+    values = spikes_ev(spark, sf).select(RECORDING, F.floor(F.col("label") / 2).alias("pair"), (F.col("label") % 2 + 1).alias("side"), F.col("value").alias("x"))
+    return rounded(features.ks_statistics(values, [RECORDING, "pair"]), "ks")
+
+
+@query("m17_k_core")
+def m17(spark, sf):
+    s = spikes_ev(spark, sf)
+    pairs = s.select(RECORDING, F.col("sub_label").alias("u"), (F.col("sub_label") % 97 + F.col("label")).alias("v")).filter("u <> v").distinct()
+    return features.k_core(pairs.unionByName(pairs.select(RECORDING, F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), 2)
+
+
+@query("m18_time_vs_axis")
+def m18(spark, sf):
+    rows = spikes_wf(spark, sf)
+    groups = rows.select(RECORDING, "label").distinct().filter("label = 1").withColumn("group", F.lit("unit"))
+    return features.time_vs_axis(rows, groups)
+
+
+@query("m19_projection")
+def m19(spark, sf):
+    return features.project(spikes_wf(spark, sf), lambda x: x[:, :2] - x[:, 2:4]).select(RECORDING, "spike_id", "projected")
+
+
+# -- sorting
+
+
+@query("p1_reference_map")
+def p1(spark, sf):
+    return sorting.reference_map(spikes_wf(spark, sf)).select(RECORDING, "spike_id", "map")
+
+
+@query("p2_p3_cluster_windows")
+def p2(spark, sf):
+    return sorting.cluster_windows(spikes_wf(spark, sf), 200).drop("waveform")
+
+
+@query("p4_link_windows")
+def p4(spark, sf):
+    return sorting.link_windows(sorting.cluster_windows(spikes_wf(spark, sf), 50).checkpoint(eager=True))
+
+
+@query("p9_sort")
+def p9(spark, sf):
+    return sorting.sort(spikes_wf(spark, sf)).select(RECORDING, "spike_id", "time", "label")
+
+
+def queries() -> dict[str, Query]:
+    return {name: _ready(f) for name, f in QUERIES.items()}
+
+
+def _ready(f: Query) -> Query:
+    """Iterative jobs cut lineage by checkpoints: the folder is the session's, a temporary one only
+    where none is named (tests)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if not spark.sparkContext.getCheckpointDir():
+            import tempfile
+
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spikeloom-"))
+        return f(spark, sf_dir)
 
-def queries():
-    return {}
+    return run
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql if sql.lstrip().upper().startswith(("WITH", "SELECT")) else f"WITH {sql}" for name, sql in SQL.items()}
