@@ -59,11 +59,13 @@ def pack_block(table: pa.Table) -> pa.Table:
 
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, weighted so that a product of two rows is the bound."""
+    if vectors.shape[1] == 0:
+        return np.zeros((len(vectors), 1))
     parts = []
     for s in np.array_split(np.arange(vectors.shape[1]), min(segments, vectors.shape[1])):
         weight = math.sqrt(len(s))
         parts += [vectors[:, s].mean(axis=1) * weight, vectors[:, s].std(axis=1) * weight]
-    return np.stack(parts, axis=1) if parts else np.zeros((len(vectors), 1))
+    return np.stack(parts, axis=1)
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -95,6 +97,7 @@ def best_of_block(ids: np.ndarray, queries: np.ndarray, to_ids: np.ndarray, vect
         tried = np.where(np.take_along_axis(own, top, 1), float(LONG.min), products(q[rows], vectors[top.ravel()]).reshape(len(q), probe).astype("float64"))
         if probe >= k:
             floors = np.maximum(floors, np.partition(tried, probe - k, axis=1)[:, probe - k])
+        floors[floors <= LONG.min] = -np.inf  # no floor yet: scores below any long count too
         alive = (bound >= (floors - slack)[:, None]) & ~own
         for s, level in zip(SEGMENTS[1:], levels[1:]):
             alive &= statistics(q, s) @ level.T >= (floors - slack)[:, None]

@@ -319,7 +319,7 @@ def distance(a, b):
 def edited(rng, line, times):
     line = list(line)
     for _ in range(times):
-        at = rng.randrange(len(line))
+        at = rng.randrange(len(line) + 1)
         line[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
     return "".join(line)
 
