@@ -7,9 +7,11 @@ overlaps:
 * a value that few classes retain (at most `RARE`) gives all pairs of its list; of a sketch the
   first `PROBES` such values are listed;
 * values that many classes retain would give quadratic lists. They matter only to classes that
-  consist of them mostly: members of large groups. Of each such list every member is paired with
-  three hubs; after the first components are known, what a list still has outside its hub's
-  component is compared with the whole list, block by block, emitting only likely pairs.
+  consist of them mostly, for at a similarity of s a class whose other values are more than 1 - s
+  of it shares some of those too (classes with many common values list all their others). Of each
+  such list every member is paired with three hubs; after the first components are known, what a
+  list still has outside its hub's component is compared with the whole list, block by block: only
+  pairs whose other values together are few enough, and that look likely, come out.
 
 Candidates must fit in size and pass the estimate from the sketch of their union; links are then
 confirmed on full shingle sets. First one candidate a class is confirmed; of the others only those
@@ -36,7 +38,7 @@ from spikeloom.llm.components import components
 WORDS = 5
 PERCENT = 75
 SKETCH = 48
-PROBES = 16
+PROBES, COMMON_PROBES = 16, 8
 RARE = 32
 BLOCK = 256
 #: Estimates below this share of the union's sketch are dropped (the threshold is 0.75).
@@ -126,10 +128,17 @@ def _stray_pairs(strays: DataFrame, members: DataFrame, percent: int) -> DataFra
     one stray and one block at a time.
     """
     sizes = members.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = F.struct("key", "n", "root", "sketch")
+    member = F.struct("key", "n", "root", "sketch", "common", "rare")
     blocks = members.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).groupBy("value", "block").agg(F.collect_list(member).alias("block_members"))
-    met = strays.select("value", F.struct("key", "n", "root", "sketch").alias("s")).join(blocks, "value")
-    found = met.select("s", F.explode(F.filter("block_members", lambda m: (m["root"] != F.col("s.root")) & _sizes_fit(m["n"], F.col("s.n"), percent) & _likely(m["sketch"], F.col("s.sketch")))).alias("m"))
+    met = strays.select("value", member.alias("s")).join(blocks, "value")
+
+    def fits(m: Column) -> Column:
+        # nothing shared but common values: of a whole set their number bounds the similarity, of a
+        # sketch with twice the room
+        few = 100 * (m["rare"] + F.col("s.rare")) <= (100 - percent) * 100 / percent * F.least(m["common"], F.col("s.common")) * F.when(F.greatest(m["n"], F.col("s.n")) <= SKETCH, 1).otherwise(2)
+        return (m["root"] != F.col("s.root")) & few & _sizes_fit(m["n"], F.col("s.n"), percent) & _likely(m["sketch"], F.col("s.sketch"))
+
+    found = met.select("s", F.explode(F.filter("block_members", fits)).alias("m"))
     return found.select(F.least("s.key", "m.key").alias("a"), F.greatest("s.key", "m.key").alias("b")).distinct()
 
 
@@ -149,17 +158,18 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     split = split.select("key", "n", "sketch", F.array_sort("common").alias("common"), F.array_except("sketch", "common").alias("rare"))
     split = shelf.put(split, "split")
 
+    share = F.size("common") / F.size("sketch")
+
     # short lists: all pairs
-    listed = split.select(F.struct("key", "n", (F.size("common") == 0).alias("plain")).alias("c"), F.explode(F.slice("rare", 1, PROBES)).alias("value"))
+    listed = split.select(F.struct("key", "n", (F.size("common") == 0).alias("plain")).alias("c"), F.explode(F.slice("rare", 1, F.when(share >= 0.3, SKETCH).otherwise(PROBES))).alias("value"))
     lists = listed.groupBy("value").agg(F.collect_list("c").alias("list")).filter(F.size("list") > 1)  # at most RARE long
     overlaps = _pairs_of_lists(lists, percent).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first("plain").alias("plain"))
     short = overlaps.filter((F.col("overlap") > 1) | ~F.col("plain")).select("a", "b")
 
     # long lists: members of large groups, each with the list's hubs
-    share = F.size("common") / F.size("sketch")
-    all_listed = (F.col("n") <= SKETCH) & (F.size("rare") <= PROBES)
-    grouped = split.filter(share >= F.when(all_listed, 0.7).otherwise(0.5)).withColumn("share", share)
-    members = shelf.put(grouped.select("key", "n", "sketch", "share", F.explode(F.slice("common", 1, PROBES)).alias("value")), "members")
+    grouped = split.filter(share >= F.when(F.col("n") <= SKETCH, percent / 100).otherwise(percent / 100 - 0.1)).withColumn("share", share)
+    probes = F.explode(F.slice("common", 1, COMMON_PROBES)).alias("value")
+    members = shelf.put(grouped.select("key", "n", "sketch", "share", F.size("common").alias("common"), F.size("rare").alias("rare"), probes), "members")
     hubs = members.groupBy("value").agg(
         F.min(F.struct(-F.col("share"), "n", "key"))["key"].alias("first"),
         F.min(F.struct(F.xxhash64("key"), "key"))["key"].alias("second"),
@@ -188,9 +198,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     roots = cut(components(links))
     rooted = lambda df, k: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
     apart = rooted(rooted(candidates, "a"), "b").filter("ra <> rb").select("a", "b")
-    placed = rooted(members, "key").select("value", "key", "n", "sketch", F.col("rkey").alias("root"))
+    placed = rooted(members, "key").select("value", "key", "n", "sketch", "common", "rare", F.col("rkey").alias("root"))
     centre = rooted(hubs.select("value", F.col("first").alias("hub")), "hub").select("value", F.col("rhub").alias("centre"))
-    strays = placed.join(centre, "value").filter("root <> centre").select("value", "key", "n", "root", "sketch")
+    strays = placed.join(centre, "value").filter("root <> centre").drop("centre")
     more = _confirmed(apart.unionByName(_stray_pairs(strays, placed, percent)).distinct(), sets, percent)
     roots = components(links.unionByName(more))
 
