@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table (alternating large and small stars) and roots of a forest."""
 
 from __future__ import annotations
 
@@ -32,3 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """node and root for rows (node, parent) with one parent each and no cycle: every round a node takes
+    its parent's parent, so the rounds grow with the logarithm of the depth."""
+    now, before = cut(parents.select("node", F.col("parent").alias("root"))), None
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        now = cut(now.join(above, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first()
+        if state == before:
+            return now
+        before = state

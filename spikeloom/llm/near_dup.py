@@ -10,8 +10,8 @@ overlaps:
   consist of them mostly, for at a similarity of s a class whose other values are more than 1 - s
   of it shares some of those too (classes with many common values list all their others). Of each
   such list every member is paired with three hubs; after the first components are known, what a
-  list still has outside its hub's component is compared with the whole list, block by block: only
-  pairs whose other values together are few enough, and that look likely, come out.
+  list still has outside its hub's component is compared with the whole list, block by block, on
+  full sets, and for each such class and component at most one link a block comes out.
 
 Candidates must fit in size and pass the estimate from the sketch of their union; links are then
 confirmed on full shingle sets. First one candidate a class is confirmed; of the others only those
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.llm.common import Shelf, cut, keyed
-from spikeloom.llm.components import components
+from spikeloom.llm.components import components, forest_roots
 
 WORDS = 5
 PERCENT = 75
@@ -121,25 +121,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.filter(100 * F.col("shared") >= percent * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def _stray_pairs(strays: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of a list's strays with all its members of other components.
-
-    Both sides are packed: blocks of members with their sketches, and a stray a row; a task sees
-    one stray and one block at a time.
-    """
-    sizes = members.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    member = F.struct("key", "n", "root", "sketch", "common", "rare")
-    blocks = members.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).groupBy("value", "block").agg(F.collect_list(member).alias("block_members"))
-    met = strays.select("value", member.alias("s")).join(blocks, "value")
-
-    def fits(m: Column) -> Column:
-        # nothing shared but common values: of a whole set their number bounds the similarity, of a
-        # sketch with twice the room
-        few = 100 * (m["rare"] + F.col("s.rare")) <= (100 - percent) * 100 / percent * F.least(m["common"], F.col("s.common")) * F.when(F.greatest(m["n"], F.col("s.n")) <= SKETCH, 1).otherwise(2)
-        return (m["root"] != F.col("s.root")) & few & _sizes_fit(m["n"], F.col("s.n"), percent) & _likely(m["sketch"], F.col("s.sketch"))
-
-    found = met.select("s", F.explode(F.filter("block_members", fits)).alias("m"))
-    return found.select(F.least("s.key", "m.key").alias("a"), F.greatest("s.key", "m.key").alias("b")).distinct()
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """Members of a list in blocks of about BLOCK, one row each, with their full sets."""
+    sizes = rows.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, "value").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    packed = dealt.groupBy("value", "block").agg(F.collect_list(F.struct("key", "root", "shingles")).alias(name))
+    return packed.select("value", name)
+
+
+def links_of_blocks(a: list, b: list, percent: int, columns: int = 1 << 14) -> set[tuple[int, int]]:
+    """Confirmed links between two blocks of (key, root, shingles): for each of the first and each
+    component of the second, one. Overlaps of all pairs are a product of 0-1 matrices."""
+    values = np.concatenate([x["shingles"] for x in (*a, *b)])
+    kinds, codes = np.unique(values, return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x["shingles"]) for x in (*a, *b)])
+    shared = np.zeros((len(a), len(b)), "float32")
+    for at in range(0, len(kinds), columns):
+        held = (codes >= at) & (codes < at + columns)
+        matrix = np.zeros((len(a) + len(b), min(columns, len(kinds) - at)), "float32")
+        matrix[owner[held], codes[held] - at] = 1
+        shared += matrix[: len(a)] @ matrix[len(a) :].T
+    sizes = np.array([len(x["shingles"]) for x in (*a, *b)], "float32")
+    root = np.array([x["root"] for x in (*a, *b)])
+    linked = 100 * shared >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - shared)
+    linked &= root[: len(a), None] != root[None, len(a) :]
+    first: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(linked)):
+        first.setdefault((a[i]["key"], b[j]["root"]), (a[i]["key"], b[j]["key"]))
+    return {(min(p), max(p)) for p in first.values()}
+
+
+def _stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of what is outside its list's main component with all of the list, block by block."""
+
+    def meet(batches):
+        for batch in batches:
+            found = set()
+            for a, b in zip(batch["strays"], batch["others"]):
+                found |= links_of_blocks(list(a), list(b), percent)
+            yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    asked = strays.select("value").distinct()
+    others = _packed(members.join(asked, "value", "left_semi").select("value", "key", "root").join(sets, "key"), "others")
+    pairs = _packed(strays.select("value", "key", "root").join(sets, "key"), "strays").join(others, "value").drop("value")
+    spark, batch_rows = members.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch_rows)
+    spark.conf.set(batch_rows, "4")  # a row is two blocks of sets, some MB
+    try:
+        return cut(pairs.repartition(F.xxhash64("strays.key", "others.key")).mapInPandas(meet, "a long, b long").distinct())
+    finally:
+        spark.conf.set(batch_rows, before)
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -169,7 +200,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     # long lists: members of large groups, each with the list's hubs
     grouped = split.filter(share >= F.when(F.col("n") <= SKETCH, percent / 100).otherwise(percent / 100 - 0.1)).withColumn("share", share)
     probes = F.explode(F.slice("common", 1, COMMON_PROBES)).alias("value")
-    members = shelf.put(grouped.select("key", "n", "sketch", "share", F.size("common").alias("common"), F.size("rare").alias("rare"), probes), "members")
+    members = shelf.put(grouped.select("key", "n", "share", probes), "members")
     hubs = members.groupBy("value").agg(
         F.min(F.struct(-F.col("share"), "n", "key"))["key"].alias("first"),
         F.min(F.struct(F.xxhash64("key"), "key"))["key"].alias("second"),
@@ -194,18 +225,18 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
     # one candidate a class, then what is still apart
     one = candidates.groupBy("b").agg(F.min("a").alias("a"))
-    links = cut(_confirmed(one, sets, percent))
-    roots = cut(components(links))
-    rooted = lambda df, k: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
+    trees = forest_roots(_confirmed(one, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("parent")))
+    rooted = lambda df, k: df.join(trees.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(f"r{k}", F.coalesce(f"r{k}", k))
     apart = rooted(rooted(candidates, "a"), "b").filter("ra <> rb").select("a", "b")
-    placed = rooted(members, "key").select("value", "key", "n", "sketch", "common", "rare", F.col("rkey").alias("root"))
+    placed = rooted(members.select("value", "key"), "key").select("value", "key", F.col("rkey").alias("root"))
     centre = rooted(hubs.select("value", F.col("first").alias("hub")), "hub").select("value", F.col("rhub").alias("centre"))
     strays = placed.join(centre, "value").filter("root <> centre").drop("centre")
-    more = _confirmed(apart.unionByName(_stray_pairs(strays, placed, percent)).distinct(), sets, percent)
-    roots = components(links.unionByName(more))
+    more = _confirmed(apart, sets, percent).unionByName(_stray_links(strays, placed, sets, percent))
+    between = cut(rooted(rooted(more, "a"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct())
+    merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     # back to documents: the least id of a component over all its classes
-    nodes = classes.select("key", "doc_id").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    nodes = rooted(classes.select("key", "doc_id"), "key").withColumnRenamed("rkey", "root").join(merged, "root", "left").withColumn("root", F.coalesce("top", "root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = cut(nodes.join(least, "root").select("key", "component_id"))
     for name in ("classes", "split", "members", "candidates", "sets"):
