@@ -11,7 +11,7 @@ overlaps:
   of it shares some of those too (classes with many common values list all their others). Of each
   such list every member is paired with three hubs; after the first components are known, what a
   list still has outside its hub's component is compared with the whole list, block by block, on
-  full sets, and for each such class and component at most one link a block comes out.
+  full sets; of the links between two blocks a spanning forest comes out.
 
 Candidates must fit in size and pass the estimate from the sketch of their union; links are then
 confirmed on full shingle sets. First one candidate a class is confirmed; of the others only those
@@ -130,8 +130,8 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def links_of_blocks(a: list, b: list, percent: int, columns: int = 1 << 14) -> set[tuple[int, int]]:
-    """Confirmed links between two blocks of (key, root, shingles): for each of the first and each
-    component of the second, one. Overlaps of all pairs are a product of 0-1 matrices."""
+    """Confirmed links between two blocks of (key, root, shingles): as many as it takes to connect
+    what is connected (a spanning forest). Overlaps of all pairs are a product of 0-1 matrices."""
     values = np.concatenate([x["shingles"] for x in (*a, *b)])
     kinds, codes = np.unique(values, return_inverse=True)
     owner = np.repeat(np.arange(len(a) + len(b)), [len(x["shingles"]) for x in (*a, *b)])
@@ -145,10 +145,20 @@ def links_of_blocks(a: list, b: list, percent: int, columns: int = 1 << 14) -> s
     root = np.array([x["root"] for x in (*a, *b)])
     linked = 100 * shared >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - shared)
     linked &= root[: len(a), None] != root[None, len(a) :]
-    first: dict[tuple[int, int], tuple[int, int]] = {}
-    for i, j in zip(*np.nonzero(linked)):
-        first.setdefault((a[i]["key"], b[j]["root"]), (a[i]["key"], b[j]["key"]))
-    return {(min(p), max(p)) for p in first.values()}
+    above = {int(r): int(r) for r in root}
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    found = set()
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        r, t = top(int(a[i]["root"])), top(int(b[j]["root"]))
+        if r != t:  # a link between what is connected already tells nothing new
+            above[max(r, t)] = min(r, t)
+            found.add((min(a[i]["key"], b[j]["key"]), max(a[i]["key"], b[j]["key"])))
+    return found
 
 
 def _stray_links(strays: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
