@@ -298,6 +298,21 @@ def test_template_words_are_left_out_without_an_article(spark):
         assert r.text == f"Story {r.page_id} tells of {'many ' * r.page_id}things."
 
 
+def extracted(spark, page, n=8):
+    pages = spark.createDataFrame([(i, f"http://host/{i}", page(i)) for i in range(1, n + 1)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+
+
+def test_template_words_are_left_out_in_an_article(spark):
+    page = lambda i: f"<html><body><article><p>Read this aloud</p><p>Story {i} tells at some length of {'many ' * i}things.</p><div>All rights with us</div></article></body></html>"
+    assert extracted(spark, page) == {i: f"Story {i} tells at some length of {'many ' * i}things." for i in range(1, 9)}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    page = lambda i: f"<html><body><article><h1>One story</h1><p>It is told on every page of the host.</p>{'<p>' + str(i) if i > 2 else ''}</article></body></html>"
+    assert extracted(spark, page, 4) == {i: "One story It is told on every page of the host." + (f" {i}" if i > 2 else "") for i in range(1, 5)}
+
+
 def test_broken_markup_costs_linear_time():
     for page in ('<a "' * 20_000, "<" * 100_000, "<div>" * 5_000 + "x", "<!--" * 20_000, "</p" * 20_000):
         html_extract.main_text(page, set())
