@@ -313,6 +313,12 @@ def test_copies_of_an_article_are_no_template(spark):
     assert extracted(spark, page, 4) == {i: "One story It is told on every page of the host." + (f" {i}" if i > 2 else "") for i in range(1, 5)}
 
 
+def test_all_slots_of_a_page_are_joined(spark):
+    body = lambda i: f"<p>It begins with {i}.</p><figure>Picture {i}</figure><p>It goes on for a long while with {i}.</p><p><a href=x>Link {i} of it</a></p>"
+    page = lambda i: f"<html><body><ul><li><a href=/>Top {i}</a><li>Home</ul><div><h1>Story {i}</h1>{body(i)}</div><div>All rights with us</div></body></html>"
+    assert extracted(spark, page) == {i: f"Story {i} It begins with {i}. Picture {i} It goes on for a long while with {i}. Link {i} of it" for i in range(1, 9)}
+
+
 def test_broken_markup_costs_linear_time():
     for page in ('<a "' * 20_000, "<" * 100_000, "<div>" * 5_000 + "x", "<!--" * 20_000, "</p" * 20_000):
         html_extract.main_text(page, set())
