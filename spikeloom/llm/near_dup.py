@@ -43,6 +43,9 @@ RARE = 32
 BLOCK = 256
 #: Estimates below this share of the union's sketch are dropped (the threshold is 0.75).
 LIKELY = 0.4
+#: The share of common values in a sketch is an estimate: classes join long lists from so much below
+#: the threshold. At a true share of 0.75, 20 or more of 48 are common but for a chance of 3e-7.
+SLACK = 0.35
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,7 +211,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     short = overlaps.filter((F.col("overlap") > 1) | ~F.col("plain")).select("a", "b")
 
     # long lists: members of large groups, each with the list's hubs
-    grouped = split.filter(share >= F.when(F.col("n") <= SKETCH, percent / 100).otherwise(percent / 100 - 0.1)).withColumn("share", share)
+    grouped = split.filter(share >= F.when(F.col("n") <= SKETCH, percent / 100).otherwise(percent / 100 - SLACK)).withColumn("share", share)
     probes = F.explode(F.slice("common", 1, COMMON_PROBES)).alias("value")
     members = shelf.put(grouped.select("key", "n", "share", probes), "members")
     hubs = members.groupBy("value").agg(

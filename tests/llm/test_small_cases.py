@@ -240,6 +240,15 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert got == brute_components(table)
 
 
+def test_near_duplicates_of_a_text_that_many_contain(spark):
+    rng = random.Random(5)
+    base = " ".join("w%d" % rng.randrange(10**6) for _ in range(304))
+    docs = [base, *[base + " " + " ".join("o%d" % rng.randrange(10**9) for _ in range(rng.choice((100, 100, 90, 75)))) for _ in range(150)]]
+    table = [*enumerate(docs)]
+    got = {tuple(r) for r in near_dup.link(spark.createDataFrame(table, DOC)).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+    assert got == brute_components(table) and {x[2] for x in got} == {0}
+
+
 def test_near_duplicates_small_cases(spark, odd):
     got = rows(near_dup.link(odd), "doc_id", "n_shingles", "component_id", "kept")
     assert (1, 0, 1, True) in got and (2, 0, 2, True) in got and (5, 0, 5, True) in got
