@@ -8,6 +8,10 @@ distance: a word of 2 * threshold + 1 bits holds a column of the band, and a fol
 characters moves it down the diagonal. Only what is left between the pair's common start and end is
 folded over.
 
+A changed word is more edits than the threshold. With `words`, the same join also runs over the words
+of lines of `MIN_CHARS` characters and `WORDS_LEAST` words: those that are equal but for one word
+changed, put in or taken out are linked as well, whatever their length.
+
 A segment that many lines list (more than `RARE`) doesn't give all pairs: its lines are paired with
 one hub, and what isn't in the hub's component then is compared with the list in blocks, letting
 through only pairs whose character parities are close enough.
@@ -34,6 +38,10 @@ RARE = 48
 BLOCK = 256
 #: So many common segments at most are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 10_000
+#: So many ids of lines to verify at most are broadcast.
+BROADCAST_IDS = 500_000
+#: Lines of MIN_CHARS and so many words can be linked by all words but one.
+WORDS_LEAST = 4
 
 
 def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -54,15 +62,23 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, size + F.when(F.lit(i) >= first_longer, 1).otherwise(0)
 
 
-def listed_segments(line: Column, n: Column, threshold: int) -> Column:
+def _piece(line: Column, start: Column, size: Column) -> Column:
+    return F.substring(line, start + 1, size)
+
+
+def _word_piece(words: Column, start: Column, size: Column) -> Column:
+    return F.slice(words, F.greatest(start, F.lit(0)) + 1, size)
+
+
+def listed_segments(line: Column, n: Column, threshold: int, piece=_piece) -> Column:
     keys = []
     for i in range(threshold + 1):
         start, size = _segment(n, i, threshold + 1)
-        keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start + 1, size)))
+        keys.append(F.xxhash64(n, F.lit(i), piece(line, start, size)))
     return F.array(*keys)
 
 
-def probed_substrings(line: Column, n: Column, threshold: int) -> Column:
+def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece) -> Column:
     """Keys of the substrings where a segment of an equal or shorter line could be.
 
     With i segments before and threshold - i after it, one that is untouched while the edits on
@@ -77,7 +93,7 @@ def probed_substrings(line: Column, n: Column, threshold: int) -> Column:
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                key = F.xxhash64(shorter, F.lit(i), F.substring(line, at + 1, size))
+                key = F.xxhash64(shorter, F.lit(i), piece(line, at, size))
                 keys.append(F.when((at >= 0) & (at + size <= n), key))
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
@@ -161,26 +177,63 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(close, _let(F.struct(a.alias("x"), b.alias("y")), trimmed)).otherwise(F.lit(False))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose lines are within the threshold."""
+def split_words(line: Column) -> Column:
+    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+
+
+def one_word_apart(a: Column, b: Column) -> Column:
+    """Whether two arrays of words are equal but for one word changed, put in or taken out."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")  # the first difference
+    more = F.size(a) - F.size(b)
+    rest = lambda x, skip: F.slice(x, at + skip, F.size(x) + 1)
+    same = F.when(more == 0, rest(a, 1) == rest(b, 1)).when(more == 1, rest(a, 1) == rest(b, 0)).when(more == -1, rest(a, 0) == rest(b, 1))
+    return F.when(at == 0, True).otherwise(F.coalesce(same, F.lit(False)))
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts with these ids; few ids are broadcast, so that the other texts aren't shuffled."""
+    ids = cut(ids.distinct())
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int, words: bool = False) -> DataFrame:
+    """The pairs (a, b) whose lines are within the threshold or, if words count, a word apart."""
+    pairs = cut(pairs)
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     sides = [texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
-    return met.filter(edit_distance_within(F.col("la"), F.col("lb"), threshold)).select("a", "b")
+    near = edit_distance_within(F.col("la"), F.col("lb"), threshold)
+    if words:
+        enough = lambda x: (F.length(x) >= MIN_CHARS) & (F.size(split_words(x)) >= WORDS_LEAST)
+        near = (enough(F.col("la")) & enough(F.col("lb")) & one_word_apart(split_words(F.col("la")), split_words(F.col("lb")))) | near
+    return met.filter(near).select("a", "b")
 
 
-def _parities(line: Column) -> Column:
-    """A 64-bit word with the parity of the characters' counts, by hash: an edit changes two bits at most."""
+def _parities(parts: Column) -> Column:
+    """A 64-bit word with the parity of the parts' counts, by hash: an edit changes two bits at most."""
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda word, c: word.bitwiseXOR(bit(c)))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda word, c: word.bitwiseXOR(bit(c)))
 
 
 # -- the join
 
 
-def line_links(lines: DataFrame, shelf: Shelf, threshold: int) -> DataFrame:
-    """node and root of lines (id, line, n) that are within the threshold of another."""
-    listed = lines.select("id", F.explode(listed_segments(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probed = lines.select("id", F.explode(F.array_distinct(probed_substrings(F.col("line"), F.col("n"), threshold))).alias("key"))
+def _keys(lines: DataFrame, threshold: int, words: bool, make) -> DataFrame:
+    """id and key of segments or probes, by characters and, for lines of enough words, by words (`w`)."""
+    text, n = F.col("line"), F.col("n")
+    keys = F.array_distinct(make(text, n, threshold))
+    found = lines.select("id", F.explode(keys).alias("key"), F.lit(False).alias("w"))
+    if not words:
+        return found
+    split = lines.filter(n >= MIN_CHARS).select("id", split_words(text).alias("ws")).filter(F.size("ws") >= WORDS_LEAST)
+    keys = F.transform(F.array_distinct(make(F.col("ws"), F.size("ws"), 1, _word_piece)), lambda k: F.xxhash64(F.lit("w"), k))
+    return found.unionByName(split.select("id", F.explode(keys).alias("key"), F.lit(True).alias("w")))
+
+
+def line_links(lines: DataFrame, shelf: Shelf, threshold: int, words: bool = False) -> DataFrame:
+    """node and root of lines (id, line, n) that are within the threshold of another, or a word apart."""
+    listed = _keys(lines, threshold, words, listed_segments)
+    probed = _keys(lines, threshold, words, probed_substrings)
     common = cut(listed.groupBy("key").count().filter(F.col("count") > RARE).select("key"))
     if (most := common.count()) <= BROADCAST_ROWS:
         common = F.broadcast(common)
@@ -189,13 +242,17 @@ def line_links(lines: DataFrame, shelf: Shelf, threshold: int) -> DataFrame:
     pairs = rare.select("key", F.col("id").alias("x")).join(probed.select("key", F.col("id").alias("y")), "key").filter("x <> y")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     if not most:
-        return components(verified(pairs, lines, threshold))
+        return components(verified(pairs, lines, threshold, words))
 
     members = listed.unionByName(probed).join(common, "key", "left_semi").distinct()
-    members = shelf.put(members.join(lines, "id").select("key", "id", "n", _parities(F.col("line")).alias("parity")), "members")
+    texts = _only(lines, members.select("id"))
+    by_word = lambda word, char: F.when(F.col("w"), word).otherwise(char)
+    count = by_word(F.size(split_words(F.col("line"))), F.col("n")).alias("n")
+    parity = by_word(_parities(split_words(F.col("line"))), _parities(F.split("line", ""))).alias("parity")
+    members = shelf.put(members.join(texts, "id").select("key", "id", count, parity), "members")
     hubs = cut(members.groupBy("key").agg(F.min("id").alias("hub")))
     starred = members.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = cut(verified(pairs.unionByName(starred).distinct(), lines, threshold))
+    links = cut(verified(pairs.unionByName(starred).distinct(), lines, threshold, words))
     roots = cut(components(links))
 
     rooted = lambda df, k, r: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(r)), k, "left").withColumn(r, F.coalesce(r, k))
@@ -203,13 +260,14 @@ def line_links(lines: DataFrame, shelf: Shelf, threshold: int) -> DataFrame:
     strays = placed.join(rooted(hubs, "hub", "centre"), "key").filter("root <> centre").select("key", F.struct("id", "n", "root", "parity").alias("s"))
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).groupBy("key", "block").agg(F.collect_list(F.struct("id", "n", "root", "parity")).alias("ms"))
-    near = lambda m: (m["root"] != F.col("s.root")) & (F.abs(m["n"] - F.col("s.n")) <= threshold) & (F.bit_count(m["parity"].bitwiseXOR(F.col("s.parity"))) <= 2 * threshold)
+    most_edits = max(threshold, int(words))
+    near = lambda m: (m["root"] != F.col("s.root")) & (F.abs(m["n"] - F.col("s.n")) <= most_edits) & (F.bit_count(m["parity"].bitwiseXOR(F.col("s.parity"))) <= 2 * most_edits)
     more = strays.join(blocks, "key").select("s", F.explode(F.filter("ms", near)).alias("m"))
     more = more.select(F.least("s.id", "m.id").alias("a"), F.greatest("s.id", "m.id").alias("b")).distinct()
-    return components(links.unionByName(verified(more, lines, threshold)))
+    return components(links.unionByName(verified(more, lines, threshold, words)))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
     """doc_id, line_no, first_doc_id, first_line_no and kept of every line of at least `min_chars`."""
     if min_chars <= 2 * threshold:
         raise ValueError("lines must be longer than their segments can shift")
@@ -218,7 +276,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     first = F.min(F.struct("doc_id", "line_no", "line"))
     distinct = lines.groupBy("h1", "h2").agg(first.alias("f")).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*")
     distinct = shelf.put(distinct.withColumn("n", F.length("line")), "lines")
-    roots = line_links(distinct.select("id", "line", "n"), shelf, threshold)
+    roots = line_links(distinct.select("id", "line", "n"), shelf, threshold, words)
     classes = distinct.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("own"))
     linked = classes.join(roots, classes["id"] == roots["node"]).select("h1", "h2", "own", "root")
     firsts = linked.groupBy("root").agg(F.min("own").alias("own"))
@@ -229,12 +287,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     return found.select("doc_id", "line_no", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_no").alias("first_line_no"), kept.alias("kept"))
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, words: bool = True) -> DataFrame:
     """The documents without repeated lines; those of which only short lines are left go.
 
     All columns stay, and the text is the remaining lines in order. Rows with a null id stay whole.
     """
-    repeats = dedup_lines(docs, doc_id, text, threshold, min_chars).filter("NOT kept AND doc_id IS NOT NULL")
+    repeats = dedup_lines(docs, doc_id, text, threshold, min_chars, words).filter("NOT kept AND doc_id IS NOT NULL")
     gone, key = "_spikeloom_gone", "_spikeloom_id"
     repeats = repeats.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
     joined = docs.join(repeats, F.col(f"`{doc_id}`") == F.col(key), "left").drop(key)

@@ -400,6 +400,40 @@ def test_line_dedup_matches_brute_force(spark):
 # -- 10
 
 
+def test_line_dedup_by_words_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARE", 6)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 9)))
+    texts = []
+    for size in [4, 5, 6, 9, 15, 60, 120] * 4:
+        base = [word() for _ in range(size)]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice([[], [word()]])
+            texts.append(" ".join(w))
+    start = " ".join(word() for _ in range(5))
+    texts += [start + " " + " ".join(rng.choice(("one", "two", "three", "other")) + str(rng.randint(0, 9)) for _ in range(4)) for _ in range(60)]
+    texts = [t for t in texts if len(t) >= 20]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            x, y = a.split(), b.split()
+            if min(len(x), len(y)) >= 4 and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1 or abs(len(a) - len(b)) <= 1 and distance(a, b) <= 1:
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    df = spark.createDataFrame([*enumerate(texts)], DOC)
+    assert {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(df, words=True).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_quality_rules(spark, odd):
     got = {r.doc_id: r for r in quality_rules.judge_quality(odd).collect()}
     assert (got[1].n_words, got[1].base_failed, got[1].kept) == (0, True, False)
