@@ -18,8 +18,8 @@ through only pairs whose character parities are close enough.
 
 The first line of a component (least doc_id, then line number) is kept, the others are repeats.
 
-Defined results: lines end at "\\n"; lines shorter than `min_chars` code points are neither linked
-nor removed; a null text has no lines; texts are taken whole; doc_id and line number name a line, so
+Defined results: lines end at "\\n"; lines shorter than `min_chars` code points (none in the
+query and in `without_repeats`) are left out; a null text has no lines; texts are taken whole; doc_id and line number name a line, so
 rows that repeat both count as one; rows with a null id are handled like any other; an empty table
 gives no rows; other columns are ignored.
 """
@@ -36,6 +36,8 @@ THRESHOLD = 1
 MIN_CHARS = 20
 RARE = 48
 BLOCK = 256
+#: What has none of these has no word.
+WORD = r"[\p{L}\p{N}]"
 #: So many common segments at most are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 10_000
 #: So many ids of lines to verify at most are broadcast.
@@ -268,35 +270,39 @@ def line_links(lines: DataFrame, shelf: Shelf, threshold: int, words: bool = Fal
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
-    """doc_id, line_no, first_doc_id, first_line_no and kept of every line of at least `min_chars`."""
-    if min_chars <= 2 * threshold:
-        raise ValueError("lines must be longer than their segments can shift")
+    """doc_id, line_no, first_doc_id, first_line_no, kept and exempt of every line of at least `min_chars`.
+
+    Equal lines are a class whatever their length; the edit join takes lines of 2 * threshold + 1
+    characters. Exempt lines aren't to be removed: those without a letter or digit, and those under
+    `MIN_CHARS` that are the first of their equals (a short line's edit makes it another).
+    """
     shelf = Shelf(docs.sparkSession)
     lines = split_lines(keyed(docs, doc_id=doc_id, text=text), min_chars)
     first = F.min(F.struct("doc_id", "line_no", "line"))
     distinct = lines.groupBy("h1", "h2").agg(first.alias("f")).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*")
     distinct = shelf.put(distinct.withColumn("n", F.length("line")), "lines")
-    roots = line_links(distinct.select("id", "line", "n"), shelf, threshold, words)
+    roots = line_links(distinct.select("id", "line", "n").filter(F.col("n") > 2 * threshold), shelf, threshold, words)
     classes = distinct.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("own"))
     linked = classes.join(roots, classes["id"] == roots["node"]).select("h1", "h2", "own", "root")
     firsts = linked.groupBy("root").agg(F.min("own").alias("own"))
     changed = cut(linked.select("h1", "h2", "root").join(firsts, "root").select("h1", "h2", "own"))
-    classes = classes.select("h1", "h2", F.col("own").alias("equal")).join(changed, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("own", "equal").alias("f"))
-    found = lines.select("doc_id", "line_no", "h1", "h2").join(classes, ["h1", "h2"])
-    kept = F.col("f.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("f.line_no") == F.col("line_no"))
-    return found.select("doc_id", "line_no", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_no").alias("first_line_no"), kept.alias("kept"))
+    classes = classes.select("h1", "h2", F.col("own").alias("equal")).join(changed, ["h1", "h2"], "left").select("h1", "h2", "equal", F.coalesce("own", "equal").alias("f"))
+    found = lines.select("doc_id", "line_no", "h1", "h2", (F.col("n") < MIN_CHARS).alias("short"), (~F.col("line").rlike(WORD)).alias("bare")).join(classes, ["h1", "h2"])
+    is_first = lambda of: F.col(f"{of}.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"{of}.line_no") == F.col("line_no"))
+    exempt = F.col("bare") | (F.col("short") & is_first("equal"))
+    return found.select("doc_id", "line_no", F.col("f.doc_id").alias("first_doc_id"), F.col("f.line_no").alias("first_line_no"), is_first("f").alias("kept"), exempt.alias("exempt"))
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, words: bool = True) -> DataFrame:
-    """The documents without repeated lines; those of which only short lines are left go.
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = 0, words: bool = True) -> DataFrame:
+    """The documents without repeated lines that aren't exempt; those of which only short lines are left go.
 
     All columns stay, and the text is the remaining lines in order. Rows with a null id stay whole.
     """
-    repeats = dedup_lines(docs, doc_id, text, threshold, min_chars, words).filter("NOT kept AND doc_id IS NOT NULL")
+    repeats = dedup_lines(docs, doc_id, text, threshold, min_chars, words).filter("NOT kept AND NOT exempt AND doc_id IS NOT NULL")
     gone, key = "_spikeloom_gone", "_spikeloom_id"
     repeats = repeats.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line_no").alias(gone))
     joined = docs.join(repeats, F.col(f"`{doc_id}`") == F.col(key), "left").drop(key)
     left = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
     joined = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n")))
-    some = F.col(gone).isNull() | F.exists(F.split(F.col(f"`{text}`"), "\n", -1), lambda line: F.length(line) >= min_chars)
+    some = F.col(gone).isNull() | F.exists(F.split(F.col(f"`{text}`"), "\n", -1), lambda line: F.length(line) >= MIN_CHARS)
     return joined.filter(some).drop(gone)

@@ -50,7 +50,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=True)
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=0, words=True)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -434,6 +434,20 @@ def test_line_dedup_by_words_matches_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.first_doc_id for r in line_dedup.dedup_lines(df, words=True).collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_short_lines_are_classed_too(spark):
+    long = "a line that is long enough, number %d of all"
+    docs = ["Les.\n" + long % 1, "Les.\nab\n" + long % 22, "Lex.\nab\n\n--\n" + long % 333, "ac\n\n--\n" + "some other text"]
+    df = spark.createDataFrame([*enumerate(docs)], DOC)
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.kept, r.exempt) for r in line_dedup.dedup_lines(df, min_chars=0, words=False).collect()}
+    assert set(got) == {(i, k) for i, t in enumerate(docs) for k in range(len(t.split("\n")))}
+    assert got[0, 0] == (0, True, True) and got[1, 0] == (0, False, False)  # equal
+    assert got[2, 0] == (0, False, True)  # an edit apart: linked, not removed
+    assert got[2, 1] == (1, False, False) and got[3, 0] == (3, True, True)  # too short for the edit join
+    assert got[3, 1] == (2, False, True) and got[3, 2] == (2, False, True)  # no letter or digit
+    rest = {r.doc_id: r.text for r in line_dedup.without_repeats(df, words=False).collect()}
+    assert rest[1] == "ab\n" + long % 22 and rest[2] == "Lex.\n\n--\n" + long % 333
+
+
 def test_quality_rules(spark, odd):
     got = {r.doc_id: r for r in quality_rules.judge_quality(odd).collect()}
     assert (got[1].n_words, got[1].base_failed, got[1].kept) == (0, True, False)
