@@ -294,7 +294,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = 0, words: bool = True) -> DataFrame:
-    """The documents without repeated lines that aren't exempt; those of which only short lines are left go.
+    """The documents without repeated lines that aren't exempt; those of which no word is left go.
 
     All columns stay, and the text is the remaining lines in order. Rows with a null id stay whole.
     """
@@ -304,5 +304,5 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = docs.join(repeats, F.col(f"`{doc_id}`") == F.col(key), "left").drop(key)
     left = F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i))
     joined = joined.withColumn(text, F.when(F.col(gone).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n")))
-    some = F.col(gone).isNull() | F.exists(F.split(F.col(f"`{text}`"), "\n", -1), lambda line: F.length(line) >= MIN_CHARS)
+    some = F.col(gone).isNull() | F.col(f"`{text}`").rlike(WORD)
     return joined.filter(some).drop(gone)

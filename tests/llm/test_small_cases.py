@@ -448,6 +448,12 @@ def test_short_lines_are_classed_too(spark):
     assert rest[1] == "ab\n" + long % 22 and rest[2] == "Lex.\n\n--\n" + long % 333
 
 
+def test_documents_with_words_left_stay(spark):
+    long = "a line that is long enough"
+    docs = spark.createDataFrame([(1, long), (2, long + "\nOnly here."), (3, long + "\n--"), (4, long), (5, "--")], DOC)
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {1: long, 2: "Only here.", 5: "--"}
+
+
 def test_quality_rules(spark, odd):
     got = {r.doc_id: r for r in quality_rules.judge_quality(odd).collect()}
     assert (got[1].n_words, got[1].base_failed, got[1].kept) == (0, True, False)
