@@ -212,8 +212,8 @@ def f1(spark, sf):
 @query("f2_select_positions", f"WITH {EV} SELECT recording_id, spike_id, time FROM sp WHERE spike_id IN (SELECT o_custkey FROM orders)")
 def f2(spark, sf):
     spikes = spikes_ev(spark, sf)
-    positions = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("spike_id")).distinct()
-    return model.select_positions(spikes, positions.join(spikes.select(RECORDING).distinct())).select(RECORDING, "spike_id", "time")
+    positions = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("spike_id"))
+    return model.select_positions(spikes, positions).select(RECORDING, "spike_id", "time")
 
 
 @query("f3_select_clusters", f"WITH {D7} SELECT recording_id, spike_id, label, node AS node_id FROM sp JOIN (SELECT recording_id, label, row_number() OVER (PARTITION BY recording_id ORDER BY med_time, label) - 1 AS node FROM cl WHERE label % 3 = 0) USING (recording_id, label)")

@@ -106,8 +106,10 @@ def select_where(rows: DataFrame, condition: Column) -> DataFrame:
 
 
 def select_positions(rows: DataFrame, positions: DataFrame, by: str = "spike_id") -> DataFrame:
-    """Rows at the given positions (recording_id and position); Spark picks the join by size."""
-    return rows.join(positions.select(RECORDING, by).distinct(), [RECORDING, by], "left_semi")
+    """Rows at the given positions (recording_id and position; without recording_id they hold for every
+    recording); Spark picks the join by size."""
+    keys = [RECORDING, by] if RECORDING in positions.columns else [by]
+    return rows.join(positions.select(*keys).distinct(), keys, "left_semi")
 
 
 def select_clusters(spikes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spikeloom import catalog
 from spikeloom.jobs import recluster
 from spikeloom.operators import align, curate, features, graph, metrics, model, windows
 from spikeloom.sources import io
@@ -50,6 +51,15 @@ def test_selections(spark):
         model.match_one(model.labeled_nodes(spikes(spark, [1, 2], [0, 1])), F.col("label") >= 0).collect()
 
 
+def test_positions_of_every_recording(spark):
+    d = spikes(spark, [1, 2, 3]).union(spikes(spark, [4, 5], recording="s"))
+    positions = spark.createDataFrame([(1,), (1,), (2,)], "spike_id long")
+    got = model.select_positions(d, positions)
+    assert sorted((r.recording_id, r.spike_id) for r in got.collect()) == [("r", 1), ("r", 2), ("s", 1)]
+    plan = catalog.queries()["f2_select_positions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Inner" not in plan and "Cross" not in plan
+
+
 def test_windows(spark):
     got = lambda t: [(r.window_idx, r.n) for r in windows.duration_windows(spikes(spark, t), 1.0).orderBy("window_idx").collect()]
     assert got([0.5, 1.0, 1.5, 2.0]) == [(0, 1), (1, 2)]
