@@ -12,9 +12,16 @@ A changed word is more edits than the threshold. With `words`, the same join als
 of lines of `MIN_CHARS` characters and `WORDS_LEAST` words: those that are equal but for one word
 changed, put in or taken out are linked as well, whatever their length.
 
-A segment that many lines list (more than `RARE`) doesn't give all pairs: its lines are paired with
-one hub, and what isn't in the hub's component then is compared with the list in blocks, letting
-through only pairs whose character parities are close enough.
+A segment that many lines list (more than `RARE`) doesn't give all pairs. At one edit its lines
+differ in what is beside the segment only, and by one edit again: that rest is cut into segments in
+turn, and lines go on together only if they share one of these too, until lists are short or the
+rest is one character (or word), where any two lines of a list are linked and a hub stands for all.
+At more edits the lines of such a list are paired with one hub, and what isn't in the hub's component
+then is compared with the list in blocks, letting through only pairs whose character parities are
+close enough.
+
+Texts of lines are neither shuffled nor stored: keys are made where a document is read, and the lines
+of the pairs found are read again.
 
 The first line of a component (least doc_id, then line number) is kept, the others are repeats.
 
@@ -26,6 +33,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +43,7 @@ from spikeloom.llm.components import components
 
 THRESHOLD = 1
 MIN_CHARS = 20
-RARE = 48
+RARE = 16
 BLOCK = 256
 #: What has none of these has no word.
 WORD = r"[\p{L}\p{N}]"
@@ -72,15 +81,20 @@ def _word_piece(words: Column, start: Column, size: Column) -> Column:
     return F.slice(words, F.greatest(start, F.lit(0)) + 1, size)
 
 
-def listed_segments(line: Column, n: Column, threshold: int, piece=_piece) -> Column:
+def _key(of: Column, i: int, piece: Column) -> Column:
+    """The key of a segment: of its line's length (below zero if it counts words) or of the segment it lies beside."""
+    return F.xxhash64(of.cast("long"), F.lit(i), piece)
+
+
+def listed_segments(line: Column, n: Column, threshold: int, piece=_piece, sign: int = 1) -> Column:
     keys = []
     for i in range(threshold + 1):
         start, size = _segment(n, i, threshold + 1)
-        keys.append(F.xxhash64(n, F.lit(i), piece(line, start, size)))
+        keys.append(_key(sign * n, i, piece(line, start, size)))
     return F.array(*keys)
 
 
-def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece) -> Column:
+def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece, sign: int = 1) -> Column:
     """Keys of the substrings where a segment of an equal or shorter line could be.
 
     With i segments before and threshold - i after it, one that is untouched while the edits on
@@ -95,11 +109,27 @@ def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece) ->
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                key = F.xxhash64(shorter, F.lit(i), piece(line, at, size))
+                key = _key(sign * shorter, i, piece(line, at, size))
                 keys.append(F.when((at >= 0) & (at + size <= n), key))
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+def with_keys(lines: DataFrame, threshold: int, words: bool) -> DataFrame:
+    """The lines with the keys that they list, and those that they probe besides."""
+    text, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
+    sides = {"listed": listed_segments, "probed": probed_substrings}
+    by_char = {k: F.when(n > 2 * threshold, F.array_distinct(make(text, n, threshold))).otherwise(none) for k, make in sides.items()}
+    if not words:
+        found = lines.select("*", *[v.alias(k) for k, v in by_char.items()])
+    else:
+        found = lines.withColumn("ws", F.when(n >= MIN_CHARS, split_words(text)).otherwise(F.array().cast("array<string>")))
+        ws = F.col("ws")
+        enough = F.size(ws) >= WORDS_LEAST
+        by_word = {k: F.when(enough, F.array_distinct(make(ws, F.size(ws), 1, _word_piece, -1))).otherwise(none) for k, make in sides.items()}
+        found = found.select("*", *[F.concat(by_char[k], by_word[k]).alias(k) for k in sides]).drop("ws")
+    return found.withColumn("probed", F.array_except("probed", "listed"))
+
+
 # -- verification
 
 
@@ -192,17 +222,11 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return F.when(at == 0, True).otherwise(F.coalesce(same, F.lit(False)))
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts with these ids; few ids are broadcast, so that the other texts aren't shuffled."""
-    ids = cut(ids.distinct())
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int, words: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: int, words: bool = False) -> DataFrame:
     """The pairs (a, b) whose lines are within the threshold or, if words count, a word apart."""
     pairs = cut(pairs)
-    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    sides = [texts.select(F.col("id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab"]
+    lines = texts(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sides = [lines.select(F.col("id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
     near = edit_distance_within(F.col("la"), F.col("lb"), threshold)
     if words:
@@ -220,53 +244,112 @@ def _parities(parts: Column) -> Column:
 # -- the join
 
 
-def _keys(lines: DataFrame, threshold: int, words: bool, make) -> DataFrame:
-    """id and key of segments or probes, by characters and, for lines of enough words, by words (`w`)."""
-    text, n = F.col("line"), F.col("n")
-    keys = F.array_distinct(make(text, n, threshold))
-    found = lines.select("id", F.explode(keys).alias("key"), F.lit(False).alias("w"))
-    if not words:
-        return found
-    split = lines.filter(n >= MIN_CHARS).select("id", split_words(text).alias("ws")).filter(F.size("ws") >= WORDS_LEAST)
-    keys = F.transform(F.array_distinct(make(F.col("ws"), F.size("ws"), 1, _word_piece)), lambda k: F.xxhash64(F.lit("w"), k))
-    return found.unionByName(split.select("id", F.explode(keys).alias("key"), F.lit(True).alias("w")))
-
-
-def line_links(lines: DataFrame, shelf: Shelf, threshold: int, words: bool = False) -> DataFrame:
-    """node and root of lines (id, line, n) that are within the threshold of another, or a word apart."""
-    listed = _keys(lines, threshold, words, listed_segments)
-    probed = _keys(lines, threshold, words, probed_substrings)
-    common = cut(listed.groupBy("key").count().filter(F.col("count") > RARE).select("key"))
-    if (most := common.count()) <= BROADCAST_ROWS:
-        common = F.broadcast(common)
-
-    rare = listed.join(common, "key", "left_anti") if most else listed
-    pairs = rare.select("key", F.col("id").alias("x")).join(probed.select("key", F.col("id").alias("y")), "key").filter("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if not most:
-        return components(verified(pairs, lines, threshold, words))
-
-    members = listed.unionByName(probed).join(common, "key", "left_semi").distinct()
-    texts = _only(lines, members.select("id"))
-    by_word = lambda word, char: F.when(F.col("w"), word).otherwise(char)
-    count = by_word(F.size(split_words(F.col("line"))), F.col("n")).alias("n")
-    parity = by_word(_parities(split_words(F.col("line"))), _parities(F.split("line", ""))).alias("parity")
-    members = shelf.put(members.join(texts, "id").select("key", "id", count, parity), "members")
+def _narrowed(rows: DataFrame) -> DataFrame:
+    """For rows of a list (key, id, probe, w, rest), where rest is what the segments so far leave of a
+    line: the keys of the rest's own segments, with what these leave. A probe looks for a rest that is
+    one shorter. A rest of one character or word is a leaf: lines that list it are linked with all that
+    share their key, and with the probes that hold its one."""
+    w, rest, key = F.col("w"), F.col("rest"), F.col("key")
+    units = F.split(rest, " ")
+    n = F.when(w, F.size(units)).otherwise(F.length(rest))
+    rows = rows.select("*", units.alias("units"), n.alias("n"), (n - F.col("probe").cast("int")).alias("t"))
+    n, t, units = F.col("n"), F.col("t"), F.col("units")
+    half = F.floor(t / 2).cast("int")
+
+    def part(i: int, start: Column, size: Column, left_from: Column, left: Column, leaf: bool = False) -> Column:
+        name = F.when(w, _key(key, i, _word_piece(units, start, size))).otherwise(_key(key, i, _piece(rest, start, size)))
+        other = F.when(w, F.array_join(_word_piece(units, left_from, left), " ")).otherwise(_piece(rest, left_from, left))
+        return F.struct(name.alias("key"), other.alias("rest"), F.lit(leaf).alias("leaf"))
+
+    zero, one = F.lit(0), F.lit(1)
+    halves = F.array(part(0, zero, half, half, n - half), part(1, n - (t - half), t - half, zero, n - (t - half)))
+    first, second, any_one = (part(i, F.lit(at), size, zero, one, True) for i, at, size in ((2, 0, one), (2, 1, one), (3, 0, zero)))
+    leaves = F.when(F.col("probe"), F.array(first, second)).otherwise(F.array(first, any_one))
+    return rows.select("id", "probe", "w", F.explode(F.when(t > 1, halves).otherwise(leaves)).alias("p")).select("p.key", "id", "probe", "w", "p.rest", "p.leaf")
+
+
+def _met(listed: DataFrame, asking: DataFrame) -> DataFrame:
+    """Pairs of the ids that list a key with all that list or probe it."""
+    pairs = listed.select("key", F.col("id").alias("x")).join(asking.select("key", F.col("id").alias("y")), "key").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _narrowing(lines: DataFrame, common: DataFrame, shelf: Shelf, words: bool) -> DataFrame:
+    """Pairs of lines (id, line) from the lists of common keys, at one edit."""
+    ws = split_words(F.col("line"))
+    n = F.length("line")
+    sides = [(False, n, F.col("line"), n > 2)]
+    if words:
+        sides.append((True, F.size(ws), F.array_join(ws, " "), (n >= MIN_CHARS) & (F.size(ws) >= WORDS_LEAST)))
+    sign = lambda w: -1 if w else 1
+    whole = [
+        lines.filter(fits).select((F.lit(sign(w)) * (size - int(probe))).cast("long").alias("key"), "id", F.lit(probe).alias("probe"), F.lit(w).alias("w"), rest.alias("rest"))
+        for w, size, rest, fits in sides
+        for probe in (False, True)
+    ]
+    rows = whole[0]
+    for more in whole[1:]:
+        rows = rows.unionByName(more)
+    rows, level, found = _narrowed(rows).join(common, "key", "left_semi"), 0, None
+    while True:
+        rows = shelf.put(_narrowed(rows.select("key", "id", "probe", "w", "rest")), f"level{level}")
+        if level:
+            shelf.drop(f"level{level - 1}")
+        lists = cut(rows.filter("NOT probe").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub"), F.first("leaf").alias("leaf")))
+        stars = rows.filter("leaf").join(lists.select("key", "hub"), "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        short = rows.filter("NOT leaf").join(lists.filter(F.col("leaf") | (F.col("n") > RARE)).select("key"), "key", "left_anti")
+        new = cut(stars.unionByName(_met(short.filter("NOT probe"), short)).distinct())
+        found = new if found is None else found.unionByName(new)
+        long = lists.filter(~F.col("leaf") & (F.col("n") > RARE)).select("key")
+        if long.isEmpty():
+            shelf.drop(f"level{level}")
+            return found
+        rows, level = rows.join(long, "key", "left_semi"), level + 1
+
+
+def _by_blocks(pairs: DataFrame, members: DataFrame, texts, shelf: Shelf, threshold: int, words: bool) -> DataFrame:
+    """node and root by the pairs and by the lists (key, id) of common keys, at more edits than one."""
+    apart = max(threshold, int(words))
+    lines = texts(members.select("id")).select("id", F.length("line").alias("n"), _parities(F.split("line", "")).alias("parity"), _parities(split_words(F.col("line"))).alias("by_word"))
+    members = shelf.put(members.join(lines, "id"), "members")
     hubs = cut(members.groupBy("key").agg(F.min("id").alias("hub")))
     starred = members.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = cut(verified(pairs.unionByName(starred).distinct(), lines, threshold, words))
+    links = cut(verified(pairs.unionByName(starred).distinct(), texts, threshold, words))
     roots = cut(components(links))
 
     rooted = lambda df, k, r: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(r)), k, "left").withColumn(r, F.coalesce(r, k))
-    placed = rooted(members, "id", "root")
-    strays = placed.join(rooted(hubs, "hub", "centre"), "key").filter("root <> centre").select("key", F.struct("id", "n", "root", "parity").alias("s"))
+    one = F.struct("id", "n", "root", "parity", "by_word")
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).groupBy("key", "block").agg(F.collect_list(F.struct("id", "n", "root", "parity")).alias("ms"))
-    most_edits = max(threshold, int(words))
-    near = lambda m: (m["root"] != F.col("s.root")) & (F.abs(m["n"] - F.col("s.n")) <= most_edits) & (F.bit_count(m["parity"].bitwiseXOR(F.col("s.parity"))) <= 2 * most_edits)
-    more = strays.join(blocks, "key").select("s", F.explode(F.filter("ms", near)).alias("m"))
+    placed = rooted(members, "id", "root").join(sizes, "key")
+    blocks = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).groupBy("key", "block").agg(F.collect_list(one).alias("ms"))
+    strays = placed.join(rooted(hubs, "hub", "centre"), "key").filter("root <> centre")
+    strays = strays.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), one.alias("s"))
+    close = lambda m, by: F.bit_count(m[by].bitwiseXOR(F.col(f"s.{by}"))) <= 2 * apart
+    by_chars = lambda m: (F.abs(m["n"] - F.col("s.n")) <= threshold) & close(m, "parity")
+    near = lambda m: (m["root"] != F.col("s.root")) & (by_chars(m) | close(m, "by_word") if words else by_chars(m))
+    more = strays.join(blocks, ["key", "block"]).select("s", F.explode(F.filter("ms", near)).alias("m"))
     more = more.select(F.least("s.id", "m.id").alias("a"), F.greatest("s.id", "m.id").alias("b")).distinct()
-    return components(links.unionByName(verified(more, lines, threshold, words)))
+    found = cut(components(links.unionByName(verified(more, texts, threshold, words))))
+    shelf.drop("members")
+    return found
+
+
+def line_links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], shelf: Shelf, threshold: int, words: bool = False) -> DataFrame:
+    """node and root of lines (id, listed, probed) that are within the threshold of another, or a word apart.
+
+    `texts` gives id and line for a table of ids."""
+    listed = distinct.select("id", F.explode("listed").alias("key"))
+    asking = distinct.select("id", F.explode(F.concat("listed", "probed")).alias("key"))
+    common = cut(listed.groupBy("key").count().filter(F.col("count") > RARE).select("key"))
+    if (most := common.count()) <= BROADCAST_ROWS:
+        common = F.broadcast(common)
+    pairs = _met(listed.join(common, "key", "left_anti") if most else listed, asking).distinct()
+    if most:
+        members = cut(asking.join(common, "key", "left_semi"))
+        if threshold > 1:
+            return _by_blocks(pairs, members, texts, shelf, threshold, words)
+        pairs = pairs.unionByName(_narrowing(texts(members.select("id")), common, shelf, words)).distinct()
+    return components(verified(pairs, texts, threshold, words))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, words: bool = False) -> DataFrame:
@@ -278,10 +361,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """
     shelf = Shelf(docs.sparkSession)
     lines = split_lines(keyed(docs, doc_id=doc_id, text=text), min_chars)
-    first = F.min(F.struct("doc_id", "line_no", "line"))
-    distinct = lines.groupBy("h1", "h2").agg(first.alias("f")).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*")
-    distinct = shelf.put(distinct.withColumn("n", F.length("line")), "lines")
-    roots = line_links(distinct.select("id", "line", "n").filter(F.col("n") > 2 * threshold), shelf, threshold, words)
+    first = F.min(F.struct("doc_id", "line_no", "listed", "probed"))
+    distinct = with_keys(lines, threshold, words).groupBy("h1", "h2").agg(first.alias("f"))
+    distinct = shelf.put(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "f.*"), "lines")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.distinct())
+        few = ids.count() <= BROADCAST_IDS
+        names = cut(distinct.select("id", "h1", "h2").join(F.broadcast(ids) if few else ids, "id", "left_semi"))
+        found = lines.select("h1", "h2", "line").join(F.broadcast(names) if few else names, ["h1", "h2"])
+        return found.groupBy("id").agg(F.first("line").alias("line"))
+
+    roots = line_links(distinct.select("id", "listed", "probed"), texts, shelf, threshold, words)
     classes = distinct.select("id", "h1", "h2", F.struct("doc_id", "line_no").alias("own"))
     linked = classes.join(roots, classes["id"] == roots["node"]).select("h1", "h2", "own", "root")
     firsts = linked.groupBy("root").agg(F.min("own").alias("own"))

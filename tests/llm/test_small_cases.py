@@ -365,7 +365,10 @@ def test_edit_distance(spark):
         assert df.filter(line_dedup.edit_distance_within(F.col("a"), F.col("b"), t) != (F.col("d") <= t)).count() == 0
 
 
-def test_line_dedup_matches_brute_force(spark):
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_line_dedup_matches_brute_force(spark, monkeypatch, threshold):
+    monkeypatch.setattr(line_dedup, "RARE", 6)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
     rng = random.Random(7)
     docs = []
     for _ in range(12):
@@ -386,10 +389,10 @@ def test_line_dedup_matches_brute_force(spark):
     keys = sorted(lines, key=order)
     for n, a in enumerate(keys):
         for b in keys[:n]:
-            if abs(len(lines[a]) - len(lines[b])) <= 1 and distance(lines[a], lines[b]) <= 1:
+            if abs(len(lines[a]) - len(lines[b])) <= threshold and distance(lines[a], lines[b]) <= threshold:
                 x, y = sorted((find(a), find(b)), key=order)
                 parent[y] = x
-    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in line_dedup.dedup_lines(df).collect()}
+    got = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no, r.kept) for r in line_dedup.dedup_lines(df, threshold=threshold).collect()}
     assert got == {k: (*find(k), find(k) == k) for k in keys}
     rest = line_dedup.without_repeats(df)
     assert rest.columns == df.columns
