@@ -77,8 +77,20 @@ def _piece(line: Column, start: Column, size: Column) -> Column:
     return F.substring(line, start + 1, size)
 
 
+def word_string(line: Column) -> Column:
+    """The line's words with one space between them."""
+    plain = F.trim(F.translate(line, "\t\x0b\f\r", "    "))
+    return F.when(F.instr(plain, "  ") > 0, F.regexp_replace(plain, " +", " ")).otherwise(plain)
+
+
+def word_count(words: Column) -> Column:
+    return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+
+
 def _word_piece(words: Column, start: Column, size: Column) -> Column:
-    return F.slice(words, F.greatest(start, F.lit(0)) + 1, size)
+    """So many words of a word string from a place on, which is 0 or where the last ones start."""
+    part = lambda count: F.call_function("substring_index", words, F.lit(" "), count)
+    return F.when(start <= 0, part(size)).otherwise(part(-size))
 
 
 def _key(of: Column, i: int, piece: Column) -> Column:
@@ -95,7 +107,7 @@ def listed_segments(line: Column, n: Column, threshold: int, piece=_piece, sign:
 
 
 def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece, sign: int = 1) -> Column:
-    """Keys of the substrings where a segment of an equal or shorter line could be.
+    """Keys of the substrings where a segment of an equal or shorter line could be, null for places outside.
 
     With i segments before and threshold - i after it, one that is untouched while the edits on
     either side stay fewer than the segments there is shifted by at most i from its place counted
@@ -108,26 +120,24 @@ def probed_substrings(line: Column, n: Column, threshold: int, piece=_piece, sig
             start, size = _segment(shorter, i, threshold + 1)
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             for shift in range(low, high + 1):
-                at = start + shift
-                key = _key(sign * shorter, i, piece(line, at, size))
-                keys.append(F.when((at >= 0) & (at + size <= n), key))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+                if less or shift:  # the line's own segments are listed
+                    at = start + shift
+                    key = _key(sign * shorter, i, piece(line, at, size))
+                    keys.append(F.when((at >= 0) & (at + size <= n), key))
+    return F.array(*keys)
 
 
 def with_keys(lines: DataFrame, threshold: int, words: bool) -> DataFrame:
-    """The lines with the keys that they list, and those that they probe besides."""
+    """The lines with the keys that they list, and those that they probe besides; keys may be null."""
     text, n, none = F.col("line"), F.col("n"), F.array().cast("array<bigint>")
     sides = {"listed": listed_segments, "probed": probed_substrings}
-    by_char = {k: F.when(n > 2 * threshold, F.array_distinct(make(text, n, threshold))).otherwise(none) for k, make in sides.items()}
+    by_char = {k: F.when(n > 2 * threshold, make(text, n, threshold)).otherwise(none) for k, make in sides.items()}
     if not words:
-        found = lines.select("*", *[v.alias(k) for k, v in by_char.items()])
-    else:
-        found = lines.withColumn("ws", F.when(n >= MIN_CHARS, split_words(text)).otherwise(F.array().cast("array<string>")))
-        ws = F.col("ws")
-        enough = F.size(ws) >= WORDS_LEAST
-        by_word = {k: F.when(enough, F.array_distinct(make(ws, F.size(ws), 1, _word_piece, -1))).otherwise(none) for k, make in sides.items()}
-        found = found.select("*", *[F.concat(by_char[k], by_word[k]).alias(k) for k in sides]).drop("ws")
-    return found.withColumn("probed", F.array_except("probed", "listed"))
+        return lines.select("*", *[v.alias(k) for k, v in by_char.items()])
+    lines = lines.withColumn("ws", F.when(n >= MIN_CHARS, word_string(text)).otherwise(F.lit(""))).withColumn("wn", word_count(F.col("ws")))
+    ws, wn = F.col("ws"), F.col("wn")
+    by_word = {k: F.when(wn >= WORDS_LEAST, make(ws, wn, 1, _word_piece, -1)).otherwise(none) for k, make in sides.items()}
+    return lines.select("*", *[F.concat(by_char[k], by_word[k]).alias(k) for k in sides]).drop("ws", "wn")
 
 
 # -- verification
@@ -210,7 +220,7 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
 
 
 def split_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(word_string(line), " "), lambda w: w != "")
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -250,16 +260,14 @@ def _narrowed(rows: DataFrame) -> DataFrame:
     one shorter. A rest of one character or word is a leaf: lines that list it are linked with all that
     share their key, and with the probes that hold its one."""
     w, rest, key = F.col("w"), F.col("rest"), F.col("key")
-    units = F.split(rest, " ")
-    n = F.when(w, F.size(units)).otherwise(F.length(rest))
-    rows = rows.select("*", units.alias("units"), n.alias("n"), (n - F.col("probe").cast("int")).alias("t"))
-    n, t, units = F.col("n"), F.col("t"), F.col("units")
+    n = F.when(w, word_count(rest)).otherwise(F.length(rest))
+    rows = rows.select("*", n.alias("n"), (n - F.col("probe").cast("int")).alias("t"))
+    n, t = F.col("n"), F.col("t")
     half = F.floor(t / 2).cast("int")
 
     def part(i: int, start: Column, size: Column, left_from: Column, left: Column, leaf: bool = False) -> Column:
-        name = F.when(w, _key(key, i, _word_piece(units, start, size))).otherwise(_key(key, i, _piece(rest, start, size)))
-        other = F.when(w, F.array_join(_word_piece(units, left_from, left), " ")).otherwise(_piece(rest, left_from, left))
-        return F.struct(name.alias("key"), other.alias("rest"), F.lit(leaf).alias("leaf"))
+        taken = lambda at, size: F.when(w, _word_piece(rest, at, size)).otherwise(_piece(rest, at, size))
+        return F.struct(_key(key, i, taken(start, size)).alias("key"), taken(left_from, left).alias("rest"), F.lit(leaf).alias("leaf"))
 
     zero, one = F.lit(0), F.lit(1)
     halves = F.array(part(0, zero, half, half, n - half), part(1, n - (t - half), t - half, zero, n - (t - half)))
@@ -276,11 +284,11 @@ def _met(listed: DataFrame, asking: DataFrame) -> DataFrame:
 
 def _narrowing(lines: DataFrame, common: DataFrame, shelf: Shelf, words: bool) -> DataFrame:
     """Pairs of lines (id, line) from the lists of common keys, at one edit."""
-    ws = split_words(F.col("line"))
+    ws = word_string(F.col("line"))
     n = F.length("line")
     sides = [(False, n, F.col("line"), n > 2)]
     if words:
-        sides.append((True, F.size(ws), F.array_join(ws, " "), (n >= MIN_CHARS) & (F.size(ws) >= WORDS_LEAST)))
+        sides.append((True, word_count(ws), ws, (n >= MIN_CHARS) & (word_count(ws) >= WORDS_LEAST)))
     sign = lambda w: -1 if w else 1
     whole = [
         lines.filter(fits).select((F.lit(sign(w)) * (size - int(probe))).cast("long").alias("key"), "id", F.lit(probe).alias("probe"), F.lit(w).alias("w"), rest.alias("rest"))
@@ -338,8 +346,8 @@ def line_links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], she
     """node and root of lines (id, listed, probed) that are within the threshold of another, or a word apart.
 
     `texts` gives id and line for a table of ids."""
-    listed = distinct.select("id", F.explode("listed").alias("key"))
-    asking = distinct.select("id", F.explode(F.concat("listed", "probed")).alias("key"))
+    listed = distinct.select("id", F.explode("listed").alias("key")).filter("key IS NOT NULL")
+    asking = distinct.select("id", F.explode(F.concat("listed", "probed")).alias("key")).filter("key IS NOT NULL")
     common = cut(listed.groupBy("key").count().filter(F.col("count") > RARE).select("key"))
     if (most := common.count()) <= BROADCAST_ROWS:
         common = F.broadcast(common)
