@@ -22,10 +22,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared checkpoint folder; a temporary one only where none is named on local cores (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spikeloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -41,7 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
 class Shelf:
     """Parquet tables in the shared folder for what is read more than once.
 
-    `put` writes a table and returns it as read back; `drop` deletes tables no longer needed.
+    `put` writes a table and returns it as read back; `drop` deletes tables no longer needed. What a
+    result still reads goes when the driver's session ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -51,11 +54,17 @@ class Shelf:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        system, root = self._folder(self.root)
+        system.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = self._folder(f"{self.root}/{name}")
+        system.delete(path, True)
+
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
 
 def keyed(df: DataFrame, **named: str) -> DataFrame:

@@ -200,7 +200,8 @@ class PieceModel:
 
     def spaces(self, n: int) -> list[int]:
         """The ids of n spaces: all their merges have one score, so the leftmost goes first."""
-        if n not in self._spaces:
+        ids = self._spaces.get(n)
+        if ids is None:
             size = [1] * n
             before, after = list(range(-1, n - 1)), [*range(1, n), -1]
             heap = [(i, i + 1, 2) for i in range(n - 1) if SPACE * 2 in self.id_of]
@@ -215,8 +216,10 @@ class PieceModel:
                 for x, y in ((before[left], left), (left, after[left])):
                     if x >= 0 and y >= 0 and SPACE * (size[x] + size[y]) in self.id_of:
                         heapq.heappush(heap, (x, y, size[x] + size[y]))
-            self._spaces[n] = [self.id_of[SPACE * s] for s in size if s]
-        return self._spaces[n]
+            ids = [self.id_of[SPACE * s] for s in size if s]
+            if n <= 64:
+                self._spaces[n] = ids
+        return ids
 
     def _fresh(self, word: str, prefix: str) -> tuple[int, ...]:
         if "\n" in word and "\n" not in self.id_of:  # a character without a piece: both sides stand alone
@@ -227,7 +230,7 @@ class PieceModel:
                 ids += newline
                 ids += self.bare(line)
             return tuple(ids)
-        if word[-1:] in ",." and len(word) > 1:  # if it can follow, the rest is as without it
+        if word[-1:] in ",." and len(word) > 1 and word[-2] not in ",.":  # if it can follow, the rest is as without it
             ids = self.word(word[:-1]) if prefix else self.bare(word[:-1])
             if self.pieces[ids[-1]] in self.rank and self.compatible(self.pieces[ids[-1]], word[-1]):
                 return (*ids, self.id_of[word[-1]])

@@ -11,7 +11,8 @@ the smallest hashes of their ids); every document is scored.
 
 Defined results: a null text counts as empty and is scored like any other; texts are taken whole;
 repeated rows give repeated results; documents without a label are scored; null labels are left
-out, and of several labels of a document the mean decides; without labels every score is 0.5; a
+out, and of several labels of a document the mean decides; of several labelled texts of one id the
+one with the smallest measures is learned from; without labels every score is 0.5; a
 null id is never held out; other columns are ignored.
 """
 
@@ -185,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     gauge = F.pandas_udf(lambda texts: pd.Series([measures(t) for t in texts]), "array<double>")
     # the labels are at most train_rows rows of two numbers: small enough to broadcast
-    rows = keyed(docs, id=doc_id, text=text).join(F.broadcast(known), "id").select("id", "label", gauge("text").alias("x")).limit(2 * train_rows).collect()
+    measured = keyed(docs, id=doc_id, text=text).join(F.broadcast(known), "id").select("id", "label", gauge("text").alias("x"))
+    rows = measured.groupBy("id", "label").agg(F.min("x").alias("x")).collect()  # one row a label, so train_rows at most
     rows.sort(key=lambda r: (r["id"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["label"] for r in rows]))
 
