@@ -77,20 +77,17 @@ def _piece(line: Column, start: Column, size: Column) -> Column:
     return F.substring(line, start + 1, size)
 
 
-def word_string(line: Column) -> Column:
-    """The line's words with one space between them."""
-    plain = F.trim(F.translate(line, "\t\x0b\f\r", "    "))
-    return F.when(F.instr(plain, "  ") > 0, F.regexp_replace(plain, " +", " ")).otherwise(plain)
-
-
-def word_count(words: Column) -> Column:
-    return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+def split_words(line: Column) -> Column:
+    """The line's words; most lines have single spaces only, which costs least to tell and to split."""
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(c))
+    odd = odd | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.split(F.when(odd, F.trim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line), " ")
 
 
 def _word_piece(words: Column, start: Column, size: Column) -> Column:
-    """So many words of a word string from a place on, which is 0 or where the last ones start."""
-    part = lambda count: F.call_function("substring_index", words, F.lit(" "), count)
-    return F.when(start <= 0, part(size)).otherwise(part(-size))
+    return F.slice(words, F.greatest(start, F.lit(0)) + 1, size)
 
 
 def _key(of: Column, i: int, piece: Column) -> Column:
@@ -134,10 +131,10 @@ def with_keys(lines: DataFrame, threshold: int, words: bool) -> DataFrame:
     by_char = {k: F.when(n > 2 * threshold, make(text, n, threshold)).otherwise(none) for k, make in sides.items()}
     if not words:
         return lines.select("*", *[v.alias(k) for k, v in by_char.items()])
-    lines = lines.withColumn("ws", F.when(n >= MIN_CHARS, word_string(text)).otherwise(F.lit(""))).withColumn("wn", word_count(F.col("ws")))
-    ws, wn = F.col("ws"), F.col("wn")
-    by_word = {k: F.when(wn >= WORDS_LEAST, make(ws, wn, 1, _word_piece, -1)).otherwise(none) for k, make in sides.items()}
-    return lines.select("*", *[F.concat(by_char[k], by_word[k]).alias(k) for k in sides]).drop("ws", "wn")
+    # bound by _let, so that the expressions over words don't make the generated code too long to compile
+    keys = lambda ws: F.when(F.size(ws) >= WORDS_LEAST, F.struct(*[make(ws, F.size(ws), 1, _word_piece, -1).alias(k) for k, make in sides.items()]))
+    lines = lines.withColumn("by_word", F.when(n >= MIN_CHARS, _let(split_words(text), keys)))
+    return lines.select("*", *[F.concat(by_char[k], F.coalesce(F.col("by_word")[k], none)).alias(k) for k in sides]).drop("by_word")
 
 
 # -- verification
@@ -219,10 +216,6 @@ def edit_distance_within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(close, _let(F.struct(a.alias("x"), b.alias("y")), trimmed)).otherwise(F.lit(False))
 
 
-def split_words(line: Column) -> Column:
-    return F.filter(F.split(word_string(line), " "), lambda w: w != "")
-
-
 def one_word_apart(a: Column, b: Column) -> Column:
     """Whether two arrays of words are equal but for one word changed, put in or taken out."""
     at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")  # the first difference
@@ -238,10 +231,13 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], threshol
     lines = texts(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     sides = [lines.select(F.col("id").alias(k), F.col("line").alias(f"l{k}")) for k in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
-    near = edit_distance_within(F.col("la"), F.col("lb"), threshold)
     if words:
-        enough = lambda x: (F.length(x) >= MIN_CHARS) & (F.size(split_words(x)) >= WORDS_LEAST)
-        near = (enough(F.col("la")) & enough(F.col("lb")) & one_word_apart(split_words(F.col("la")), split_words(F.col("lb")))) | near
+        met = met.select("*", split_words(F.col("la")).alias("wa"), split_words(F.col("lb")).alias("wb"))
+        enough = [(F.length(f"l{k}") >= MIN_CHARS) & (F.size(f"w{k}") >= WORDS_LEAST) for k in "ab"]
+        apart = _let(F.struct("wa", "wb"), lambda w: one_word_apart(w["wa"], w["wb"]))
+        met = met.select("a", "b", "la", "lb", (enough[0] & enough[1] & apart).alias("near"))
+        return met.filter(F.col("near") | edit_distance_within(F.col("la"), F.col("lb"), threshold)).select("a", "b")
+    near = edit_distance_within(F.col("la"), F.col("lb"), threshold)
     return met.filter(near).select("a", "b")
 
 
@@ -260,14 +256,16 @@ def _narrowed(rows: DataFrame) -> DataFrame:
     one shorter. A rest of one character or word is a leaf: lines that list it are linked with all that
     share their key, and with the probes that hold its one."""
     w, rest, key = F.col("w"), F.col("rest"), F.col("key")
-    n = F.when(w, word_count(rest)).otherwise(F.length(rest))
+    rows = rows.select("*", F.when(w, F.split(rest, " ")).alias("units"))
+    n = F.when(w, F.size("units")).otherwise(F.length(rest))
     rows = rows.select("*", n.alias("n"), (n - F.col("probe").cast("int")).alias("t"))
-    n, t = F.col("n"), F.col("t")
+    n, t, units = F.col("n"), F.col("t"), F.col("units")
     half = F.floor(t / 2).cast("int")
 
     def part(i: int, start: Column, size: Column, left_from: Column, left: Column, leaf: bool = False) -> Column:
-        taken = lambda at, size: F.when(w, _word_piece(rest, at, size)).otherwise(_piece(rest, at, size))
-        return F.struct(_key(key, i, taken(start, size)).alias("key"), taken(left_from, left).alias("rest"), F.lit(leaf).alias("leaf"))
+        name = F.when(w, _key(key, i, _word_piece(units, start, size))).otherwise(_key(key, i, _piece(rest, start, size)))
+        other = F.when(w, F.array_join(_word_piece(units, left_from, left), " ")).otherwise(_piece(rest, left_from, left))
+        return F.struct(name.alias("key"), other.alias("rest"), F.lit(leaf).alias("leaf"))
 
     zero, one = F.lit(0), F.lit(1)
     halves = F.array(part(0, zero, half, half, n - half), part(1, n - (t - half), t - half, zero, n - (t - half)))
@@ -284,11 +282,11 @@ def _met(listed: DataFrame, asking: DataFrame) -> DataFrame:
 
 def _narrowing(lines: DataFrame, common: DataFrame, shelf: Shelf, words: bool) -> DataFrame:
     """Pairs of lines (id, line) from the lists of common keys, at one edit."""
-    ws = word_string(F.col("line"))
+    ws = split_words(F.col("line"))
     n = F.length("line")
     sides = [(False, n, F.col("line"), n > 2)]
     if words:
-        sides.append((True, word_count(ws), ws, (n >= MIN_CHARS) & (word_count(ws) >= WORDS_LEAST)))
+        sides.append((True, F.size(ws), F.array_join(ws, " "), (n >= MIN_CHARS) & (F.size(ws) >= WORDS_LEAST)))
     sign = lambda w: -1 if w else 1
     whole = [
         lines.filter(fits).select((F.lit(sign(w)) * (size - int(probe))).cast("long").alias("key"), "id", F.lit(probe).alias("probe"), F.lit(w).alias("w"), rest.alias("rest"))
