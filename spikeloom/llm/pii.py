@@ -2,9 +2,11 @@
 
 Four base kinds are found by fixed patterns with checks (e-mail, IPv4 address, card, phone); these
 spans always stay. Looser patterns propose further spans: unprefixed phone numbers, spelled-out
-e-mail addresses, card-like and national numbers, IBANs and IPv6 addresses. Every proposed span,
-base ones too, is shown to labelers (strict pattern, checksum, gazetteer of words nearby, gazetteer
-of issuers and domains, edges, surroundings), which vote for, against or not at all.
+e-mail addresses, card-like and national numbers, IBANs and IPv6 addresses, secrets (keys, tokens,
+passwords), names of persons and street addresses. Every proposed span, base ones too, is shown to
+labelers (strict pattern, checksum or, for secrets, mix of characters, gazetteer of words nearby,
+gazetteer of issuers, domains, token formats, given names and street words, edges, surroundings),
+which vote for, against or not at all.
 
 The vote patterns of the whole corpus are counted on the executors. Expectation-maximisation on
 these counts estimates how reliable each labeler is and, with that, how likely each pattern is
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from spikeloom.llm.common import keyed
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ipv6", "national_id")
+KINDS = (*BASE, "iban", "ipv6", "national_id", "secret", "person", "address")
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,14 +42,44 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2,63})+", re.I)
-LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 
-#: Words that announce personal data, in lower case.
-NEARBY = re.compile(r"\b(?:e-?mail|mail|phone|tel|telephone|call|fax|mobile|card|visa|mastercard|iban|account|ssn|ip|address|contact)\b")
+ASSIGNED = re.compile(
+    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,32}[_-]){0,3}(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|passphrase|bearer|authorization)"
+    r"[\"']?(?:\s{0,4}[:=]>?\s{0,4}|\s{1,4})[\"']?([^\s\"'<>,;]{8,256})",
+    re.I,
+)
+RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,512}(?![A-Za-z0-9_+/=-])")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+WORD_NAME = "[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,30}"
+TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra?)\.? {WORD_NAME}(?:[ -]{WORD_NAME}){{0,2}}")
+STREET = re.compile(
+    rf"(?<![\w.])[0-9]{{1,5}}[a-z]?,? (?:{WORD_NAME} ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace)(?!\w)"
+    rf"|(?<!\w)[A-ZÄÖÜ][a-zäöüß-]{{1,30}}(?:straße|strasse|gasse|allee|platz) [0-9]{{1,4}}[a-z]?(?!\w)"
+    rf"|(?<![\w.])[0-9]{{1,4}}(?: bis)?,? (?:rue|avenue|boulevard|place|allée|impasse) (?:de la |de l'|du |des |de )?{WORD_NAME}(?:[ -]{WORD_NAME}){{0,2}}"
+    rf"|(?<!\w)(?:Calle|Avenida|Plaza|Paseo) (?:de la |del |de )?{WORD_NAME}(?: {WORD_NAME}){{0,2}},? [0-9]{{1,4}}(?!\w)"
+)
+
+#: Words that announce personal data, in lower case.
+NEARBY = re.compile(
+    r"\b(?:e-?mail|mail|phone|tel|telephone|call|fax|mobile|card|visa|mastercard|iban|account|ssn|ip|address|contact|name|signed|sincerely|regards|born|"
+    r"lives?|resident|street|adresse|dirección|token|key|secret|passwor[dt]|passwd|pwd|bearer|authorization|credentials?|login)\b"
+)
 DOMAINS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu"}
+#: How keys and tokens of well-known services begin.
+TOKEN_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "AIza", "sk_live_", "sk_test_", "sk-", "rk_live_", "npm_", "pypi-", "SG.", "eyJ", "-----BEGIN")
+#: Common given names in English, German, French and Spanish.
+GIVEN_NAMES = frozenset(
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah "
+    "Charles Karen Daniel Nancy Matthew Lisa Anthony Margaret Mark Sandra Paul Emily Andrew Michelle Peter Laura Hans Klaus Jürgen "
+    "Wolfgang Stefan Andreas Sabine Petra Monika Ursula Heike Anna Jean Pierre Michel Philippe Jacques Marie Nathalie Isabelle Sylvie "
+    "Catherine François José Antonio Manuel Francisco Juan Carlos Luis Javier María Carmen Josefa Isabel Ana Pilar Lucía".split()
+)
+NAMED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(GIVEN_NAMES))}) {WORD_NAME}(?:[ -]{WORD_NAME})?")
 
 LABELERS = ("pattern", "checksum", "words_nearby", "issuer", "edges", "surroundings")
 
@@ -109,7 +141,25 @@ def loose_spans(text: str, numbers: list[tuple[int, int, str]]) -> list[tuple[st
     out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
     if text.count(":") >= 7:
         out += [("ipv6", m.start(), m.end()) for m in IPV6.finditer(text)]
-    return out
+    out += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
+    out += [("secret", *m.span()) for m in RUN.finditer(text)]
+    if "eyJ" in text:
+        out += [("secret", *m.span()) for m in JWT.finditer(text)]
+    if "-----BEGIN" in text and text.count("-----BEGIN") <= text.count("-----END"):
+        out += [("secret", *m.span()) for m in PRIVATE_KEY.finditer(text)]
+    out += [("person", *m.span()) for m in TITLED.finditer(text)]
+    out += [("person", *m.span()) for m in NAMED.finditer(text)]
+    out += [("address", *m.span()) for m in STREET.finditer(text)]
+    return list(dict.fromkeys(out))
+
+
+def _mixed(found: str) -> int:
+    """What the characters of a would-be secret say: keys mix digits and letters without a pattern."""
+    digits, letters = sum("0" <= c <= "9" for c in found), sum(c.isalpha() for c in found)
+    if not digits or not letters or len(set(found)) < 8:
+        return -1
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(found, found[1:]))
+    return 1 if changes >= 4 and len(set(found)) >= 10 else 0
 
 
 def _iban_valid(found: str) -> bool:
@@ -137,11 +187,21 @@ def votes(text: str, kind: str, start: int, end: int, is_base: bool) -> tuple[in
         issuer = 1 if 10 <= len(digits) <= 13 else -1
     elif kind == "national_id":
         issuer = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
+    elif kind == "secret":
+        checksum = 1 if found.startswith("-----BEGIN") else _mixed(found)
+        issuer = 1 if found.startswith(TOKEN_STARTS) else 0
+    elif kind == "person":
+        issuer = 1 if GIVEN_NAMES.intersection(found.replace("-", " ").split()) else 0
+        checksum = 1 if len(found.split()) > 1 else -1
+    elif kind == "address":
+        issuer = 1  # its street word
     before, after = text[max(0, start - 32) : start], text[end : end + 32]
     nearby = 1 if NEARBY.search(before.lower()) else 0
     glued = before[-1:].isalnum() or after[:1].isalnum()
     around = before + after
     dense = 3 * sum("0" <= c <= "9" for c in around) > len(around)
+    if kind == "secret" and nearby == 0:  # a run without a word that announces it: a checksum, a name of a file
+        pattern = -1
     return pattern, checksum, nearby, issuer, -1 if glued else 1, -1 if dense else 1
 
 
@@ -268,16 +328,16 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def detector(model: SpanModel):
-    """A function from a text column to a struct of counts, base_sha256 and spans."""
+    """A function from a text column to a struct of counts, base_sha256, spans and their number."""
 
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
     def detect(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             base, spans = find(t or "", model)
             counts = [sum(k == kind for k, _, _ in base) for kind in BASE]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return detect
 
@@ -293,6 +353,6 @@ def redactor(model: SpanModel):
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the base counts and digest, and all spans of every document."""
+    """doc_id, the base counts and digest, all spans of every document and how many they are."""
     found = detector(learn(docs, text))
     return keyed(docs, doc_id=doc_id, text=text).select("doc_id", found("text").alias("f")).select("doc_id", "f.*")
