@@ -41,6 +41,8 @@ SKETCH = 48
 PROBES, COMMON_PROBES = 16, 8
 RARE = 32
 BLOCK = 256
+#: So many common values at most are looked up in a set that the plan holds; more are joined.
+FEW = 5_000
 #: Estimates below this share of the union's sketch are dropped (the threshold is 0.75).
 LIKELY = 0.4
 #: The share of common values in a sketch is an estimate: classes join long lists from so much below
@@ -196,9 +198,13 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
     # values by how many classes retain them
     retained = classes.select("key", F.explode("sketch").alias("value"))
-    common = retained.groupBy("value").count().filter(F.col("count") > RARE).select("value")
-    held = retained.join(cut(common), "value").groupBy("key").agg(F.collect_list("value").alias("common"))
-    split = classes.join(held, "key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
+    common = cut(retained.groupBy("value").count().filter(F.col("count") > RARE).select("value"))
+    if common.count() <= FEW:  # a set in the plan: no sketch moves
+        values = ", ".join(str(r["value"]) for r in common.collect()) or "NULL"
+        split = classes.withColumn("common", F.expr(f"filter(sketch, x -> x IN ({values}))"))
+    else:
+        held = retained.join(common, "value").groupBy("key").agg(F.collect_list("value").alias("common"))
+        split = classes.join(held, "key", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
     split = split.select("key", "n", "sketch", F.array_sort("common").alias("common"), F.array_except("sketch", "common").alias("rare"))
     split = shelf.put(split, "split")
 
