@@ -22,7 +22,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, blocked_domains=url_filter.named_domains(pages))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"), measures=quality_rules.BASE)
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
@@ -78,8 +79,12 @@ WITH p AS (
            CASE WHEN ends_with(h, '.example.net') AND en THEN 'example.net/en/' WHEN ends_with(h, '.example.com') AND de THEN 'example.com/de/'
                 WHEN ends_with(h, '.org') AND fr THEN 'org/fr/' WHEN ends_with(h, '.net') AND root THEN 'net/' END AS rule FROM j
 )
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
-"""
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') OR rule IS NULL AND EXISTS (
+           SELECT 1 FROM (SELECT DISTINCT host AS domain FROM u WHERE regexp_matches(host, '(^|[.-])(WORDS)([.-]|$)')) l
+           WHERE r.host = domain OR ends_with(r.host, '.' || domain)
+       ) THEN 'block' ELSE 'allow' END AS verdict FROM r
+""".replace("WORDS", "|".join(url_filter.BLOCKED_WORDS))
 
 OP4_SQL = """
 WITH v AS (
@@ -103,23 +108,26 @@ WITH d AS (
     SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1
 ), covered AS (
     SELECT r, count(DISTINCT p + i) AS n FROM twice, (SELECT unnest(generate_series(0, 4)) AS i) GROUP BY r
+), tops AS (
+    SELECT r, max(n) AS n FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY r, x) GROUP BY r
 ), lines AS (
-    SELECT r, count(*) AS n, count(DISTINCT line) AS n_distinct
+    SELECT r, count(*) AS n, count(DISTINCT line) AS n_distinct, count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_open
     FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), m AS (
     SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
            coalesce(lines.n, 0) AS n_lines, coalesce(lines.n - lines.n_distinct, 0) AS n_dup_lines,
-           coalesce(covered.n, 0) AS n_repeat_words,
+           coalesce(covered.n, 0) AS n_repeat_words, coalesce(tops.n, 0) AS n_top_word, coalesce(lines.n_open, 0) AS n_open_lines,
            length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
            length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_small
-    FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)
+    FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r) LEFT JOIN tops USING (r)
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 8 * word_chars OR n_capitals > n_small
-            OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
+            OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 100 * n_dup_lines > 50 * n_lines
+            OR 100 * n_top_word > 30 * n_words OR 100 * n_open_lines > 30 * n_lines) AS kept
 FROM b
 """
 

@@ -8,12 +8,15 @@ a few computed keys against small literals.
 
 A page's keys are, for every shape (host labels, path length) that the rules have, its last labels
 joined with the start of its path; the longest key that is listed is the page's rule. A second
-cascade tells the blocking rules from the others. A page without a listed key is allowed: that is
-the cascade's answer for a key that isn't on the list.
+cascade tells the blocking rules from the others.
 
-Defined results: a null url, or one without `://`, has an empty host and path and no rule; texts of
-any length are taken whole; repeated rows give repeated results; an empty table or an empty rule
-list works; other columns are ignored.
+Pages without a rule are judged by a third cascade, over a list of blocked domains: its universe are
+the hosts of all pages with all domains above them, and a page is blocked if one of these is listed.
+The list is a table; `named_domains` makes one from the corpus's own hosts, by words in their names.
+
+Defined results: a null url, or one without `://`, has an empty host and path, no rule, and is
+allowed; texts of any length are taken whole; repeated rows give repeated results; an empty table,
+rule list or domain list works, and domains that no page has change nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,12 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
+#: Words in a host's name that put it on the list of `named_domains`.
+BLOCKED_WORDS = (
+    "adult", "ads", "bet", "bets", "betting", "casino", "escort", "gambling", "lottery", "malware", "phishing",
+    "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx",
+)
+
 #: A filter travels as a literal in the plan; a longer list than fits is refused, never cut.
 MAX_WORDS = 1 << 20
 
@@ -122,8 +131,22 @@ def page_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Colu
     return F.filter(F.array(*keys), lambda x: x.isNotNull())
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page."""
+def domains(host: Column) -> Column:
+    """The host and all domains above it, but for the last label alone; none of an empty host."""
+    labels = F.size(F.split(host, "\\."))
+    counts = F.sequence(F.least(F.lit(2), labels), labels)
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(counts, lambda n: F.call_function("substring_index", host, F.lit("."), -n)))
+
+
+def named_domains(pages: DataFrame, url: str = "url", words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
+    """domain: the corpus's hosts of which a label, or a part of one between hyphens, is one of the words."""
+    host = host_and_path(F.col("url"))[0]
+    return keyed(pages, url=url).select(host.alias("domain")).distinct().filter(F.col("domain").rlike(r"(?:^|[.-])(?:" + "|".join(words) + r")(?:[.-]|$)"))
+
+
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, blocked_domains: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; without a rule a page is blocked if its host
+    or a domain above it is one of `blocked_domains` (a column `domain`)."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     shapes = sorted({(len(h.split(".")), len(p)) for _, h, p in rules})
@@ -138,5 +161,11 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     blocked = Cascade(rule_rows([(h + p, v == "block") for v, h, p in rules]))
     best = F.array_max(F.filter(F.col("keys"), lambda k: listed.lists(k["key"])))
     found = keyed_pages.withColumn("rule", best["key"])
-    verdict = F.when(F.col("rule").isNotNull() & blocked.lists(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
+    unruled = F.lit(False)
+    if blocked_domains is not None:
+        above = keyed_pages.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"), F.lit(False).alias("listed"))
+        named = blocked_domains.filter("domain IS NOT NULL").select(F.col("domain").alias("key"), F.lit(True).alias("listed"))
+        by_domain = Cascade(above.unionByName(named))
+        unruled = F.exists(domains(F.col("host")), by_domain.lists)
+    verdict = F.when(F.when(F.col("rule").isNotNull(), blocked.lists(F.col("rule"))).otherwise(unruled), F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
