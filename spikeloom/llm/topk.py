@@ -7,14 +7,18 @@ one: the sum of length * (mean * mean + deviation * deviation). From coarse to f
 bound is below the query's k-th best score so far are dropped; exact products are computed for the
 survivors alone. Nothing is approximate: a dropped pair cannot be among the best.
 
-Queries and candidates are dealt into blocks by id. Every query block meets every candidate block,
-one pair of packed blocks at a time; a task keeps a query block's running k-th best scores, and at
-the end each query's few best of all blocks meet in one ranking.
+Vectors are ordered by their coarse statistics, so that a block of neighbours has narrow ones. All
+queries first meet one pilot block, the one of the greatest norms; its k-th best scores are floors
+that every later task shares. Of every other block a summary is broadcast to the queries: the range
+of each segment's mean, and its greatest deviation. A query is sent to a block only if the bound
+from that summary reaches its floor. What a task finds is each query's few best of a block, and
+these meet in one ranking.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do
 rows with a null id; vectors are compared with those of the same length only (empty ones score 0);
-where an id repeats, the smallest of its vectors in component order counts, once; ties go to the
-smaller id; scores outside the range of a long are clipped to it; an empty table gives no rows.
+rows that share an id are candidates each for itself, but none of them for a query of that id, and
+queries that share an id are ranked as one; ties go to the smaller id; scores outside the range of a
+long are clipped to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spikeloom.llm.common import cut, keyed
+from spikeloom.llm.common import Shelf, cut, keyed
 
 K = 5
 SCALE = 256
 SEGMENTS = (1, 4, 16)
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
-#: Queries bounded at a time, so that a matrix of bounds stays a few MB.
-STRIP = 128
+#: Rows of a block of candidates, and queries that meet it at a time.
+BLOCK = 8192
+STRIP = 512
+#: Summaries of so many blocks at most are broadcast (some hundred bytes each); with more, a block
+#: holds more vectors.
+MAX_BLOCKS = 20_000
 LONG = np.iinfo("int64")
 
-PACKED = "block long, width int, ids binary, vectors binary"
+PACKED = "block long, width int, ids binary, vectors binary, summary array<double>"
 PAIR = "query_id long, vec_id long, score long"
 
 
@@ -45,18 +52,6 @@ def quantized(flat: np.ndarray) -> np.ndarray:
     return np.floor(SCALE * flat.astype("float64"))
 
 
-def pack_block(table: pa.Table) -> pa.Table:
-    """One row for a block: ids in order, each once, and their integer vectors."""
-    ids = table["vec_id"].to_numpy()
-    width = int(table["width"][0].as_py())
-    flat = table["vector"].combine_chunks()
-    vectors = quantized(flat.flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), width)
-    order = np.lexsort((*vectors.T[::-1], ids))
-    order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
-    row = {"block": [table["block"][0].as_py()], "width": [width], "ids": [ids[order].astype("<i8").tobytes()], "vectors": [vectors[order].astype("<f8").tobytes()]}
-    return pa.table(row, schema=pa.schema([("block", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
-
-
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of the segments, weighted so that a product of two rows is the bound."""
     if vectors.shape[1] == 0:
@@ -78,66 +73,158 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, LONG.min), LONG.max) for x in exact], "int64")
 
 
+def summary(vectors: np.ndarray) -> np.ndarray:
+    """Of a block: the least and greatest mean and the greatest deviation of each finest segment, weighted."""
+    parts = statistics(vectors, SEGMENTS[-1])
+    means, deviations = parts[:, 0::2], parts[:, 1::2]
+    if not deviations.shape[1]:
+        return np.zeros(0)
+    return np.concatenate([means.min(axis=0), means.max(axis=0), deviations.max(axis=0)])
+
+
+def bound_of_block(queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """An upper bound of the queries' products with all vectors of the block with this summary."""
+    if not len(of):
+        return np.zeros(len(queries))
+    parts = statistics(queries, SEGMENTS[-1])
+    low, high, deviation = np.split(of, 3)
+    return np.maximum(parts[:, 0::2] * low, parts[:, 0::2] * high).sum(axis=1) + parts[:, 1::2] @ deviation
+
+
+def slack(queries: np.ndarray, longest: float) -> np.ndarray:
+    """What rounding may take from a bound."""
+    return 0.5 + 1e-9 * np.sqrt((queries**2).sum(axis=1)) * longest
+
+
 def best_of_block(ids: np.ndarray, queries: np.ndarray, to_ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of each query's k best in the block, if not below its floor."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     levels = [statistics(vectors, s) for s in SEGMENTS]
     longest = np.sqrt((vectors**2).sum(axis=1).max(initial=0.0))
+    exact_as_float = max(np.abs(queries).max(initial=0.0), 1.0) * max(np.abs(vectors).max(initial=0.0), 1.0) * max(queries.shape[1], 1) < 2.0**53
     for at in range(0, len(ids), STRIP):
         q = queries[at : at + STRIP]
-        floors = floor[at : at + STRIP].astype("float64")
-        slack = 0.5 + 1e-9 * np.sqrt((q**2).sum(axis=1)) * longest
-        own = ids[at : at + STRIP, None] == to_ids[None, :]
-        bound = statistics(q, SEGMENTS[0]) @ levels[0].T
-        bound[own] = -np.inf
-        # a first floor: exact scores of the candidates with the highest coarse bounds
-        probe = min(4 * k, len(to_ids))
-        top = np.argpartition(-bound, probe - 1, axis=1)[:, :probe]
-        rows = np.repeat(np.arange(len(q)), probe)
-        tried = np.where(np.take_along_axis(own, top, 1), float(LONG.min), products(q[rows], vectors[top.ravel()]).reshape(len(q), probe).astype("float64"))
-        if probe >= k:
-            floors = np.maximum(floors, np.partition(tried, probe - k, axis=1)[:, probe - k])
-        floors[floors <= LONG.min] = -np.inf  # no floor yet: scores below any long count too
-        alive = (bound >= (floors - slack)[:, None]) & ~own
-        for s, level in zip(SEGMENTS[1:], levels[1:]):
-            alive &= statistics(q, s) @ level.T >= (floors - slack)[:, None]
+        least = floor[at : at + STRIP].astype("float64")
+        least[floor[at : at + STRIP] == LONG.min] = -np.inf  # no floor yet: scores below any long count too
+        least -= slack(q, longest)
+        alive = np.ones((len(q), len(to_ids)), bool)
+        for s, level in zip(SEGMENTS, levels):
+            alive &= statistics(q, s) @ level.T >= least[:, None]
+            if not alive.any():
+                break
+        alive &= ids[at : at + STRIP, None] != to_ids[None, :]
+        if exact_as_float and alive.mean() > 0.05:  # many survivors: one product of matrices costs less than picking them
+            scores = np.where(alive, q @ vectors.T, -np.inf)
+            few = min(k, scores.shape[1])
+            # all that reach the k-th best score, so that ties are settled by id later
+            worst = np.partition(scores, scores.shape[1] - few, axis=1)[:, scores.shape[1] - few]
+            r, c = np.nonzero((scores >= np.maximum(worst, least)[:, None]) & alive)
+            found.append((r + at, c, scores[r, c].astype("int64")))
+            continue
         rows, columns = np.nonzero(alive)
         for part in range(0, len(rows), 1 << 16):
             r, c = rows[part : part + (1 << 16)], columns[part : part + (1 << 16)]
             score = products(q[r], vectors[c])
-            enough = score >= floors[r]
+            enough = score >= least[r]
             found.append((r[enough] + at, c[enough], score[enough]))
     if not found:
         return (np.zeros(0, "int64"),) * 3
     rows, columns, scores = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((to_ids[columns], -scores.astype("float64"), rows))
-    if np.abs(scores.astype("float64")).max(initial=0.0) >= 2.0**53:
-        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -int(scores[i]), to_ids[columns[i]])), "int64")
+    order = np.lexsort((to_ids[columns], ~scores, rows))  # ~ turns the order of longs around, the least one too
     rows, columns, scores = rows[order], columns[order], scores[order]
-    first = np.searchsorted(rows, rows, "left")
-    keep = np.arange(len(rows)) - first < k
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
     return rows[keep], columns[keep], scores[keep]
 
 
+# -- the jobs
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], "<i8")
+    return ids, np.frombuffer(row["vectors"], "<f8").reshape(len(ids), row["width"])
+
+
+def _pack(block_rows: int):
+    """Rows of one partition, as they come, in blocks of one vector length."""
+
+    def packed(block: int, width: int, ids: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        values = [[block], [width], [ids.astype("<i8").tobytes()], [vectors.astype("<f8").tobytes()], [summary(vectors).tolist()]]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+        names = ["block", "width", "ids", "vectors", "summary"]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            widths, ids, lists = batch.column("width").to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy(), batch.column("vector")
+            for width in np.unique(widths).tolist():
+                of = np.flatnonzero(widths == width)
+                flat = lists.take(pa.array(of)).flatten().to_numpy(zero_copy_only=False)
+                held = waiting.setdefault(width, [])
+                held.append((ids[of], quantized(flat).reshape(len(of), width)))
+                if sum(len(i) for i, _ in held) >= block_rows:
+                    all_ids, all_vectors = (np.concatenate(x) for x in zip(*waiting.pop(width)))
+                    for at in range(0, len(all_ids), block_rows):
+                        yield packed(number, width, all_ids[at : at + block_rows], all_vectors[at : at + block_rows])
+                        number += 1
+        for width, held in waiting.items():
+            all_ids, all_vectors = (np.concatenate(x) for x in zip(*held))
+            yield packed(number, width, all_ids, all_vectors)
+            number += 1
+
+    return pack
+
+
+def _floors(pilots: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """Each query's k-th best score in the pilot block of its length."""
+
+    def floors(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, queries = _unpacked(row)
+                to_ids, vectors = pilots[row["width"]]
+                floor = np.full(len(ids), LONG.min)
+                rows, _, scores = best_of_block(ids, queries, to_ids, vectors, floor, k)
+                last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) if len(rows) else np.zeros(0, "int64")
+                enough = np.bincount(rows, minlength=len(ids))[rows[last]] >= k if len(rows) else last
+                floor[rows[last][enough]] = scores[last][enough]
+                values = [pa.array([row["width"]], pa.int32()), *[pa.array([v]) for v in (row["ids"], row["vectors"], floor.astype("<i8").tobytes())]]
+                yield pa.RecordBatch.from_arrays(values, ["width", "ids", "vectors", "floors"])
+
+    return floors
+
+
+def _asks(blocks: list[tuple[int, int, np.ndarray]]):
+    """The queries of a block that may find something in each block of candidates."""
+
+    def asks(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, queries = _unpacked(row)
+                floor = np.frombuffer(row["floors"], "<i8")
+                for block, width, of in blocks:
+                    if width != row["width"]:
+                        continue
+                    longest = float(np.sqrt((np.maximum(of[: len(of) // 3] ** 2, of[len(of) // 3 : 2 * len(of) // 3] ** 2) + of[2 * len(of) // 3 :] ** 2).sum()))
+                    may = (floor == LONG.min) | (bound_of_block(queries, of) >= floor.astype("float64") - slack(queries, longest))
+                    if may.any():
+                        values = (block, ids[may].astype("<i8").tobytes(), queries[may].astype("<f8").tobytes(), floor[may].tobytes())
+                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["block", "q_ids", "q_vectors", "floors"])
+
+    return asks
+
+
 def _search(k: int):
     def search(batches):
-        floors: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                width = row["width"]
-                unpack = lambda side: (np.frombuffer(row[f"{side}_ids"], "<i8"), np.frombuffer(row[f"{side}_vectors"], "<f8").reshape(-1, width) if width else np.zeros((len(row[f"{side}_ids"]) // 8, 0)))
-                (ids, queries), (to_ids, vectors) = unpack("q"), unpack("c")
-                key = (row["q_block"], width)
-                if key not in floors:  # the k best scores so far, the worst first
-                    if len(floors) >= 64:
-                        floors.pop(next(iter(floors)))
-                    floors[key] = (np.full((len(ids), k), LONG.min, "int64"), ids)
-                best = floors[key][0]
-                rows, columns, scores = best_of_block(ids, queries, to_ids, vectors, best[:, 0], k)
-                for r, s in zip(rows.tolist(), scores.tolist()):
-                    if s > best[r, 0]:
-                        best[r, 0] = s
-                        best[r].sort()
+                to_ids, vectors = _unpacked(row)
+                ids = np.frombuffer(row["q_ids"], "<i8")
+                queries = np.frombuffer(row["q_vectors"], "<f8").reshape(len(ids), row["width"])
+                rows, columns, scores = best_of_block(ids, queries, to_ids, vectors, np.frombuffer(row["floors"], "<i8"), k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(to_ids[columns]), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     return search
@@ -146,28 +233,42 @@ def _search(k: int):
 def search_exact(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best; is_query is a condition on `vec_id`."""
     spark = vectors.sparkSession
+    shelf = Shelf(spark)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = keyed(vectors, vec_id=vec_id, vector=vector).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite)
-    rows = rows.select("vec_id", "vector", F.size("vector").alias("width"))
-    asking = rows.filter(is_query)
-    n, m = rows.count(), asking.count()
-
-    def packed(some: DataFrame, blocks: int) -> DataFrame:
-        dealt = some.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        return dealt.groupBy("block", "width").applyInArrow(pack_block, PACKED)
-
-    blocks = max(1, math.ceil(n / CANDIDATE_BLOCK))
-    queries = packed(asking, max(1, math.ceil(m / QUERY_BLOCK)))
-    queries = queries.select(F.col("block").alias("q_block"), "width", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    candidates = packed(rows, blocks).select("block", "width", F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    pairs = queries.join(candidates, ["block", "width"])
-
+    size = F.size("vector")
+    # the order of blocks: length, norm in coarse steps, means of quarters; the id splits equal vectors
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    quarters = [F.aggregate(F.slice("vector", F.floor(size * i / 4).cast("int") + 1, F.greatest(F.ceil(size / 4).cast("int"), F.lit(0))), F.lit(0.0), lambda t, x: t + x.cast("double")) for i in range(4)]
+    rows = rows.select("vec_id", "vector", size.alias("width"), F.round(F.log2(norm + 1e-9)).alias("norm"), F.array(*[F.signum(x) for x in quarters]).alias("signs"))
+    n = rows.count()
+    block_rows = max(BLOCK, math.ceil(n / MAX_BLOCKS))
     batch_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch_rows)
-    spark.conf.set(batch_rows, "4")  # a row is a pair of packed blocks, some MB
+
+    def ordered(some: DataFrame, count: int) -> DataFrame:
+        parts = some.repartitionByRange(max(1, math.ceil(count / block_rows)), "width", "norm", "signs", F.xxhash64("vec_id"))
+        return parts.select("vec_id", "vector", "width").mapInArrow(_pack(block_rows), PACKED)
+
     try:
-        best = cut(pairs.mapInArrow(_search(k), PAIR))
+        spark.conf.set(batch_rows, "1024")
+        blocks = shelf.put(ordered(rows, n), "blocks")
+        asking = shelf.put(ordered(rows.filter(is_query), max(1, rows.filter(is_query).count())), "asking")
+        spark.conf.set(batch_rows, "4")  # from here on a row is a packed block, some MB
+        known = [(r["block"], r["width"], np.array(r["summary"])) for r in blocks.select("block", "width", "summary").collect()]  # MAX_BLOCKS or little more
+        longest: dict[int, tuple[float, int]] = {}
+        for block, width, of in known:
+            reach = float(np.abs(of).max(initial=0.0))
+            longest[width] = max(longest.get(width, (-1.0, 0)), (reach, block))
+        chosen = [block for _, block in longest.values()]
+        pilots = {r["width"]: _unpacked(r.asDict()) for r in blocks.filter(F.col("block").isin(chosen)).collect()}  # one block a length
+        floored = shelf.put(asking.mapInArrow(_floors(pilots, k), "width int, ids binary, vectors binary, floors binary"), "floored")
+        asked = shelf.put(floored.mapInArrow(_asks(known), "block long, q_ids binary, q_vectors binary, floors binary"), "asked")
+        pairs = asked.join(blocks.drop("summary"), "block")
+        best = cut(pairs.select("width", "ids", "vectors", "q_ids", "q_vectors", "floors").mapInArrow(_search(k), PAIR))
     finally:
         spark.conf.set(batch_rows, before)
+    for name in ("blocks", "asking", "floored", "asked"):
+        shelf.drop(name)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
