@@ -47,8 +47,10 @@ NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 
+DIGIT = re.compile("[0-9]")
+ASSIGNED_WORDS = ("key", "secret", "token", "passw", "pwd", "passphrase", "bearer", "authorization")
 ASSIGNED = re.compile(
-    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,32}[_-]){0,3}(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|passphrase|bearer|authorization)"
+    r"(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|passphrase|bearer|authorization)"
     r"[\"']?(?:\s{0,4}[:=]>?\s{0,4}|\s{1,4})[\"']?([^\s\"'<>,;]{8,256})",
     re.I,
 )
@@ -56,7 +58,12 @@ RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,512}(?![A-Za-z0-9_+/
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
 WORD_NAME = "[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,30}"
+TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sr")
 TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra?)\.? {WORD_NAME}(?:[ -]{WORD_NAME}){{0,2}}")
+STREET_WORDS = (
+    " Street", " St", " Ave", " Road", " Rd", " Lane", " Ln", " Drive", " Boulevard", " Blvd", " Court", " Square", " Terrace", "straße ", "strasse ", "gasse ", "allee ", "platz ",
+    " rue ", " avenue ", " boulevard ", " place ", " allée ", " impasse ", "Calle ", "Avenida ", "Plaza ", "Paseo ",
+)
 STREET = re.compile(
     rf"(?<![\w.])[0-9]{{1,5}}[a-z]?,? (?:{WORD_NAME} ){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace)(?!\w)"
     rf"|(?<!\w)[A-ZÄÖÜ][a-zäöüß-]{{1,30}}(?:straße|strasse|gasse|allee|platz) [0-9]{{1,4}}[a-z]?(?!\w)"
@@ -131,25 +138,33 @@ def base_spans(text: str, numbers: list[tuple[int, int, str]] | None = None) ->
 def loose_spans(text: str, numbers: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
     """Proposals of the looser patterns."""
     out = []
-    lower = text.lower() if ("at" in text or "AT" in text) else ""
+    lower = text.lower()
+    holds = lambda of, some: any(x in of for x in some)  # noqa: E731  a cheap look before a costly pattern
     if "(at)" in lower or "[at]" in lower or " at " in lower and " dot " in lower:
         out += [("email", m.start(), m.end()) for m in SPELLED.finditer(text)]
-    out += [("card", a, b) for a, b, _ in numbers]
-    out += [("phone", m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
-    if "-" in text:
-        out += [("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text)]
-    out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
+    words = text.split()
+    if DIGIT.search(text):
+        out += [("card", a, b) for a, b, _ in numbers]
+        out += [("phone", m.start(), m.end()) for m in LOCAL_PHONE.finditer(text)]
+        if "-" in text:
+            out += [("national_id", m.start(), m.end()) for m in NATIONAL.finditer(text)]
+        out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
+        if holds(text, STREET_WORDS):
+            out += [("address", *m.span()) for m in STREET.finditer(text)]
+        if max(map(len, words), default=0) >= 24:
+            out += [("secret", *m.span()) for m in RUN.finditer(text)]
     if text.count(":") >= 7:
         out += [("ipv6", m.start(), m.end()) for m in IPV6.finditer(text)]
-    out += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
-    out += [("secret", *m.span()) for m in RUN.finditer(text)]
+    if holds(lower, ASSIGNED_WORDS):
+        out += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
     if "eyJ" in text:
         out += [("secret", *m.span()) for m in JWT.finditer(text)]
     if "-----BEGIN" in text and text.count("-----BEGIN") <= text.count("-----END"):
         out += [("secret", *m.span()) for m in PRIVATE_KEY.finditer(text)]
-    out += [("person", *m.span()) for m in TITLED.finditer(text)]
-    out += [("person", *m.span()) for m in NAMED.finditer(text)]
-    out += [("address", *m.span()) for m in STREET.finditer(text)]
+    if holds(text, TITLES):
+        out += [("person", *m.span()) for m in TITLED.finditer(text)]
+    if not GIVEN_NAMES.isdisjoint(words) or not GIVEN_NAMES.isdisjoint(w.lstrip("\"'([{<-*_") for w in words if not w[0].isalnum()):
+        out += [("person", *m.span()) for m in NAMED.finditer(text)]
     return list(dict.fromkeys(out))
 
 
