@@ -7,13 +7,14 @@ Intervals there are seconds to minutes, so thresholds are scaled; defaults stay
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.jobs import recluster, sorting
-from spikeloom.operators import align, curate, features, metrics, model, windows
+from spikeloom.jobs import recluster, sort_files, sorting
+from spikeloom.operators import align, curate, features, graph, metrics, model, windows
 from spikeloom.operators.model import RECORDING
 from spikeloom.sources import io
 
@@ -22,6 +23,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 REFRACTORY, HIGH, DT = 60.0, 3600.0, 86400.0
+#: Spikes of a sorting window: the recordings of the driver's tables are short.
+WINDOW = 40
 
 EV = """ev AS (SELECT event_type AS recording_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS time, event_id,
   user_id % 10 AS label, user_id AS sub_label, value FROM events),
@@ -54,6 +57,16 @@ def spikes_wf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spikes.join(vectors, "event_id").select(RECORDING, "spike_id", "time", "label", F.floor(F.col("spike_id") / 20).alias("sub_label"), "waveform")
 
 
+def dense_wf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spikes with waveforms numbered anew in each recording, so that windows of rows are full."""
+    return model.spike_table(spikes_wf(spark, sf_dir).select(RECORDING, "time", F.col("spike_id").alias("tie"), "waveform"), "tie").drop("tie", "label")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes and reads again, beside the checkpoints that all executors share."""
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stimuli_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(F.col(RECORDING) == "purchase", "playback").otherwise("live")
     return spikes_ev(spark, sf_dir).filter(F.col(RECORDING).isin("purchase", "signup")).select(F.lit("train").alias(RECORDING), category.alias("category"), F.col("event_id").alias("stim_id"), F.col("time").alias("start_time"))
@@ -113,7 +126,29 @@ def s1(spark, sf):
     return spikes_wf(spark, sf).groupBy(RECORDING).agg(F.count("*").alias("n"), F.min(F.size("waveform")).cast("long").alias("samples"), F.round(F.sum("time"), 3).alias("times"))
 
 
-@query("s4_nested_stimuli", f"WITH {EV}{ST} SELECT recording_id, category, round(start_time, 6) AS start_time FROM st")
+@query("s3_stimulus_csv", f"WITH {EV}{ST} SELECT 'recording' AS recording_id, 'playback' AS category, row_number() OVER (ORDER BY start_time) - 1 AS stim_id, round(start_time, 6) AS start_time FROM st")
+def s3(spark, sf):
+    path = _scratch(spark, "stimuli")
+    stimuli_ev(spark, sf).select("start_time").write.option("header", True).csv(path)
+    return rounded(io.read_stimulus_csv(spark, path), "start_time")
+
+
+@query("s5_write_sorted", f"WITH {WF} SELECT recording_id, spike_id, round(time, 6) AS time, label, round(list_sum(waveform), 6) AS total FROM wf")
+def s5(spark, sf):
+    path = _scratch(spark, "sorted")
+    io.write_sorted(spikes_wf(spark, sf), path)
+    total = F.aggregate("waveform", F.lit(0.0), lambda t, x: t + x)
+    return rounded(spark.read.parquet(path).select(RECORDING, "spike_id", "time", "label", total.alias("total")), "time", "total")
+
+
+@query("s6_sort_files")
+def s6(spark, sf):
+    source, target = _scratch(spark, "recordings"), _scratch(spark, "recordings-sorted")
+    spikes_wf(spark, sf).select(RECORDING, "spike_id", "time", "waveform", F.col("label").cast("int").alias("label")).write.partitionBy(RECORDING).parquet(source)
+    return sort_files.run(spark, source, target, WINDOW).select(RECORDING, "spike_id", "time", "label")
+
+
+@query("s4_nested_stimuli", f"WITH {EV}{ST} SELECT recording_id, category, row_number() OVER (PARTITION BY category ORDER BY start_time) - 1 AS stim_id, round(start_time, 6) AS start_time FROM st")
 def s4(spark, sf):
     s = stimuli_ev(spark, sf)
     nested = s.groupBy(RECORDING, F.floor(F.col("start_time") / DT).alias("day")).agg(*[F.filter(F.collect_list(F.when(F.col("category") == c, F.struct("start_time"))), lambda x: x.isNotNull()).alias(c) for c in ("playback", "live")])
@@ -403,6 +438,15 @@ def e11(spark, sf):
     return recluster.by_noise(_subs(spark, sf))
 
 
+@query("e9_e11_reclustered")
+def e9_e11(spark, sf):
+    """Cluster 1 is split by shape, then 2 by time, then 3 by noise; each edit adds its parts as clusters."""
+    spikes = spikes_wf(spark, sf).select(RECORDING, "spike_id", "time", "label", "sub_label")
+    for label, split in ((1, recluster.by_shape), (2, recluster.by_time), (3, recluster.by_noise)):
+        spikes = recluster.reclustered(spikes, split(_subs(spark, sf).filter(F.col("label") == label)))
+    return spikes
+
+
 @query("e12_cleaned_assignments")
 def e12(spark, sf):
     return recluster.cleaned_assignments(_subs(spark, sf))
@@ -585,6 +629,11 @@ def m12(spark, sf):
     return features.outlier_factors(spikes_wf(spark, sf))
 
 
+@query("m13_trimmed_clusters")
+def m13(spark, sf):
+    return sorting.trimmed(sorting.cluster_windows(dense_wf(spark, sf), WINDOW)).drop("waveform")
+
+
 @query("m14_ks", f"""WITH {EV}, v AS (SELECT recording_id, label // 2 AS pair, 1 + label % 2 AS side, value AS x FROM sp), n AS (SELECT recording_id, pair, count(*) FILTER (side = 1) AS na, count(*) FILTER (side = 2) AS nb FROM v GROUP BY 1, 2),
 r AS (SELECT recording_id, pair, x, count(*) FILTER (side = 1) OVER w AS fa, count(*) FILTER (side = 2) OVER w AS fb FROM v WINDOW w AS (PARTITION BY recording_id, pair ORDER BY x))
 SELECT recording_id, pair, round(max(abs(fa / na - fb / nb)), 6) AS ks FROM r JOIN n USING (recording_id, pair) GROUP BY 1, 2""")
@@ -617,22 +666,63 @@ def m19(spark, sf):
 
 @query("p1_reference_map")
 def p1(spark, sf):
-    return sorting.reference_map(spikes_wf(spark, sf)).select(RECORDING, "spike_id", "map")
+    return sorting.reference_map(dense_wf(spark, sf)).select(RECORDING, "spike_id", "map")
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = sorting.reference_map(dense_wf(spark, sf_dir))
+    return sorting.cluster_windows(mapped, WINDOW).checkpoint(eager=True)
 
 
 @query("p2_p3_cluster_windows")
 def p2(spark, sf):
-    return sorting.cluster_windows(spikes_wf(spark, sf), 200).drop("waveform")
+    return _windowed(spark, sf).drop("waveform")
 
 
 @query("p4_link_windows")
 def p4(spark, sf):
-    return sorting.link_windows(sorting.cluster_windows(spikes_wf(spark, sf), 50).checkpoint(eager=True))
+    return sorting.link_windows(_windowed(spark, sf))
+
+
+@query("p5_unmerge")
+def p5(spark, sf):
+    windowed = _windowed(spark, sf)
+    return sorting.unmerge(windowed, sorting.link_windows(windowed)).drop("waveform")
+
+
+EDGES = EV + """, c AS (SELECT recording_id, floor(time / 86400)::BIGINT AS src_win, label AS src_label, count(*) AS n FROM sp GROUP BY 1, 2, 3),
+e AS (SELECT recording_id, src_win, src_label, src_win + 1 AS dst_win, (src_label + n) % 10 AS dst_label FROM c WHERE n % 3 <> 0),
+nodes AS (SELECT recording_id, src_win AS w, src_label AS l FROM e UNION SELECT recording_id, dst_win, dst_label FROM e),
+step AS (SELECT recording_id, src_win AS w, src_label AS l, dst_win AS w2, dst_label AS l2 FROM e UNION SELECT recording_id, dst_win, dst_label, src_win, src_label FROM e),
+reach AS (SELECT recording_id, w, l, w AS rw, l AS rl FROM nodes UNION SELECT r.recording_id, r.w, r.l, s.w2, s.l2 FROM reach r JOIN step s ON s.recording_id = r.recording_id AND s.w = r.rw AND s.l = r.rl),
+roots AS (SELECT recording_id, w, l, min(rw * 10 + rl) AS root FROM reach GROUP BY 1, 2, 3),
+firsts AS (SELECT e.recording_id, root, min((src_win * 10 + src_label) * 10000 + dst_win * 10 + dst_label) AS f FROM e JOIN roots r ON r.recording_id = e.recording_id AND r.w = src_win AND r.l = src_label GROUP BY 1, 2),
+sizes AS (SELECT recording_id, root FROM roots GROUP BY 1, 2 HAVING count(*) >= 3),
+named AS (SELECT recording_id, root, row_number() OVER (PARTITION BY recording_id ORDER BY f) - 1 AS label FROM sizes JOIN firsts USING (recording_id, root))"""
+
+
+@query("p6_unit_labels", "WITH RECURSIVE " + EDGES + " SELECT recording_id, w AS window_idx, l AS win_label, label FROM roots JOIN named USING (recording_id, root)")
+def p6(spark, sf):
+    nodes = spikes_ev(spark, sf).groupBy(RECORDING, F.floor(F.col("time") / DT).alias("src_win"), F.col("label").alias("src_label")).agg(F.count("*").alias("n"))
+    edges = nodes.filter("n % 3 <> 0").select(RECORDING, "src_win", "src_label", (F.col("src_win") + 1).alias("dst_win"), ((F.col("src_label") + F.col("n")) % 10).alias("dst_label"))
+    return graph.unit_labels(edges.checkpoint(eager=True))
+
+
+@query("p7_leftovers")
+def p7(spark, sf):
+    mapped = sorting.reference_map(dense_wf(spark, sf)).checkpoint(eager=True)
+    return sorting.leftovers(mapped, sorting.sort_once(mapped, WINDOW).checkpoint(eager=True), WINDOW)
+
+
+@query("p8_remainder")
+def p8(spark, sf):
+    spikes = dense_wf(spark, sf)
+    return sorting.remainder(spikes, spikes.select(RECORDING, "spike_id", F.lit(-1).cast("long").alias("label")), block=WINDOW)
 
 
 @query("p9_sort")
 def p9(spark, sf):
-    return sorting.sort(spikes_wf(spark, sf)).select(RECORDING, "spike_id", "time", "label")
+    return sorting.sort(dense_wf(spark, sf).checkpoint(eager=True), WINDOW).select(RECORDING, "spike_id", "time", "label")
 
 
 def queries() -> dict[str, Query]:
@@ -647,7 +737,10 @@ def _ready(f: Query) -> Query:
         if not spark.sparkContext.getCheckpointDir():
             import tempfile
 
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spikeloom-"))
+            named = spark.conf.get("spark.checkpoint.dir", None)
+            if not named and not spark.sparkContext.master.startswith("local"):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spikeloom-"))
         return f(spark, sf_dir)
 
     return run

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.functions import kernels
+from spikeloom.operators import curate
 from spikeloom.operators.metrics import intervals, isi_histogram
 from spikeloom.operators.model import RECORDING
 
@@ -60,6 +61,14 @@ def by_noise(subs: DataFrame) -> DataFrame:
     return _by_cluster(subs, split)
 
 
+def reclustered(assignments: DataFrame, parts: DataFrame) -> DataFrame:
+    """The edit: clusters that have parts (recording_id, label, sub_label, part) are taken out, and their
+    parts come back as new clusters, labelled after the highest that is left, in order of median time."""
+    chosen = parts.select(RECORDING, "label").distinct()
+    moved = assignments.join(parts, [RECORDING, "label", "sub_label"]).withColumn("part", F.struct("label", "part"))
+    return curate.add_clusters(curate.delete_clusters(assignments, chosen), moved)
+
+
 def cleaned_assignments(subs: DataFrame, k: int = 3, pcs: int = 6, scale: float = 3600.0, block: int = 2000) -> DataFrame:
     """Sub-clusters with the majority label of their nearest ones, on principal scores and time."""
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,22 +12,32 @@ from spikeloom.functions import kernels
 from spikeloom.operators.model import RECORDING
 
 
+def principal_axes(rows: DataFrame, k: int, vector: str = "waveform") -> DataFrame:
+    """Of each recording: its first k principal axes, the scores of its mean, and the scores' deviations
+    (ddof 1). Sums by recording are all that moves; signs are fixed by each axis' largest loading."""
+
+    @F.pandas_udf("axes array<array<double>>, centre array<double>, deviation array<double>")
+    def solve(n: pd.Series, mean: pd.Series, scatter: pd.Series) -> pd.DataFrame:
+        out = []
+        for count, m, sums in zip(n, mean, scatter):
+            value, axes = np.linalg.eigh(np.asarray(sums).reshape(len(m), len(m)))
+            value, axes = value[::-1][:k], axes[:, ::-1][:, :k]
+            sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+            axes = axes * np.where(sign == 0, 1, sign)
+            out.append((axes.T.tolist(), (np.asarray(m) @ axes).tolist(), np.sqrt(np.maximum(value, 0) / max(count - 1, 1)).tolist()))
+        return pd.DataFrame(out, columns=["axes", "centre", "deviation"])
+
+    return group_statistics(rows, [RECORDING], vector).select(RECORDING, solve("n", "mean", "scatter").alias("f")).select(RECORDING, "f.*")
+
+
 def principal_scores(rows: DataFrame, k: int, vector: str = "waveform", fit_on: DataFrame | None = None, whiten: bool = False, into: str = "pcs") -> DataFrame:
-    """Scores on the first k principal axes of all rows (or of `fit_on`), centred; signs are fixed by
-    each axis' largest loading."""
-    with_vector = lambda df: df.withColumn("_v", array_to_vector(vector))
-    sample = with_vector(rows if fit_on is None else fit_on)
-    centre = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(sample)
-    axes = PCA(k=k, inputCol="_c", outputCol="_p").fit(centre.transform(sample))
-    pc = axes.pc.toArray()
-    sign = np.sign(pc[np.abs(pc).argmax(axis=0), np.arange(k)])
-    scaled = vector_to_array("_p")
-    signed = F.zip_with(scaled, F.array(*[F.lit(float(s or 1)) for s in sign]), lambda a, b: a * b)
-    out = axes.transform(centre.transform(with_vector(rows))).withColumn(into, signed).drop("_v", "_c", "_p")
-    if whiten:  # one row of deviations for all
-        deviation = out.agg(*[F.stddev_samp(F.col(into)[i]).alias(f"_s{i}") for i in range(k)]).first()
-        out = out.withColumn(into, F.array(*[F.col(into)[i] / F.lit(float(deviation[i]) or 1.0) for i in range(k)]))
-    return out
+    """Centred scores on the first k principal axes of the row's recording (or of its rows in `fit_on`)."""
+    fitted = principal_axes(rows if fit_on is None else fit_on, k, vector)
+    fitted = fitted.select(RECORDING, *[F.col(c).alias(f"_{c}") for c in ("axes", "centre", "deviation")])
+    scores = F.zip_with("_axes", "_centre", lambda axis, centre: dot(F.col(vector), axis) - centre)
+    if whiten:
+        scores = F.zip_with(scores, "_deviation", lambda x, d: x / F.when(d > 0, d).otherwise(1.0))
+    return rows.join(fitted, RECORDING, "left").withColumn(into, scores).drop("_axes", "_centre", "_deviation")
 
 
 def vector_zscores(rows: DataFrame, vector: str = "waveform", into: str = "z") -> DataFrame:

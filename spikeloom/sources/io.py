@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SPIKES = "recording_id string, spike_id long, time double, waveform array<double>, label int"
 STIMULI = "recording_id string, category string, stim_id long, start_time double"
@@ -36,16 +37,22 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(load, "recording_id string, row long, values array<double>")
 
 
+def _numbered(stimuli: DataFrame) -> DataFrame:
+    """Stimuli with an id: their place in time, from 0, in the recording and category."""
+    order = Window.partitionBy("recording_id", "category").orderBy("start_time")
+    return stimuli.withColumn("stim_id", (F.row_number().over(order) - 1).cast("long")).select("recording_id", "category", "stim_id", "start_time")
+
+
 def read_stimulus_csv(spark: SparkSession, path: str, recording_id: str = "recording") -> DataFrame:
-    """Start times from CSV: all playback."""
+    """Start times from CSV: all playback, as STIMULI."""
     rows = spark.read.schema("start_time double").option("header", True).option("enforceSchema", False).csv(path)
-    return rows.select(F.lit(recording_id).alias("recording_id"), F.lit("playback").alias("category"), "start_time")
+    return _numbered(rows.select(F.lit(recording_id).alias("recording_id"), F.lit("playback").alias("category"), "start_time"))
 
 
 def stimuli_of_records(records: DataFrame) -> DataFrame:
-    """Stimuli from nested records (recording_id, playback and live: arrays of structs with start_time)."""
+    """STIMULI from nested records (recording_id, playback and live: arrays of structs with start_time)."""
     one = lambda c: records.select("recording_id", F.lit(c).alias("category"), F.inline(c)).select("recording_id", "category", "start_time")
-    return one("playback").unionByName(one("live"))
+    return _numbered(one("playback").unionByName(one("live")))
 
 
 def write_sorted(spikes: DataFrame, path: str) -> None:
