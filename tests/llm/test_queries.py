@@ -43,6 +43,23 @@ def test_stages(spark):
     assert packed.filter("piece = 0").count() == texts.count()
 
 
+def test_odd_rows_go_through(spark):
+    """Nulls, repeated rows, a very long text, and columns with the operators' own names."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").limit(20).select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in good] + [(r.doc_id, r.text) for r in good[:5]] + [(9001, None), (None, good[0].text), (9002, ""), (9003, "\n".join(r.text for r in good) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in ("score", "key", "line", "kept", "spans", "length", "value")])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, SF).checkpoint(eager=True)
+        assert docs.columns == columns
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert {None, 9001, 9002} <= ids, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.filter("piece = 0").count() == docs.count()
+    judged = corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert judged.filter("doc_id IS NULL").count() == 1
+
+
 def test_an_empty_table_goes_through(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

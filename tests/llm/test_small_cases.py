@@ -120,6 +120,48 @@ def test_genetic_search_improves_on_its_start():
     assert count(40) < count(0)
 
 
+def least_bins(sizes, size):
+    """By trying every partition."""
+    best = len(sizes)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(sizes):
+            best = len(fills)
+            return
+        for b in range(len(fills)):
+            if fills[b] + sizes[i] <= size:
+                place(i + 1, [*fills[:b], fills[b] + sizes[i], *fills[b + 1 :]])
+        place(i + 1, [*fills, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_genetic_search_matches_brute_force():
+    rng = np.random.default_rng(2)
+    better = best = 0
+    for k in range(80):
+        sizes = rng.integers(15, 60, 11)
+        bins = lambda generations, population: len(set(packing.evolve(sizes, [], k, 100, generations, population)[0].tolist()))
+        found = bins(40, 6)
+        least = least_bins(sorted(sizes.tolist(), reverse=True), 100)
+        assert least <= found <= least + 1
+        best += found == least
+        better += found < bins(0, 1)  # best-fit decreasing alone
+    assert best >= 72 and better > 0
+
+
+def test_tokens_of_a_whole_table_are_those_of_the_library(spark):
+    t = packing.tokenizer(packing.default_vocabulary())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["=" * 5000, "a1" * 3000, " " * 5000 + "x", "\n" * 3000, "word " * 20_000, "é" * 3000]
+    for text, whole in zip(texts, t.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert t.encode(text).tolist() == whole.ids
+
+
 def test_tokens_are_those_of_the_library():
     t = packing.tokenizer(packing.default_vocabulary())
     rng = random.Random(1)
