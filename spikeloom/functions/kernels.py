@@ -47,6 +47,21 @@ def discriminant(x: np.ndarray, y: np.ndarray, k: int = 2) -> np.ndarray:
     return (x - x.mean(axis=0)) @ (axes * np.where(flip == 0, 1, flip))
 
 
+def group_axes(n: np.ndarray, means: np.ndarray, within: np.ndarray, k: int) -> np.ndarray:
+    """The k discriminant axes (columns) of three or more groups, else the k principal axes of all their
+    rows, from counts, means and the summed scatter within; the largest loading is positive."""
+    between = np.sqrt(n)[:, None] * (means - n @ means / n.sum())
+    size = len(within)
+    if len(n) > 2:
+        value, vector = np.linalg.eigh(within + (1e-9 * np.trace(within) / size + 1e-12) * np.eye(size))
+        root = vector / np.sqrt(value)
+        axes = root @ np.linalg.svd(between @ root, full_matrices=False)[2][: min(k, len(n) - 1)].T
+    else:
+        axes = np.linalg.eigh(within + between.T @ between)[1][:, ::-1][:, :k]
+    flip = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    return axes * np.where(flip == 0, 1, flip)
+
+
 def ks_statistic(a: np.ndarray, b: np.ndarray) -> float:
     a, b = np.sort(a), np.sort(b)
     at = np.concatenate([a, b])

@@ -42,12 +42,11 @@ def principal_scores(rows: DataFrame, k: int, vector: str = "waveform", fit_on:
 
 def vector_zscores(rows: DataFrame, vector: str = "waveform", into: str = "z") -> DataFrame:
     """Each position standardised over its recording by the population deviation; 0 where constant."""
-    keys = [RECORDING, "spike_id"]
-    long = rows.select(*keys, F.posexplode(vector).alias("pos", "x"))
+    long = rows.select(RECORDING, F.posexplode(vector).alias("pos", "x"))
     moments = long.groupBy(RECORDING, "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    z = F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.col("s")).otherwise(0.0)
-    packed = long.join(moments, [RECORDING, "pos"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", z.alias("z")))).alias("p"))
-    return packed.select(*keys, F.transform("p", lambda s: s["z"]).alias(into))
+    moments = moments.groupBy(RECORDING).agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("_moments"))
+    z = F.zip_with(vector, F.slice("_moments", 1, F.size(vector)), lambda x, m: F.when(m["s"] > 0, (x - m["m"]) / m["s"]).otherwise(0.0))
+    return rows.filter(F.size(vector) > 0).join(moments, RECORDING).select(RECORDING, "spike_id", z.alias(into))
 
 
 def time_feature(rows: DataFrame, scale: float = 7200.0, into: str = "t") -> DataFrame:
@@ -74,22 +73,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Groups whose sums a task keeps at once; with 64 samples a group takes 33 KB.
+HELD_GROUPS = 1000
 STATISTICS = "n long, mean array<double>, scatter array<double>"
 
 
 def group_statistics(rows: DataFrame, keys: list[str], vector: str = "waveform") -> DataFrame:
-    """Count, mean and scatter matrix of each group; partial sums a batch, added up by group."""
+    """Count, mean and scatter matrix of each group; partial sums a task, added up by group. A task
+    hands on what it holds when it has sums of `HELD_GROUPS` groups."""
     columns = [*keys, vector]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     partial = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, s array<double>, q array<double>"
 
     def sums(batches):
+        held: dict[tuple, list] = {}
+        table = lambda: pd.DataFrame([(*key, *parts) for key, parts in held.items()], columns=[*keys, "n", "s", "q"])
         for batch in batches:
-            out = []
             for key, g in batch.groupby(keys, sort=False, dropna=False):
                 x = np.stack(g[vector].to_numpy())
-                out.append((*(key if isinstance(key, tuple) else (key,)), len(x), x.sum(axis=0), (x.T @ x).ravel()))
-            yield pd.DataFrame(out, columns=[*keys, "n", "s", "q"])
+                parts = [len(x), x.sum(axis=0), (x.T @ x).ravel()]
+                before = held.get(key)
+                held[key] = parts if before is None else [a + b for a, b in zip(before, parts)]
+            if len(held) >= HELD_GROUPS:
+                yield table()
+                held = {}
+        yield table()
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         n, s, q = int(g["n"].sum()), np.stack(g["s"].to_numpy()).sum(axis=0), np.stack(g["q"].to_numpy()).sum(axis=0)
@@ -112,16 +120,24 @@ def discriminant_axis(pairs: DataFrame) -> DataFrame:
 
 def two_label_view(rows: DataFrame, one: int, two: int) -> DataFrame:
     """Rows relabelled 1, 2 and 3 (other) with a two-dimensional view: discriminant axes if all three
-    occur, else principal ones. Meant for a recording's clusters (sub-cluster rows)."""
+    occur, else principal ones. Axes come from the three sides' statistics, of which alone a recording's
+    task sees."""
     marked = rows.withColumn("side", F.when(F.col("label") == one, 1).when(F.col("label") == two, 2).otherwise(3))
+    sides = group_statistics(marked, [RECORDING, "side"]).groupBy(RECORDING).agg(F.array_sort(F.collect_list(F.struct("side", "n", "mean", "scatter"))).alias("sides"))
 
-    def view(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("spike_id", kind="stable")
-        x, side = np.stack(g["waveform"].to_numpy()), g["side"].to_numpy()
-        xy = kernels.discriminant(x, side, 2) if len(np.unique(side)) == 3 else kernels.scores(x, 2)
-        return pd.DataFrame({RECORDING: g[RECORDING], "spike_id": g["spike_id"], "side": side, "x": xy[:, 0], "y": xy[:, 1] if xy.shape[1] > 1 else 0.0})
-
-    return marked.groupBy(RECORDING).applyInPandas(view, f"{RECORDING} string, spike_id long, side int, x double, y double")
+    @F.pandas_udf("axes array<array<double>>, centre array<double>")
+    def solve(recordings: pd.Series) -> pd.DataFrame:
+        out = []
+        for found in recordings:
+            n, means = np.array([s["n"] for s in found], "float64"), np.stack([s["mean"] for s in found])
+            scatter = sum(np.asarray(s["scatter"]).reshape(means.shape[1], -1) for s in found)
+            axes = kernels.group_axes(n, means, scatter, 2)
+            out.append((axes.T.tolist(), ((n @ means / n.sum()) @ axes).tolist()))
+        return pd.DataFrame(out, columns=["axes", "centre"])
+
+    axes = sides.select(RECORDING, solve("sides").alias("f")).select(RECORDING, "f.*")
+    at = lambda i: F.when(F.size("axes") > i, dot(F.col("waveform"), F.get("axes", F.lit(i))) - F.get("centre", F.lit(i))).otherwise(0.0)
+    return marked.join(axes, RECORDING).select(RECORDING, "spike_id", "side", at(0).alias("x"), at(1).alias("y"))
 
 
 def inliers_1d(rows: DataFrame, value: str = "time", limit: float = 2.0, keys: tuple[str, ...] = (RECORDING, "label")) -> DataFrame:

@@ -42,15 +42,30 @@ def trailing_windows(spikes: DataFrame, dt: float, lags: int) -> DataFrame:
     return shown.withColumn("frame", F.col("window_idx") + F.col("lag")).filter("window_idx < frames AND frame < frames").select(RECORDING, "frame", "lag", "label", "n")
 
 
-def intervals(spikes: DataFrame, by_label: bool = True) -> DataFrame:
-    """Each spike with the time since the one before, of its label or of the whole recording."""
-    order = Window.partitionBy(RECORDING, *(["label"] if by_label else [])).orderBy("time", "spike_id")
-    return spikes.withColumn("isi", F.col("time") - F.lag("time").over(order))
-
-
-def marked_intervals(spikes: DataFrame) -> DataFrame:
-    """Intervals of the merged train, each within one label or across two."""
-    order = Window.partitionBy(RECORDING).orderBy("time", "spike_id")
-    before = F.lag("label").over(order)
-    marked = spikes.withColumn("isi", F.col("time") - F.lag("time").over(order)).withColumn("across", before != F.col("label"))
-    return marked.filter(F.col("isi").isNotNull())
+def with_previous(spikes: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """Spikes with `_previous`, time and label of the spike before of the same keys. A task orders the
+    spikes of `width` seconds of a key; the first of these takes over the last of the range before."""
+    spike = F.struct("time", "label")
+    dealt = spikes.withColumn("_range", F.floor(F.col("time") / width))
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by(spike, F.struct("time", "spike_id")).alias("_last"))
+    carried = ends.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))).drop("_last")
+    carried = carried.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_range")], "_carried")
+    inside = Window.partitionBy(*keys, "_range").orderBy("time", "spike_id")
+    met = dealt.withColumn("_inside", F.lag(spike).over(inside)).join(carried, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "_range")])
+    return met.withColumn("_previous", F.coalesce("_inside", "_carried")).drop("_range", "_inside", *carried.columns)
+
+
+def intervals(spikes: DataFrame, by_label: bool = True, width: float | None = None) -> DataFrame:
+    """Each spike with the time since the one before, of its label or of the whole recording. With a
+    width, no task orders more than a range of so many seconds: for trains too long for one task."""
+    keys = [RECORDING, *(["label"] if by_label else [])]
+    if width:
+        return with_previous(spikes, keys, width).withColumn("isi", F.col("time") - F.col("_previous.time")).drop("_previous")
+    return spikes.withColumn("isi", F.col("time") - F.lag("time").over(Window.partitionBy(*keys).orderBy("time", "spike_id")))
+
+
+def marked_intervals(spikes: DataFrame, width: float = 3600.0) -> DataFrame:
+    """Intervals of the merged train, each within one label or across two; ordered by ranges of `width`
+    seconds, since a merged train may be a large part of all spikes."""
+    marked = with_previous(spikes, [RECORDING], width).withColumn("isi", F.col("time") - F.col("_previous.time"))
+    return marked.withColumn("across", F.col("_previous.label") != F.col("label")).drop("_previous").filter(F.col("isi").isNotNull())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spikeloom import catalog
+from spikeloom.functions import kernels
 from spikeloom.jobs import recluster
 from spikeloom.operators import align, curate, features, graph, metrics, model, windows
 from spikeloom.sources import io
@@ -101,6 +102,18 @@ def test_rates_and_violations(spark):
     assert alone.rate is None and alone.violation_rate is None
 
 
+@pytest.mark.parametrize("width", [0.5, 3.0, 1000.0])
+def test_ranged_intervals(spark, width):
+    rng = np.random.default_rng(3)
+    d = spikes(spark, (rng.integers(-200, 200, 300) / 10).tolist(), rng.integers(0, 3, 300).tolist())
+    of = lambda df: {r.spike_id: r.isi for r in df.collect()}
+    for by_label in (True, False):
+        assert of(windows.intervals(d, by_label, width)) == of(windows.intervals(d, by_label))
+    plain = d.withColumn("label", F.lit(7).cast("long"))
+    assert {r.across for r in windows.marked_intervals(plain, width).collect()} == {False}
+    assert windows.marked_intervals(d, width).count() == 299 and windows.marked_intervals(d.limit(0), width).count() == 0
+
+
 def test_histogram_closes_its_last_bin(spark):
     h = metrics.isi_histogram(spikes(spark, [0.0, 0.25, 0.75, 1.75, 4.0]), high=1.0, bins=4).orderBy("bin").collect()
     assert [r.n for r in h] == [0, 1, 1, 1] and math.isclose(h[3].density, 1 / 3 / 0.25)
@@ -114,6 +127,40 @@ def test_alignment_and_psth(spark):
     assert {r.bin for r in p if r.per_trial} == {0, 2, 12, 16, 19} and {r.n_stim for r in p} == {1}
 
 
+def test_psth_counts_a_units_own_stimuli(spark):
+    """Against a loop over units and stimuli, with ties and stimuli outside a unit's extent."""
+    rng = np.random.default_rng(4)
+    times, labels, starts = rng.integers(0, 400, 200) / 10, rng.integers(0, 3, 200), rng.integers(-5, 45, 30).astype(float)
+    d = spikes(spark, times.tolist(), labels.tolist())
+    stimuli = spark.createDataFrame([("r", "live", i, s) for i, s in enumerate(starts.tolist())], io.STIMULI)
+    got = {(r.label, r.bin): (r.n_stim, round(r.per_trial * r.n_stim)) for r in align.psth(d, stimuli, bins=4).collect()}
+    expected = {}
+    for c in range(3):
+        own = times[labels == c]
+        kept = starts[(own.min() <= starts) & (starts < own.max())]
+        after = [t - s for s in kept for t in own if s <= t < s + 1.0]
+        expected |= {(c, b): (len(kept), sum(min(int(x * 4), 3) == b for x in after)) for b in range(4)}
+    assert got == expected
+
+
+def test_two_label_view(spark):
+    """As the discriminant (else principal) scores of all rows at once."""
+    rng = np.random.default_rng(5)
+    labels = rng.integers(0, 4, 300)
+    x = rng.normal(size=(300, 5)) + rng.normal(size=(4, 5))[labels] * 3
+    rows = [("r", i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(labels, x))]
+    d = spark.createDataFrame(rows, "recording_id string, spike_id long, label long, waveform array<double>").repartition(3)
+    for one, two, expected in ((1, 2, kernels.discriminant(x, np.where(labels == 1, 1, np.where(labels == 2, 2, 3)), 2)), (8, 9, kernels.scores(x, 2))):
+        got = features.two_label_view(d, one, two).orderBy("spike_id").collect()
+        assert np.allclose([(r.x, r.y) for r in got], expected, atol=1e-6)
+
+
+def test_vector_zscores(spark):
+    rows = [("r", i, [float(i), 5.0, i * i * 1.0]) for i in range(6)] + [("q", 0, [1.0, 2.0, 3.0])]
+    got = {(r.recording_id, r.spike_id): r.z for r in features.vector_zscores(spark.createDataFrame(rows, "recording_id string, spike_id long, waveform array<double>")).collect()}
+    assert np.allclose([got["r", i] for i in range(6)], kernels.zscores(np.array([v for n, _, v in rows if n == "r"]))) and got["q", 0] == [0.0, 0.0, 0.0]
+
+
 def test_ks(spark):
     rows = [("r", 1, x) for x in (1.0, 2.0, 3.0)] + [("r", 2, x) for x in (2.0, 3.0, 4.0)]
     values = spark.createDataFrame(rows, "recording_id string, side int, x double")
