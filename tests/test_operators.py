@@ -161,6 +161,25 @@ def test_vector_zscores(spark):
     assert np.allclose([got["r", i] for i in range(6)], kernels.zscores(np.array([v for n, _, v in rows if n == "r"]))) and got["q", 0] == [0.0, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("held", [2, 1000])
+def test_group_statistics_handed_on_early(spark, monkeypatch, held):
+    """The same sums however often a task hands on what it holds."""
+    monkeypatch.setattr(features, "HELD_GROUPS", held)
+    rng = np.random.default_rng(1)
+    x, label = rng.normal(size=(400, 4)), rng.integers(0, 7, 400)
+    d = spark.createDataFrame([("r", int(c), v.tolist()) for c, v in zip(label, x)], "recording_id string, label long, waveform array<double>")
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "30")
+    got = {r.label: r for r in features.group_statistics(d, ["recording_id", "label"]).collect()}
+    spark.conf.set(rows_a_batch, before)
+    for c in range(7):
+        g = x[label == c]
+        centred = g - g.mean(axis=0)
+        assert got[c].n == len(g) and np.allclose(got[c].mean, g.mean(axis=0)) and np.allclose(got[c].scatter, (centred.T @ centred).ravel())
+    assert features.group_statistics(d.limit(0), ["recording_id", "label"]).count() == 0
+
+
 def test_ks(spark):
     rows = [("r", 1, x) for x in (1.0, 2.0, 3.0)] + [("r", 2, x) for x in (2.0, 3.0, 4.0)]
     values = spark.createDataFrame(rows, "recording_id string, side int, x double")
