@@ -51,11 +51,16 @@ class Shelf:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/spikeloom-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+    def place(self, name: str) -> str:
+        """Where a table of this name goes, in a folder that is deleted when the session ends."""
         system, root = self._folder(self.root)
+        system.mkdirs(root)
         system.deleteOnExit(root)
+        return f"{self.root}/{name}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.place(name)
+        df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -17,6 +17,7 @@ ids are carried through; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import math
 import os
 import zlib
@@ -43,8 +44,10 @@ ELITES = 2
 class ByteTokenizer:
     """Ids as the tokenizers library gives them, as little-endian unsigned 32-bit integers.
 
-    The rank file holds the same vocabulary, and its encoder is several times faster; a text with
-    the string of an added token is left to the tokenizers library, which gives that token.
+    The rank file holds the same vocabulary, and its encoder is several times faster. Two kinds of
+    text are left to the tokenizers library: those with the string of an added token, which it gives,
+    and those on which the fast encoder's pattern gives up (runs of about a million white-space
+    characters).
     """
 
     def __init__(self, path: str, ranks: str, pattern: str):
@@ -59,9 +62,10 @@ class ByteTokenizer:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> np.ndarray:
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if not any(t in text for t in self.added):
+            with contextlib.suppress(ValueError):
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 Vocabulary = tuple[str, str, str]

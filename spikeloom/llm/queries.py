@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spikeloom.llm import html_extract, line_dedup, near_dup, packing, pii, piece_codec, quality_gam, quality_rules, topk, url_filter
-from spikeloom.llm.common import bounded_batches, table
+from spikeloom.llm import fim, html_extract, lexical, line_dedup, near_dup, packing, pii, piece_codec, quality_gam, quality_rules, token_records, topk, url_filter
+from spikeloom.llm.common import Shelf, bounded_batches, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return token_records.output(table(spark, sf_dir, "documents"), Shelf(spark).place("records"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    turned = fim.transform(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -132,5 +150,49 @@ FROM b
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id::VARCHAR) AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+    FROM documents
+), c AS (
+    SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::UBIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::UBIGINT % (len(u) + 1) AS b,
+           text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 100 AS plain,
+           ('0x' || h[25:32])::UBIGINT % 100 < 50 AS spm
+    FROM d
+), p AS (
+    SELECT *, array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+           array_to_string(u[greatest(a, b) + 1:], '') AS suffix
+    FROM c
+)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents WHERE text IS NOT NULL
+), q AS (
+    SELECT row_number() OVER () AS i, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+), qs AS (SELECT i, item_id, term, count(*) AS times FROM q GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS terms FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT docs FROM s) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p GROUP BY term),
+x AS (
+    SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+    FROM p JOIN w USING (term) JOIN qs USING (term), s GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op4_topk": OP4_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_topk": OP4_SQL, "op10_quality_rules": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_lexical_search": OP13_SQL}
