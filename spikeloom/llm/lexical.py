@@ -23,7 +23,7 @@ ignored. Scores are exact 64-bit integers.
 from __future__ import annotations
 
 import math
-import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -35,9 +35,9 @@ from pyspark.sql.window import Window
 from spikeloom.llm.common import Shelf, keyed
 
 K = 20
-#: Letters and digits of ASCII, and whatever is beyond it.
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: For each byte of a text in UTF-8: letters and digits of ASCII stay (A-Z in lower case), and so does
+#: whatever is beyond ASCII; all else separates terms.
+TERM_BYTES = bytes(b if chr(b).isdigit() or chr(b).islower() or b >= 0x80 else b + 32 if chr(b).isupper() else 0x20 for b in range(128)) + bytes(range(128, 256))
 #: Postings and documents of a block, at most (a longer document is a block of its own).
 BLOCK_POSTINGS = 1 << 21
 BLOCK_DOCUMENTS = 16_384
@@ -45,6 +45,8 @@ BLOCK_DOCUMENTS = 16_384
 QUERY_CHARS = 4 << 20
 #: One in so many blocks is searched first.
 PILOT = 16
+#: Times the cost of walking a posting that looking one up takes, about.
+LOOK_UP = 4
 
 BLOCKS = "ids array<long>, sizes array<int>, terms array<string>, ends array<int>, docs array<int>, tfs array<int>"
 HIT = "query int, doc_id long, score long"
@@ -53,53 +55,68 @@ HIT = "query int, doc_id long, score long"
 SCALE, TF, LENGTH, FLAT, SLOPE = 1_000_000_000, 1000, 12, 75, 25
 
 
-def terms_of(text: str | None) -> list[str]:
-    return TERM.findall((text or "").translate(LOWER))
+def terms_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()
 
 
 # -- the index
 
 
-def _block(ids: list, sizes: list[int], postings: dict[str, list[tuple[int, int]]]) -> tuple:
-    """Documents are numbered by ascending id, nulls last: the order of ties."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    place = np.empty(len(ids), "int32")
-    place[order] = np.arange(len(ids))
-    terms, docs, tfs, ends = sorted(postings), [], [], []
-    for t in terms:
-        held = np.array(postings[t], "int32").reshape(-1, 2)
-        docs.append(place[held[:, 0]])
-        tfs.append(held[:, 1])
-        ends.append(len(held))
-    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, "int32")
-    return [ids[i] for i in order], [sizes[i] for i in order], terms, np.cumsum(ends, dtype="int32"), join(docs), join(tfs)
+class Numbers(dict):
+    """Numbers of terms in the order in which they are first seen."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
+class Block:
+    """Documents and postings while a block is filled."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.numbers = Numbers()
+        self.terms, self.docs, self.tfs = array("i"), array("i"), array("i")
+
+    def add(self, doc_id: int | None, size: int, counts: Counter) -> None:
+        self.terms.extend(map(self.numbers.__getitem__, counts))
+        self.tfs.extend(counts.values())
+        self.docs.extend([len(self.ids)] * len(counts))
+        self.ids.append(doc_id)
+        self.sizes.append(size)
+
+    def row(self) -> pd.DataFrame:
+        """Documents are numbered by ascending id, nulls last: the order of ties."""
+        order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
+        place = np.empty(len(order), "int32")
+        place[order] = np.arange(len(order))
+        terms = np.frombuffer(self.terms, "int32")
+        docs = place[np.frombuffer(self.docs, "int32")]
+        by_term = np.lexsort((docs, terms))
+        ends = np.cumsum(np.bincount(terms, minlength=len(self.numbers)), dtype="int32")
+        names = b" ".join(self.numbers).decode("utf-8", "surrogatepass").split(" ")
+        row = [self.ids[i] for i in order], [self.sizes[i] for i in order], names, ends, docs[by_term], np.frombuffer(self.tfs, "int32")[by_term]
+        return pd.DataFrame([row], columns=["ids", "sizes", "terms", "ends", "docs", "tfs"])
 
 
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Blocks of documents with at least one term, and their postings."""
 
     def fill(batches):
-        ids, sizes, postings, held = [], [], {}, 0
-
-        def block() -> pd.DataFrame:
-            return pd.DataFrame([_block(ids, sizes, postings)], columns=["ids", "sizes", "terms", "ends", "docs", "tfs"])
-
+        block = Block()
         for batch in batches:
             for d, t in zip(batch["doc_id"].astype(object), batch["text"]):
                 words = terms_of(t)
                 if not words:
                     continue
                 counts = Counter(words)
-                if ids and (held + len(counts) > BLOCK_POSTINGS or len(ids) >= BLOCK_DOCUMENTS):
-                    yield block()
-                    ids, sizes, postings, held = [], [], {}, 0
-                for word, tf in counts.items():
-                    postings.setdefault(word, []).append((len(ids), tf))
-                ids.append(None if pd.isna(d) else int(d))
-                sizes.append(len(words))
-                held += len(counts)
-        if ids:
-            yield block()
+                if block.ids and (len(block.terms) + len(counts) > BLOCK_POSTINGS or len(block.ids) >= BLOCK_DOCUMENTS):
+                    yield block.row()
+                    block = Block()
+                block.add(None if pd.isna(d) else int(d), len(words), counts)
+        if block.ids:
+            yield block.row()
 
     return keyed(docs, doc_id=doc_id, text=text).mapInPandas(fill, BLOCKS)
 
@@ -140,8 +157,7 @@ class Impacts:
             order = np.argsort(-impact, kind="stable")
             down = impact[order]
             ends = np.append(np.flatnonzero(np.diff(down)) + 1, len(down))
-            by_doc = np.argsort(docs, kind="stable")
-            self.sorted[term] = (down, docs[order], down[ends - 1], ends, np.stack([docs[by_doc], impact[by_doc]]))
+            self.sorted[term] = (down, docs[order], down[ends - 1], ends, (docs, impact))
         return self.sorted[term]
 
 
@@ -170,10 +186,11 @@ def best_of_block(block: Impacts, query: list[tuple[str, int]], floor: int, k: i
             candidates = np.flatnonzero(sums >= least)
             break
         best = max(least, int(np.partition(sums, block.n - k)[block.n - k])) if block.n > k else least
-        # a document that hasn't been met yet has a sum of 0
-        if rest < best:
+        if rest < best:  # so no document that hasn't been met yet, with a sum of 0, can be among the best
             candidates = np.flatnonzero(sums + rest >= best)
-            if len(candidates) <= max(4 * k, block.n // 64):
+            # looking candidates up must cost less than to walk on
+            left = sum(len(docs) - (int(ends[d - 1]) if d else 0) for (_, _, docs, _, ends, _), d in zip(lists, done))
+            if LOOK_UP * len(candidates) * sum(d < len(groups) for (_, _, _, groups, _, _), d in zip(lists, done)) <= left:
                 break
     if work is not None:
         work[0] += sum(int(ends[d - 1]) if d else 0 for (_, _, _, _, ends, _), d in zip(lists, done))
@@ -220,7 +237,7 @@ def search_index(blocks: DataFrame, items: DataFrame, item_id: str = "item_id",
 
     @F.pandas_udf("array<struct<term:string,times:int>>")
     def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(Counter(terms_of(t)).items()) for t in texts])
+        return pd.Series([[(w.decode("utf-8", "surrogatepass"), n) for w, n in Counter(terms_of(t)).items()] for t in texts])
 
     asked = keyed(items, item_id=item_id, text=text).withColumn("query", F.monotonically_increasing_id())
     asked = shelf.put(asked.select("query", "item_id", F.length("text").alias("chars"), counted("text").alias("words")), "queries")
