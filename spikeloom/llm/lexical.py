@@ -39,7 +39,7 @@ K = 20
 #: whatever is beyond ASCII; all else separates terms.
 TERM_BYTES = bytes(b if chr(b).isdigit() or chr(b).islower() or b >= 0x80 else b + 32 if chr(b).isupper() else 0x20 for b in range(128)) + bytes(range(128, 256))
 #: Postings and documents of a block, at most (a longer document is a block of its own).
-BLOCK_POSTINGS = 1 << 21
+BLOCK_POSTINGS = 1 << 20
 BLOCK_DOCUMENTS = 16_384
 #: Characters of the queries that a task holds at once; more queries are searched in groups.
 QUERY_CHARS = 4 << 20
