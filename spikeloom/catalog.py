@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spikeloom.jobs import recluster, sort_files, sorting
-from spikeloom.operators import align, curate, features, graph, metrics, model, windows
+from spikeloom.operators import align, curate, features, graph, metrics, model, neighbours, windows
+from spikeloom.operators.held import held
 from spikeloom.operators.model import RECORDING
 from spikeloom.sources import io
 
@@ -62,6 +64,48 @@ def dense_wf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.spike_table(spikes_wf(spark, sf_dir).select(RECORDING, "time", F.col("spike_id").alias("tie"), "waveform"), "tie").drop("tie", "label")
 
 
+#: Planted recordings: units, samples of a spike, and spikes of a window.
+UNITS, SAMPLES, PLANTED_WINDOW = 3, 12, 400
+
+
+def planted_wf(spark: SparkSession, sf_dir: str, size: float = 8.0) -> DataFrame:
+    """Events as spikes with planted waveforms: a shape of some size for each of three units (users), which
+    drifts over the month, and noise from a hash of event and sample. `unit` is the truth."""
+    spikes = spikes_ev(spark, sf_dir).select(RECORDING, "spike_id", "time", "event_id", (F.col("sub_label") % UNITS).alias("unit"))
+    month = F.col("time") / (30 * 86400.0)
+    noise = lambda i: F.pmod(F.xxhash64("event_id", F.lit(i)), F.lit(1000)) / 1000.0 - 0.5
+    sample = lambda i: size * F.sin((F.col("unit") + 1) * (i + 1) * 0.9) + 0.04 * size * month * F.cos((F.col("unit") + 2) * (i + 1) * 0.7) + noise(i) + noise(i + 100)
+    return spikes.withColumn("waveform", F.array(*[sample(i) for i in range(SAMPLES)])).drop("event_id")
+
+
+PLANTED = EV + f""", pl AS (SELECT recording_id, spike_id, sub_label % {UNITS} AS unit, spike_id // {PLANTED_WINDOW} AS window_idx FROM sp),
+pw AS (SELECT recording_id, window_idx, unit, count(*) AS n FROM pl GROUP BY 1, 2, 3)"""
+
+
+#: At this size two units overlap, so that each can still be told in a cluster that holds both.
+OVERLAP = 0.27
+
+
+def planted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping planted spikes in windows with their units as labels; in every third window units 0 and 1
+    have been taken for one cluster."""
+    merged = (F.col("window_idx") % 3 == 1) & (F.col("unit") == 1)
+    windowed = planted_wf(spark, sf_dir, OVERLAP).withColumn("window_idx", F.floor(F.col("spike_id") / PLANTED_WINDOW))
+    return windowed.select(RECORDING, "spike_id", "time", "waveform", "window_idx", F.when(merged, 0).otherwise(F.col("unit")).cast("long").alias("win_label"), "unit")
+
+
+def found_units(labelled: DataFrame) -> DataFrame:
+    """For each planted unit: its spikes, whether over nine tenths of them have one label, and whether
+    these make up over nine tenths of that label."""
+    cells = labelled.groupBy(RECORDING, "unit", "label").agg(F.count("*").alias("c"))
+    whole = cells.groupBy(RECORDING, "label").agg(F.sum("c").alias("of_label"))
+    units = cells.groupBy(RECORDING, "unit").agg(F.sum("c").alias("n"), F.max_by("label", "c").alias("label"), F.max("c").alias("c")).join(whole, [RECORDING, "label"])
+    return units.select(RECORDING, "unit", "n", (F.col("c") > 0.9 * F.col("n")).alias("together"), (F.col("c") > 0.9 * F.col("of_label")).alias("apart"))
+
+
+FOUND = f"WITH {PLANTED} SELECT recording_id, unit, sum(n)::BIGINT AS n, true AS together, true AS apart FROM pw GROUP BY 1, 2"
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     """A folder for what a query writes and reads again, beside the checkpoints that all executors share."""
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
@@ -282,7 +326,9 @@ def f8(spark, sf):
     return model.every_kth(spikes_ev(spark, sf), 100).select(RECORDING, "spike_id")
 
 
-@query("f9_cluster_sample")
+@query("f9_cluster_sample", f"""WITH {EV}, k AS (SELECT recording_id, label, greatest(1, count(*) // 20) AS k FROM sp GROUP BY 1, 2),
+p AS (SELECT recording_id, label, spike_id, row_number() OVER (PARTITION BY recording_id, label ORDER BY time, spike_id) - 1 AS place FROM sp)
+SELECT recording_id, label, spike_id FROM (SELECT *, (('0x' || md5('0|' || recording_id || '|' || label)[1:8])::UBIGINT % k)::BIGINT AS start FROM p JOIN k USING (recording_id, label)) WHERE place >= start AND (place - start) % k = 0""")
 def f9(spark, sf):
     return model.every_kth_of_cluster(spikes_ev(spark, sf), 20).select(RECORDING, "label", "spike_id")
 
@@ -344,6 +390,39 @@ def h2(spark, sf):
     return rounded(model.flatten_once(spikes_ev(spark, sf)), "med_time", digits=3)
 
 
+#: Clusters by unit; in the recording `click` two units each share a label, so that labels repeat there.
+NODES = EV + """, t AS (SELECT *, label AS node, CASE WHEN recording_id = 'click' THEN label // 2 ELSE label END AS tag FROM sp),
+sub AS (SELECT recording_id, node, tag, sub_label, count(*) AS n, median(time) AS t FROM t GROUP BY 1, 2, 3, 4),
+nd AS (SELECT recording_id, node, tag, row_number() OVER (PARTITION BY recording_id ORDER BY median(t), node) - 1 AS place FROM sub GROUP BY 1, 2, 3),
+u AS (SELECT recording_id, count(*) > count(DISTINCT tag) AS repeats FROM nd GROUP BY 1),
+top AS (SELECT recording_id, node, CASE WHEN repeats THEN place ELSE tag END AS label FROM nd JOIN u USING (recording_id))"""
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col(RECORDING) == "click", F.floor(F.col("label") / 2)).otherwise(F.col("label"))
+    return spikes_ev(spark, sf_dir).select(RECORDING, "spike_id", "time", F.col("label").alias("node"), label.alias("label"), "sub_label")
+
+
+@query("h2_flatten_depth1", f"WITH {NODES} SELECT recording_id, label, sub_label, n, round(t, 3) AS med_time FROM sub JOIN top USING (recording_id, node)")
+def h2_depth1(spark, sf):
+    return rounded(model.flatten(_nodes(spark, sf), 1).select(RECORDING, "label", "sub_label", "n", "med_time"), "med_time", digits=3)
+
+
+@query("h2_flatten_depth2", f"WITH {NODES} SELECT recording_id, spike_id, top.label FROM t JOIN top USING (recording_id, node)")
+def h2_depth2(spark, sf):
+    return model.flatten(_nodes(spark, sf), 2).select(RECORDING, "spike_id", "label")
+
+
+@query("h2_flatten_all", f"WITH {NODES} SELECT recording_id, top.label, count(*) AS n, sum(spike_id)::BIGINT AS ids FROM t JOIN top USING (recording_id, node) GROUP BY 1, 2")
+def h2_all(spark, sf):
+    return model.flatten(_nodes(spark, sf)).groupBy(RECORDING, "label").agg(F.count("*").alias("n"), F.sum("spike_id").alias("ids"))
+
+
+@query("h2_flatten_lower_labels", f"WITH {NODES} SELECT recording_id, sub_label AS label, sum(n)::BIGINT AS n FROM sub GROUP BY 1, 2")
+def h2_lower(spark, sf):
+    return model.flatten(_nodes(spark, sf), 1, assign_labels=False).groupBy(RECORDING, "label").agg(F.sum("n").alias("n"))
+
+
 @query("h3_window_hierarchy", f"""WITH {EV}, w AS (SELECT recording_id, spike_id, spike_id // 100 AS window_idx, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM sp),
 d AS (SELECT recording_id, window_idx, label, row_number() OVER (PARTITION BY recording_id ORDER BY window_idx, label) - 1 AS r FROM (SELECT DISTINCT recording_id, window_idx, label FROM w))
 SELECT recording_id, spike_id, window_idx, label, CASE WHEN label = -1 THEN -1 ELSE r END AS sub_label FROM w JOIN d USING (recording_id, window_idx, label)""")
@@ -403,11 +482,59 @@ def e6(spark, sf):
     return curate.changed_labels(a, curate.merge_clusters(a, _labels(a, F.col("label").isin(2, 5))))
 
 
-@query("e7_replayed_edits")
+#: A log of edits: action, labels, and whether the pieces of what it deals out are told apart (by even or odd number).
+EDITS = [
+    ("merge", [1, 2], False), ("delete", [3], False), ("undo", [], False), ("recluster", [5], True), ("hide", [4, 0], False), ("reveal", [], False), ("undo", [], False),
+    ("undo", [], False), ("redo", [], False), ("redo", [], False), ("add", [], True), ("keep", [6, 7], False), ("undo", [], False), ("merge", [6, 7, 11], False), ("restore", [2], False), ("undo", [], False),
+]
+
+
+def _replay_sql(edits: list[tuple[str, list[int], bool]], piece: str, label: str) -> str:
+    """Versions by recursion over the log; a cluster's new label follows the highest by median time."""
+    values = ", ".join(f"({i}, '{a}', {x}::BIGINT[], {str(p).lower()})" for i, (a, x, p) in enumerate(edits, 1))
+    return f"""WITH RECURSIVE {EV}, a AS (SELECT recording_id, time, {label} AS label, {piece} AS piece FROM sp), log(seq, action, labels, parted) AS (VALUES {values}),
+pt AS (SELECT recording_id, {{'p': piece, 'l': min(label), 't': median(time)}} AS x FROM a GROUP BY recording_id, piece),
+run AS (
+  SELECT recording_id, 0 AS seq, list(x) AS every, [{{'cur': coalesce(list(x) FILTER (x.l IS NOT NULL), []), 'hid': list(x) FILTER (false)}}] AS versions, [{{'cur': list(x), 'hid': list(x)}}][:0] AS redo FROM pt GROUP BY 1
+  UNION ALL
+  SELECT recording_id, seq, every,
+    CASE WHEN action = 'undo' THEN versions[:greatest(len(versions) - 1, 1)] WHEN action = 'redo' THEN list_concat(versions, redo[len(redo):]) ELSE list_append(versions, CASE
+      WHEN action = 'restore' THEN versions[labels[1] + 1] WHEN action = 'delete' THEN {{'cur': kept, 'hid': h}} WHEN action = 'keep' THEN {{'cur': moved, 'hid': h}}
+      WHEN action = 'hide' THEN {{'cur': kept, 'hid': list_concat(h, moved)}} WHEN action = 'reveal' THEN {{'cur': list_concat(c, new), 'hid': h[:0]}}
+      WHEN action = 'add' THEN {{'cur': list_concat(c, new), 'hid': h}} ELSE {{'cur': list_concat(kept, new), 'hid': h}} END) END,
+    CASE WHEN action = 'undo' AND len(versions) > 1 THEN list_append(redo, versions[-1]) WHEN action = 'undo' THEN redo WHEN action = 'redo' THEN redo[:len(redo) - 1] ELSE redo[:0] END
+  FROM (SELECT *, list_transform(dealt, lambda x: {{'p': x.p, 'l': top + list_position(list_transform(list_sort(groups), lambda z: z.g), x.g), 't': x.t}}) AS new
+    FROM (SELECT *, list_transform(list_distinct(list_transform(dealt, lambda x: x.g)), lambda g: {{'m': list_aggregate(list_transform(list_filter(dealt, lambda y: y.g = g), lambda y: y.t), 'median'), 'g': g}}) AS groups,
+          coalesce(list_max(list_transform(CASE WHEN action IN ('reveal', 'add') THEN c ELSE kept END, lambda x: x.l)), 0) AS top
+      FROM (SELECT *, list_transform(CASE action WHEN 'reveal' THEN h WHEN 'add' THEN list_filter(every, lambda x: x.l IS NULL AND NOT list_contains(list_transform(list_concat(c, h), lambda y: y.p), x.p)) ELSE moved END,
+              lambda x: {{'p': x.p, 'g': CASE WHEN action = 'reveal' THEN x.l WHEN parted THEN x.p % 2 ELSE 0 END, 't': x.t}}) AS dealt
+        FROM (SELECT *, list_filter(c, lambda x: NOT list_contains(labels, x.l)) AS kept, list_filter(c, lambda x: list_contains(labels, x.l)) AS moved
+          FROM (SELECT recording_id, log.seq, every, versions, redo, action, labels, parted, versions[-1].cur AS c, coalesce(versions[-1].hid, []) AS h FROM run JOIN log ON log.seq = run.seq + 1)))))
+), final AS (SELECT recording_id, unnest(versions[-1].cur) AS x FROM run WHERE seq = {len(edits)})
+SELECT recording_id, x.l AS label, count(*) AS n FROM a JOIN final USING (recording_id) WHERE x.p = piece GROUP BY 1, 2"""
+
+
+def _log(a: DataFrame, edits: list[tuple[str, list[int], bool]]) -> DataFrame:
+    """The log for each recording; parts name every piece there is."""
+    parts = a.groupBy(RECORDING).agg(F.transform(F.collect_set("piece"), lambda p: F.struct(p.alias("piece"), (p % 2).alias("part"))).alias("all"))
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("action"), F.array(*[F.lit(x) for x in v]).cast("array<bigint>").alias("labels"), F.lit(p).alias("parted")) for i, (k, v, p) in enumerate(edits)])
+    return parts.withColumn("e", F.explode(steps)).select(RECORDING, "e.seq", "e.action", "e.labels", F.when(F.col("e.parted"), F.col("all")).alias("parts"))
+
+
+FIRST_EDITS = [("merge", [1, 2], False), ("delete", [3], False), ("undo", [], False), ("hide", [4], False), ("reveal", [], False)]
+
+
+@query("e7_replayed_edits", _replay_sql(FIRST_EDITS, "label", "label"))
 def e7(spark, sf):
-    a = _assigned(spark, sf)
-    log = a.select(RECORDING).distinct().withColumn("e", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(k).alias("action"), F.array(*[F.lit(x).cast("long") for x in v]).cast("array<bigint>").alias("labels")) for i, (k, v) in enumerate([("merge", [1, 2]), ("delete", [3]), ("undo", []), ("hide", [4]), ("reveal", [])])])))
-    return curate.replay(a, log.select(RECORDING, "e.*")).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
+    a = _assigned(spark, sf).withColumn("piece", F.col("label"))
+    return curate.replay(a, _log(a, FIRST_EDITS)).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
+
+
+@query("e7_history", _replay_sql(EDITS, "label * 3 + sub_label % 3", "CASE WHEN label < 9 THEN label END"))
+def e7_history(spark, sf):
+    """Merges, deletions, reclustering, hiding and adding, undone and redone; unit 9 is in no cluster at first."""
+    a = spikes_ev(spark, sf).select(RECORDING, "spike_id", "time", F.when(F.col("label") < 9, F.col("label")).alias("label"), (F.col("label") * 3 + F.col("sub_label") % 3).alias("piece"))
+    return curate.replay(a, _log(a, EDITS)).groupBy(RECORDING, "label").agg(F.count("*").alias("n"))
 
 
 @query("e8_tags", f"""WITH {EV}, l AS (SELECT DISTINCT recording_id, label FROM sp), g AS (SELECT recording_id, label, 'SINGLEUNIT' AS tag FROM l WHERE label % 2 = 0 UNION ALL SELECT recording_id, label, 'NOISY' FROM l WHERE label % 3 = 0 AND label <> 6)
@@ -609,9 +736,19 @@ def m9(spark, sf):
     return features.inliers_1d(spikes_ev(spark, sf), limit=1.5).groupBy(RECORDING, "label", "inlier").agg(F.count("*").alias("rows"))
 
 
-@query("m10_smoothed_labels")
+#: Spikes of a block in neighbour queries: the recordings of the driver's tables are short.
+NEIGHBOUR_BLOCK = 40
+PAIRS = """, d AS (SELECT a.recording_id, a.spike_id, b.spike_id AS other, b.label, list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)) AS d2
+  FROM v a JOIN v b USING (recording_id) WHERE a.spike_id <> b.spike_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, spike_id ORDER BY d2, other) AS r FROM d))"""
+
+
+@query("m10_smoothed_labels", WF + ", v AS (SELECT recording_id, spike_id, label, waveform AS v FROM wf)" + PAIRS + """, k AS (SELECT recording_id, CASE WHEN count(*) <= 20 THEN 1 ELSE 19 END AS k FROM v GROUP BY 1),
+votes AS (SELECT recording_id, spike_id, label FROM v UNION ALL SELECT recording_id, spike_id, nn.label FROM nn JOIN k USING (recording_id) WHERE r <= k),
+c AS (SELECT recording_id, spike_id, label, count(*) AS n FROM votes GROUP BY 1, 2, 3)
+SELECT recording_id, spike_id, label FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, spike_id ORDER BY n DESC, label) AS r FROM c) WHERE r = 1""")
 def m10(spark, sf):
-    return features.smoothed_labels(spikes_wf(spark, sf))
+    return neighbours.smoothed_labels(spikes_wf(spark, sf), block=NEIGHBOUR_BLOCK)
 
 
 @query("m11_closest", f"""WITH {EV}, q AS (SELECT recording_id, spike_id AS query_id, time / 86400.0 AS qx, value / 10.0 AS qy FROM sp WHERE spike_id % 50 = 0),
@@ -626,7 +763,17 @@ def m11(spark, sf):
 
 @query("m12_outlier_factors")
 def m12(spark, sf):
-    return features.outlier_factors(spikes_wf(spark, sf))
+    return neighbours.outlier_factors(features.principal_scores(spikes_wf(spark, sf), 2), "pcs", block=NEIGHBOUR_BLOCK)
+
+
+@query("m12_outlier_factors_plane", EV + ", v AS (SELECT recording_id, spike_id, label, [time / 86400.0, value / 10.0] AS v FROM sp)" + PAIRS + """, near AS (SELECT recording_id, spike_id, other, r, sqrt(d2) AS d FROM nn WHERE r <= 20),
+lim AS (SELECT recording_id, spike_id AS other, max(d) AS far FROM near GROUP BY 1, 2),
+den AS (SELECT recording_id, spike_id, 1 / (avg(greatest(d, far)) + 1e-10) AS density FROM near JOIN lim USING (recording_id, other) GROUP BY 1, 2)
+SELECT near.recording_id, near.spike_id, round(avg(o.density) / any_value(s.density), 6) AS lof FROM near JOIN den o ON o.recording_id = near.recording_id AND o.spike_id = near.other
+JOIN den s ON s.recording_id = near.recording_id AND s.spike_id = near.spike_id GROUP BY 1, 2""")
+def m12_plane(spark, sf):
+    at = spikes_ev(spark, sf).select(RECORDING, "spike_id", F.array(F.col("time") / 86400.0, F.col("value") / 10.0).alias("at"))
+    return rounded(neighbours.outlier_factors(at, "at", block=500), "lof")
 
 
 @query("m13_trimmed_clusters")
@@ -671,7 +818,7 @@ def p1(spark, sf):
 
 def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = sorting.reference_map(dense_wf(spark, sf_dir))
-    return sorting.cluster_windows(mapped, WINDOW).checkpoint(eager=True)
+    return sorting.cluster_windows(mapped, WINDOW).transform(held)
 
 
 @query("p2_p3_cluster_windows")
@@ -686,8 +833,28 @@ def p4(spark, sf):
 
 @query("p5_unmerge")
 def p5(spark, sf):
-    windowed = _windowed(spark, sf)
-    return sorting.unmerge(windowed, sorting.link_windows(windowed)).drop("waveform")
+    return sorting.unmerge(_windowed(spark, sf)).drop("waveform")
+
+
+@query("p4_link_planted", f"""WITH {PLANTED} SELECT recording_id, a.window_idx AS src_win, a.unit AS src_label, a.window_idx + 1 AS dst_win, a.unit AS dst_label
+FROM pw a JOIN pw b USING (recording_id, unit) WHERE b.window_idx = a.window_idx + 1 AND a.n >= 10 AND b.n >= 10""")
+def p4_planted(spark, sf):
+    windowed = planted_wf(spark, sf).withColumn("window_idx", F.floor(F.col("spike_id") / PLANTED_WINDOW)).withColumnRenamed("unit", "win_label").transform(held)
+    return sorting.link_windows(windowed).drop("ks")
+
+
+@query("p5_unmerge_planted", f"WITH {PLANTED}, l AS (SELECT recording_id, max(window_idx) AS w FROM pw GROUP BY 1) SELECT recording_id, window_idx, count(*) AS units, count(*) AS labels, true AS pure FROM pw JOIN l USING (recording_id) WHERE window_idx < w GROUP BY 1, 2")
+def p5_planted(spark, sf):
+    """Units, labels and purity (over three quarters) of each whole window after the clusters of several units are split."""
+    windowed = planted_windows(spark, sf).transform(held)
+    split = sorting.unmerge(windowed.drop("unit")).select(RECORDING, "spike_id", "window_idx", "win_label").join(windowed.select(RECORDING, "spike_id", "unit"), [RECORDING, "spike_id"])
+    cells = split.groupBy(RECORDING, "window_idx", "win_label", "unit").agg(F.count("*").alias("c"))
+    labels = cells.groupBy(RECORDING, "window_idx", "win_label").agg((F.max("c") > 0.75 * F.sum("c")).alias("pure"))
+    found = labels.groupBy(RECORDING, "window_idx").agg(F.count("*").alias("labels"), F.bool_and("pure").alias("pure"))
+    units = split.groupBy(RECORDING, "window_idx").agg(F.countDistinct("unit").alias("units"))
+    last = Window.partitionBy(RECORDING)
+    whole = units.join(found, [RECORDING, "window_idx"]).withColumn("_last", F.max("window_idx").over(last))
+    return whole.filter("window_idx < _last").select(RECORDING, "window_idx", "units", "labels", "pure")
 
 
 EDGES = EV + """, c AS (SELECT recording_id, floor(time / 86400)::BIGINT AS src_win, label AS src_label, count(*) AS n FROM sp GROUP BY 1, 2, 3),
@@ -705,13 +872,13 @@ named AS (SELECT recording_id, root, row_number() OVER (PARTITION BY recording_i
 def p6(spark, sf):
     nodes = spikes_ev(spark, sf).groupBy(RECORDING, F.floor(F.col("time") / DT).alias("src_win"), F.col("label").alias("src_label")).agg(F.count("*").alias("n"))
     edges = nodes.filter("n % 3 <> 0").select(RECORDING, "src_win", "src_label", (F.col("src_win") + 1).alias("dst_win"), ((F.col("src_label") + F.col("n")) % 10).alias("dst_label"))
-    return graph.unit_labels(edges.checkpoint(eager=True))
+    return graph.unit_labels(edges.transform(held))
 
 
 @query("p7_leftovers")
 def p7(spark, sf):
-    mapped = sorting.reference_map(dense_wf(spark, sf)).checkpoint(eager=True)
-    return sorting.leftovers(mapped, sorting.sort_once(mapped, WINDOW).checkpoint(eager=True), WINDOW)
+    mapped = sorting.reference_map(dense_wf(spark, sf)).transform(held)
+    return sorting.leftovers(mapped, sorting.sort_once(mapped, WINDOW).transform(held), WINDOW)
 
 
 @query("p8_remainder")
@@ -720,9 +887,22 @@ def p8(spark, sf):
     return sorting.remainder(spikes, spikes.select(RECORDING, "spike_id", F.lit(-1).cast("long").alias("label")), block=WINDOW)
 
 
+@query("p8_remainder_planted", FOUND)
+def p8_planted(spark, sf):
+    spikes = planted_wf(spark, sf).transform(held)
+    labels = sorting.remainder(spikes.drop("unit"), spikes.select(RECORDING, "spike_id", F.lit(-1).cast("long").alias("label")), block=PLANTED_WINDOW)
+    return found_units(labels.join(spikes.select(RECORDING, "spike_id", "unit"), [RECORDING, "spike_id"]))
+
+
+@query("p9_sort_planted", FOUND)
+def p9_planted(spark, sf):
+    spikes = planted_wf(spark, sf).transform(held)
+    return found_units(sorting.sort(spikes, PLANTED_WINDOW))
+
+
 @query("p9_sort")
 def p9(spark, sf):
-    return sorting.sort(dense_wf(spark, sf).checkpoint(eager=True), WINDOW).select(RECORDING, "spike_id", "time", "label")
+    return sorting.sort(dense_wf(spark, sf).transform(held), WINDOW).select(RECORDING, "spike_id", "time", "label")
 
 
 def queries() -> dict[str, Query]:

@@ -101,8 +101,8 @@ def knn_vote(x: np.ndarray, labels: np.ndarray, k: int = 20) -> np.ndarray:
     return values[(votes[:, :, None] == values).sum(axis=1).argmax(axis=1)]
 
 
-def weighted_kmeans_1d(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Weighted k-means of numbers, started at weighted quantiles; labels ascend with the centres."""
+def kmeans_centres_1d(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """Ascending centres of weighted k-means of numbers, started at weighted quantiles."""
     k = min(k, len(np.unique(x)))
     order = np.argsort(x, kind="stable")
     share = np.cumsum(weight[order]) / weight.sum()
@@ -113,42 +113,87 @@ def weighted_kmeans_1d(x: np.ndarray, weight: np.ndarray, k: int, rounds: int =
         if np.allclose(new, centres):
             break
         centres = new
-    return np.abs(x[:, None] - np.sort(centres)).argmin(axis=1)
+    return np.sort(centres)
 
 
-def mixture(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Labels of a full-covariance Gaussian mixture by seeded expectation-maximisation, and its BIC."""
+def weighted_kmeans_1d(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """Labels of weighted k-means of numbers; they ascend with the centres."""
+    return np.abs(x[:, None] - kmeans_centres_1d(x, weight, k, rounds)).argmin(axis=1)
+
+
+def log_densities(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Of each row and Gaussian component, weight included."""
+    n, d = x.shape
+    log = np.empty((n, len(weight)))
+    for j in range(len(weight)):
+        low = np.linalg.cholesky(cov[j])
+        z = np.linalg.solve(low, (x - mean[j]).T)
+        log[:, j] = np.log(weight[j]) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+    return log
+
+
+def responsibilities(log: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares of the components in each row, and the likelihood of all rows (logarithm)."""
+    top = log.max(axis=1, keepdims=True)
+    total = top + np.log(np.exp(log - top).sum(axis=1, keepdims=True))
+    return np.exp(log - total), float(total.sum())
+
+
+Components = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def components_of_sums(mass: np.ndarray, first: np.ndarray, second: np.ndarray, n: float, ridge: float) -> Components:
+    """Weights, means and covariances from the components' summed shares, and shares times x and times x xT."""
+    mass = mass + 1e-9
+    mean = first / mass[:, None]
+    cov = second / mass[:, None, None] - mean[:, :, None] * mean[:, None, :] + ridge * np.eye(first.shape[1])
+    return mass / n, mean, cov
+
+
+def ridge_of(variances: np.ndarray) -> float:
+    return 1e-3 * float(variances.mean()) + 1e-9
+
+
+def fit_mixture(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[Components, np.ndarray, float]:
+    """A full-covariance Gaussian mixture by seeded expectation-maximisation: its components, the rows'
+    shares in them, and the likelihood (logarithm)."""
     n, d = x.shape
     rng = np.random.default_rng(seed)
     centres = [x[rng.integers(n)]]
     for _ in range(1, k):  # spread-out starts
         far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
         centres.append(x[rng.choice(n, p=far / far.sum()) if far.sum() > 0 else rng.integers(n)])
-    ridge = 1e-3 * x.var(axis=0).mean() + 1e-9
-    resp = np.eye(k)[((x[:, None] - np.array(centres)) ** 2).sum(axis=2).argmin(axis=1)]
+    middle, ridge = x.mean(axis=0), ridge_of(x.var(axis=0))
+    x = x - middle
+    resp = np.eye(k)[((x[:, None] - (np.array(centres) - middle)) ** 2).sum(axis=2).argmin(axis=1)]
     likelihood = -np.inf
     for _ in range(rounds):
-        mass = resp.sum(axis=0) + 1e-9
-        mean = (resp.T @ x) / mass[:, None]
-        log = np.empty((n, k))
-        for j in range(k):
-            c = x - mean[j]
-            low = np.linalg.cholesky((resp[:, j, None] * c).T @ c / mass[j] + ridge * np.eye(d))
-            z = np.linalg.solve(low, c.T)
-            log[:, j] = np.log(mass[j] / n) - 0.5 * (z**2).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
-        top = log.max(axis=1, keepdims=True)
-        total = top + np.log(np.exp(log - top).sum(axis=1, keepdims=True))
-        resp, before, likelihood = np.exp(log - total), likelihood, float(total.sum())
+        weight, mean, cov = components_of_sums(resp.sum(axis=0), resp.T @ x, np.einsum("ij,ik,il->jkl", resp, x, x, optimize=True), n, ridge)
+        before = likelihood
+        resp, likelihood = responsibilities(log_densities(x, weight, mean, cov))
         if likelihood - before < 1e-4 * abs(likelihood):
             break
-    free = k * (1 + d + d * (d + 1) / 2) - 1
-    return resp.argmax(axis=1), free * np.log(n) - 2 * likelihood
+    return (weight, mean + middle, cov), resp, likelihood
+
+
+def bic(k: int, d: int, n: float, likelihood: float) -> float:
+    return (k * (1 + d + d * (d + 1) / 2) - 1) * np.log(n) - 2 * likelihood
+
+
+def mixture(x: np.ndarray, k: int, seed: int, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Labels of a mixture, and its BIC."""
+    _, resp, likelihood = fit_mixture(x, k, seed, rounds)
+    return resp.argmax(axis=1), bic(k, x.shape[1], len(x), likelihood)
+
+
+def most_parts(n: int, d: int, most: int) -> int:
+    """So many parts of a mixture at most can be told from so many rows."""
+    return max(1, min(most, n // (d + 2)))
 
 
 def best_mixture(x: np.ndarray, most: int, seed: int) -> np.ndarray:
     """Labels 0, 1, ... of the mixture with the least BIC among 1 to `most` parts."""
-    most = max(1, min(most, len(x) // (x.shape[1] + 2)))
-    fits = [mixture(x, k, seed) for k in range(1, most + 1)]
+    fits = [mixture(x, k, seed) for k in range(1, most_parts(len(x), x.shape[1], most) + 1)]
     return np.unique(min(fits, key=lambda f: f[1])[0], return_inverse=True)[1]
 
 
@@ -166,14 +211,11 @@ def monotone(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat(level, size)
 
 
-def split_1d(x: np.ndarray, threshold: float = 1.0, bins: int = 0) -> float | None:
-    """Where a one-dimensional sample falls apart: the deepest dip of its density, if a density with
-    one peak fits badly (by the largest gap between the cumulated counts); else None."""
-    n = len(x)
-    if n < 8 or np.ptp(x) == 0:
-        return None
-    bins = bins or int(np.clip(np.sqrt(n) * 1.5, 6, 60))
-    counts, edges = np.histogram(x, bins)
+def dip_of_counts(counts: np.ndarray, edges: np.ndarray, threshold: float = 1.0) -> float | None:
+    """Where a histogram falls apart: the deepest dip, if counts with one peak fit badly (by the
+    largest gap between the cumulated counts); else None. Histograms add up, so the sample itself may
+    lie anywhere."""
+    bins, n = len(counts), counts.sum()
     y, w = counts.astype("float64"), np.ones(bins)
     smooth = np.convolve(y, np.ones(3) / 3, "same")
     fits = []
@@ -191,18 +233,52 @@ def split_1d(x: np.ndarray, threshold: float = 1.0, bins: int = 0) -> float | No
     return float((edges[at] + edges[at + 1]) / 2)
 
 
+def split_1d(x: np.ndarray, threshold: float = 1.0, bins: int = 0) -> float | None:
+    """Where a one-dimensional sample falls apart, by the dip of its histogram; None if it doesn't."""
+    n = len(x)
+    if n < 8 or np.ptp(x) == 0:
+        return None
+    return dip_of_counts(*np.histogram(x, bins or int(np.clip(np.sqrt(n) * 1.5, 6, 60))), threshold)
+
+
+def parts_1d(x: np.ndarray, start: int = 24, threshold: float = 1.0) -> np.ndarray:
+    """Parts 0, 1, ... of a one-dimensional sample in ascending order. It starts as many intervals of
+    equal counts; the nearest two neighbours are tested together, and become one where their union
+    has one peak, else the border between them moves to the dip. It ends when every pair of
+    neighbours shows a dip."""
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    line = x[order]
+    borders = np.unique(np.linspace(0, n, min(start, max(1, n // 12)) + 1).astype(int)).tolist()
+    settled: set[tuple[int, int, int]] = set()
+    for _ in range(8 * start):
+        centres = [line[a:b].mean() for a, b in zip(borders, borders[1:])]
+        todo = [(centres[i + 1] - centres[i], i) for i in range(len(borders) - 2) if tuple(borders[i : i + 3]) not in settled]
+        if not todo:
+            break
+        i = min(todo)[1]
+        a, _, b = borders[i : i + 3]
+        cut = split_1d(line[a:b], threshold)
+        if cut is None:
+            del borders[i + 1]
+        else:
+            borders[i + 1] = int(np.clip(a + np.searchsorted(line[a:b], cut, "right"), a + 1, b - 1))
+            settled.add(tuple(borders[i : i + 3]))
+    part = np.empty(n, "int64")
+    part[order] = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    return part
+
+
 def guided_split(x: np.ndarray, labels: np.ndarray | None, seed: int, parts: int | None = None) -> np.ndarray:
-    """Parts 0, 1, ...: labels (given, or of a two-part mixture) set an axis, a dip along it the cut;
-    given labels stay if another number of parts than asked for comes out."""
+    """Parts 0, 1, ...: labels (given, or of a two-part mixture) set an axis, and the dips along it the
+    parts; given labels stay if another number of parts than asked for comes out."""
     if labels is None:
         labels = mixture(scores(x, 3), 2, seed)[0] if len(x) > 8 else np.zeros(len(x), "int64")
     values = np.unique(labels)
     if len(values) < 2:
         return np.zeros(len(x), "int64")
-    line = discriminant(x, labels, 1)[:, 0]
-    cut = split_1d(line)
-    found = np.zeros(len(x), "int64") if cut is None else (line > cut).astype("int64")
-    if parts is not None and len(np.unique(found)) != parts:
+    found = parts_1d(discriminant(x, labels, 1)[:, 0])
+    if parts is not None and found.max() + 1 != parts:
         return np.searchsorted(values, labels)
     return found
 

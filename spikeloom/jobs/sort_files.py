@@ -10,6 +10,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from spikeloom.jobs import sorting
+from spikeloom.operators.held import held
 from spikeloom.operators.model import spike_table
 from spikeloom.sources import io
 
@@ -17,7 +18,7 @@ from spikeloom.sources import io
 def run(spark: SparkSession, source: str, target: str, step: int | None = None) -> DataFrame:
     """Sorts the recordings in a Parquet folder (io.SPIKES) into another, and returns what was written."""
     spikes = spike_table(io.read_spikes(spark, source).drop("label"), "spike_id")
-    io.write_sorted(sorting.sort(spikes.checkpoint(eager=True), step), target)
+    io.write_sorted(sorting.sort(spikes.transform(held), step), target)
     return spark.read.parquet(target)
 
 

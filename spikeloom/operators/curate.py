@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spikeloom.operators.model import RECORDING
+from spikeloom.operators.model import RECORDING, medians
 
 UNIT = [RECORDING, "label"]
 
@@ -21,7 +22,7 @@ def _top(assignments: DataFrame) -> DataFrame:
 def add_clusters(assignments: DataFrame, new: DataFrame) -> DataFrame:
     """Adds the clusters of `new` (with column `part`): labels follow the highest one, in the order of
     median time; in an empty set the first is 1."""
-    times = new.groupBy(RECORDING, "part").agg(F.median("time").alias("_t"))
+    times = medians(new, [RECORDING, "part"], into="_t").drop("n")
     rank = F.row_number().over(Window.partitionBy(RECORDING).orderBy("_t", "part"))
     numbered = times.withColumn("_rank", rank).join(_top(assignments), RECORDING, "left")
     labels = numbered.select(RECORDING, "part", (F.coalesce("_top", F.lit(0)) + F.col("_rank")).alias("label"))
@@ -64,57 +65,97 @@ def changed_labels(old: DataFrame, new: DataFrame) -> DataFrame:
 # -- history
 
 
-def fold_edits(labels: list[int], edits: list[tuple[str, list[int]]]) -> dict[int, int | None]:
-    """The final label of each first label (None: deleted) after a log of merge, delete, hide, reveal,
-    undo, redo and restore."""
-    first = {x: x for x in labels}
-    states: list[tuple[dict[int, int], dict[int, int]]] = [(first, {})]
-    redo: list[tuple[dict[int, int], dict[int, int]]] = []
-    for action, chosen in edits:
-        now, hidden = states[-1]
+def _new_labels(top: int, groups: dict, times: dict[int, float]) -> dict[int, int]:
+    """Labels after `top` for groups of pieces, in the order of the median of their pieces' times, then
+    of their names: label of each piece."""
+    order = sorted(groups, key=lambda g: (float(np.median([times[p] for p in groups[g]])), g))
+    return {p: top + 1 + i for i, g in enumerate(order) for p in groups[g]}
+
+
+def _grouped(labels: dict[int, int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for piece, label in labels.items():
+        out.setdefault(label, []).append(piece)
+    return out
+
+
+def fold_edits(first: dict[int, int | None], times: dict[int, float], edits: list[tuple[str, list[int], dict[int, int]]]) -> dict[int, int]:
+    """The final label of each piece after a log of edits (action, labels, parts); pieces without one
+    are in no cluster.
+
+    A version is a map from pieces to labels, with the map of what is hidden; an edit makes a version
+    of the last one, so undo and redo hold for every kind. merge, delete, keep and hide name labels;
+    reveal brings back all that is hidden; recluster takes labels and deals their pieces out by
+    `parts`, pieces it doesn't name staying together as part -1; add gives pieces that are in no
+    cluster, nor hidden, to new clusters by `parts`; restore names the number of a version (0, the
+    first, if none). New labels follow the highest, in the order of median time."""
+    versions = [({p: x for p, x in first.items() if x is not None}, {})]
+    redo: list = []
+    for action, chosen, parts in edits:
+        now, hidden = versions[-1]
         if action == "undo":
-            if len(states) > 1:
-                redo.append(states.pop())
+            if len(versions) > 1:
+                redo.append(versions.pop())
             continue
         if action == "redo":
             if redo:
-                states.append(redo.pop())
+                versions.append(redo.pop())
             continue
         redo = []
+        kept = {p: x for p, x in now.items() if x not in chosen}
+        moved = {p: x for p, x in now.items() if x in chosen}
+        top = max(kept.values(), default=0)
         if action == "restore":
-            states.append((first, {}))
+            made = versions[min(chosen[0] if chosen else 0, len(versions) - 1)]
         elif action == "delete":
-            states.append(({k: v for k, v in now.items() if v not in chosen}, hidden))
+            made = kept, hidden
+        elif action == "keep":
+            made = moved, hidden
         elif action == "merge":
-            new = max((v for v in now.values() if v not in chosen), default=0) + 1
-            states.append(({k: new if v in chosen else v for k, v in now.items()}, hidden))
+            made = {**kept, **{p: top + 1 for p in moved}}, hidden
         elif action == "hide":
-            states.append(({k: v for k, v in now.items() if v not in chosen}, {**hidden, **{k: v for k, v in now.items() if v in chosen}}))
+            made = kept, {**hidden, **moved}
         elif action == "reveal":
-            top = max(now.values(), default=0)
-            rank = {v: i for i, v in enumerate(sorted(set(hidden.values())))}
-            states.append(({**now, **{k: top + 1 + rank[v] for k, v in hidden.items()}}, {}))
+            made = {**now, **_new_labels(max(now.values(), default=0), _grouped(hidden), times)}, {}
+        elif action == "recluster":
+            made = {**kept, **_new_labels(top, _grouped({p: parts.get(p, -1) for p in moved}), times)}, hidden
+        elif action == "add":
+            free = {p: x for p, x in parts.items() if p in times and p not in now and p not in hidden}
+            made = {**now, **_new_labels(max(now.values(), default=0), _grouped(free), times)}, hidden
         else:
             raise ValueError(f"unknown action {action}")
-    return {x: states[-1][0].get(x) for x in labels}
+        versions.append(made)
+    return versions[-1][0]
 
 
 def replay(assignments: DataFrame, edits: DataFrame) -> DataFrame:
-    """Applies each recording's edit log (recording_id, seq, action, labels). The log of one recording
-    and its labels are small; the spikes only meet the resulting map."""
-    labels = assignments.groupBy(RECORDING).agg(F.array_sort(F.collect_set("label")).alias("present"))
-    logs = edits.groupBy(RECORDING).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "labels"))).alias("log"))
+    """Applies each recording's log of edits (recording_id, seq, action, labels; also parts, an array of
+    (piece, part), for recluster and add) to assignments (recording_id, spike_id, time, label).
+
+    What an edit may move apart are pieces: a column `piece` (sub-clusters, say) or, without one,
+    labels. Spikes with a null label are in no cluster until an edit adds their piece. The log and the
+    pieces of a recording are small; the spikes only meet the resulting map."""
+    piece = F.col("piece") if "piece" in assignments.columns else F.col("label")
+    placed = assignments.withColumn("_piece", piece.cast("long"))
+    times = medians(placed, [RECORDING, "_piece"], into="_t").drop("n")
+    pieces = placed.groupBy(RECORDING, "_piece").agg(F.min("label").alias("_label")).join(times, [RECORDING, "_piece"])
+    pieces = pieces.groupBy(RECORDING).agg(F.array_sort(F.collect_list(F.struct("_piece", "_label", "_t"))).alias("pieces"))
+    parts = F.col("parts") if "parts" in edits.columns else F.lit(None).cast("array<struct<piece:bigint,part:bigint>>")
+    logs = edits.withColumn("parts", parts).groupBy(RECORDING).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "labels", "parts"))).alias("log"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for recording, present, log in batch[[RECORDING, "present", "log"]].itertuples(index=False):
-                steps = [(e["action"], [] if e["labels"] is None else [int(x) for x in e["labels"]]) for e in ([] if log is None else log)]
-                rows += [(recording, k, v) for k, v in fold_edits([int(x) for x in present], steps).items()]
-            yield pd.DataFrame(rows, columns=[RECORDING, "label", "_new"]).astype({"_new": "Int64"})
-
-    moved = labels.join(logs, RECORDING, "left").mapInPandas(fold, f"{RECORDING} string, label long, _new long")
-    return assignments.join(moved, UNIT).filter("_new IS NOT NULL").withColumn("label", F.col("_new")).drop("_new")
+            for recording, present, log in batch[[RECORDING, "pieces", "log"]].itertuples(index=False):
+                first = {int(p["_piece"]): None if p["_label"] is None else int(p["_label"]) for p in present}
+                seconds = {int(p["_piece"]): float(p["_t"]) for p in present}
+                whole = lambda x: [] if x is None else x
+                steps = [(e["action"], [int(x) for x in whole(e["labels"])], {int(x["piece"]): int(x["part"]) for x in whole(e["parts"])}) for e in whole(log)]
+                rows += [(recording, p, x) for p, x in fold_edits(first, seconds, steps).items()]
+            yield pd.DataFrame(rows, columns=[RECORDING, "_piece", "_new"])
+
+    moved = pieces.join(logs, RECORDING, "left").mapInPandas(fold, f"{RECORDING} string, _piece long, _new long")
+    return placed.join(moved, [RECORDING, "_piece"]).withColumn("label", F.col("_new")).drop("_new", "_piece")
 
 
 # -- tags

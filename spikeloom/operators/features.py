@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spikeloom.functions import kernels
+from spikeloom.operators.held import held
 from spikeloom.operators.model import RECORDING
 
 
-def principal_axes(rows: DataFrame, k: int, vector: str = "waveform") -> DataFrame:
-    """Of each recording: its first k principal axes, the scores of its mean, and the scores' deviations
-    (ddof 1). Sums by recording are all that moves; signs are fixed by each axis' largest loading."""
+def principal_axes(rows: DataFrame, k: int, vector: str = "waveform", keys: tuple[str, ...] = (RECORDING,)) -> DataFrame:
+    """Of each recording (or group of the keys): its first k principal axes, the scores of its mean, and
+    the scores' deviations (ddof 1). Its sums are all that moves; signs are fixed by each axis' largest
+    loading."""
 
     @F.pandas_udf("axes array<array<double>>, centre array<double>, deviation array<double>")
     def solve(n: pd.Series, mean: pd.Series, scatter: pd.Series) -> pd.DataFrame:
@@ -27,17 +29,17 @@ def principal_axes(rows: DataFrame, k: int, vector: str = "waveform") -> DataFra
             out.append((axes.T.tolist(), (np.asarray(m) @ axes).tolist(), np.sqrt(np.maximum(value, 0) / max(count - 1, 1)).tolist()))
         return pd.DataFrame(out, columns=["axes", "centre", "deviation"])
 
-    return group_statistics(rows, [RECORDING], vector).select(RECORDING, solve("n", "mean", "scatter").alias("f")).select(RECORDING, "f.*")
+    return group_statistics(rows, list(keys), vector).select(*keys, solve("n", "mean", "scatter").alias("f")).select(*keys, "f.*")
 
 
-def principal_scores(rows: DataFrame, k: int, vector: str = "waveform", fit_on: DataFrame | None = None, whiten: bool = False, into: str = "pcs") -> DataFrame:
+def principal_scores(rows: DataFrame, k: int, vector: str = "waveform", fit_on: DataFrame | None = None, whiten: bool = False, into: str = "pcs", keys: tuple[str, ...] = (RECORDING,)) -> DataFrame:
     """Centred scores on the first k principal axes of the row's recording (or of its rows in `fit_on`)."""
-    fitted = principal_axes(rows if fit_on is None else fit_on, k, vector)
-    fitted = fitted.select(RECORDING, *[F.col(c).alias(f"_{c}") for c in ("axes", "centre", "deviation")])
+    fitted = principal_axes(rows if fit_on is None else fit_on, k, vector, keys)
+    fitted = fitted.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("axes", "centre", "deviation")])
     scores = F.zip_with("_axes", "_centre", lambda axis, centre: dot(F.col(vector), axis) - centre)
     if whiten:
         scores = F.zip_with(scores, "_deviation", lambda x, d: x / F.when(d > 0, d).otherwise(1.0))
-    return rows.join(fitted, RECORDING, "left").withColumn(into, scores).drop("_axes", "_centre", "_deviation")
+    return rows.join(fitted, list(keys), "left").withColumn(into, scores).drop("_axes", "_centre", "_deviation")
 
 
 def vector_zscores(rows: DataFrame, vector: str = "waveform", into: str = "z") -> DataFrame:
@@ -148,18 +150,6 @@ def inliers_1d(rows: DataFrame, value: str = "time", limit: float = 2.0, keys: t
     return rows.join(moments, list(keys)).withColumn("inlier", (F.col("_n") <= 4) | (z < limit)).drop("_n", "_m", "_s")
 
 
-def smoothed_labels(rows: DataFrame, vector: str = "waveform", k: int = 20, block: int = 2000) -> DataFrame:
-    """Majority label of each row's k nearest rows in its block of consecutive spikes."""
-
-    def vote(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("spike_id", kind="stable")
-        voted = kernels.knn_vote(np.stack(g[vector].to_numpy()), g["label"].to_numpy(), k)
-        return pd.DataFrame({RECORDING: g[RECORDING], "spike_id": g["spike_id"], "label": voted})
-
-    blocks = rows.select(RECORDING, "spike_id", "label", vector, F.floor(F.col("spike_id") / block).alias("_block"))
-    return blocks.groupBy(RECORDING, "_block").applyInPandas(vote, f"{RECORDING} string, spike_id long, label long")
-
-
 def closest(points: DataFrame, queries: DataFrame, limit: float = 5.0) -> DataFrame:
     """For each query (recording_id, query_id, qx, qy) its nearest point within the limit, ties to the
     smallest spike_id. Both sides meet on grid cells as wide as the limit."""
@@ -172,19 +162,6 @@ def closest(points: DataFrame, queries: DataFrame, limit: float = 5.0) -> DataFr
     return met.groupBy(RECORDING, "query_id").agg(F.min(F.struct("distance", "spike_id")).alias("m")).select(RECORDING, "query_id", "m.spike_id", "m.distance")
 
 
-def outlier_factors(rows: DataFrame, vector: str = "waveform", k: int = 20, keys: tuple[str, ...] = (RECORDING, "_block"), block: int = 2000, pcs: int = 2) -> DataFrame:
-    """Local outlier factor of every row in its group (by default, blocks of consecutive spikes)."""
-
-    def factor(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("spike_id", kind="stable")
-        x = np.stack(g[vector].to_numpy())
-        x = kernels.scores(x, pcs) if len(x) > 2 else x
-        return pd.DataFrame({RECORDING: g[RECORDING], "spike_id": g["spike_id"], "lof": kernels.local_outlier_factor(x, k)})
-
-    dealt = rows.withColumn("_block", F.floor(F.col("spike_id") / block))
-    return dealt.groupBy(*keys).applyInPandas(factor, f"{RECORDING} string, spike_id long, lof double")
-
-
 def ks_statistics(values: DataFrame, keys: list[str]) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov statistic of each key's values x with side 1 or 2."""
     by_value = values.groupBy(*keys, "x").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == 2).cast("long")).alias("b"))
@@ -202,7 +179,7 @@ def k_core(edges: DataFrame, least: int) -> DataFrame:
         degree = edges.groupBy(RECORDING, "u").count().filter(F.col("count") >= least)
         strong = degree.select(RECORDING, "u")
         edges = edges.join(strong, [RECORDING, "u"], "left_semi").join(strong.withColumnRenamed("u", "v"), [RECORDING, "v"], "left_semi").select(RECORDING, "u", "v")
-        edges = edges.checkpoint(eager=True)
+        edges = edges.transform(held)
         now = edges.count()
         if now == before:
             return edges

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spikeloom.operators.held import held
+
 RECORDING = "recording_id"
 
 
@@ -26,7 +28,7 @@ def spike_table_ranged(rows: DataFrame, partitions: int, *ties: str) -> DataFram
     each range, and shifted by the counts of the ranges before. Written out once by the caller's
     checkpoint, since range borders come from a sample."""
     dealt = rows.repartitionByRange(partitions, RECORDING, "time", *ties).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.checkpoint(eager=True)
+    dealt = dealt.transform(held)
     counts = dealt.groupBy(RECORDING, "_part").count()
     before = Window.partitionBy(RECORDING).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(RECORDING, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
@@ -61,11 +63,32 @@ def vector_mean(rows: DataFrame, keys: list[str], vector: str = "waveform", into
     return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("p")).select(*keys, F.transform("p", lambda s: s["x"]).alias(into))
 
 
+#: The sketch that finds where a median lies is at most n / ACCURACY ranks off.
+ACCURACY = 10_000
+
+
+def medians(rows: DataFrame, keys: list[str], value: str = "time", into: str = "med_time") -> DataFrame:
+    """keys, n and the exact median of each group, of any size, by selection: a mergeable sketch gives
+    two values that hold the middle ranks between them, and only what lies there is counted value by
+    value; of the rest a group hands on two numbers. So a task never holds a group. Null values don't
+    count; a group without any other has no row."""
+    known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    margin = 4 / ACCURACY
+    around = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], ACCURACY).alias("_ends"))
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    slot = F.when((F.col("_v") >= low) & (F.col("_v") <= high), F.col("_v"))
+    counts = known.join(around, keys).groupBy(*keys, "n", slot.alias("_slot")).agg(F.count("*").alias("_c"), F.sum((F.col("_v") < low).cast("long")).alias("_low"))
+    # the row without a slot stands first and counts what is below
+    passed = F.sum(F.when(F.col("_slot").isNull(), F.col("_low")).otherwise(F.col("_c"))).over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_slot")))
+    run = counts.withColumn("_to", passed)
+    at = lambda rank: F.max(F.when(F.col("_slot").isNotNull() & (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col("_slot")))
+    return run.groupBy(*keys, "n").agg((0.5 * at(F.floor((F.col("n") - 1) / 2)) + 0.5 * at(F.floor(F.col("n") / 2))).alias(into)).select(*keys, "n", into)
+
+
 def sub_clusters(spikes: DataFrame) -> DataFrame:
     """Count, median time and centroid of every sub-cluster."""
     keys = [RECORDING, "label", "sub_label"]
-    times = spikes.groupBy(*keys).agg(F.count("*").alias("n"), F.median("time").alias("med_time"))
-    return times.join(vector_mean(spikes, keys), keys)
+    return medians(spikes, keys).join(vector_mean(spikes, keys), keys)
 
 
 def hierarchy_centroids(spikes: DataFrame) -> DataFrame:
@@ -77,9 +100,10 @@ def hierarchy_centroids(spikes: DataFrame) -> DataFrame:
 def cluster_times(spikes: DataFrame) -> DataFrame:
     """Median time, and the median of the sub-clusters' medians."""
     keys = [RECORDING, "label"]
-    inner = spikes.groupBy(*keys, "sub_label").agg(F.median("time").alias("t"), F.count("*").alias("n"))
-    nested = inner.groupBy(*keys).agg(F.median("t").alias("med_time"), F.sum("n").alias("n"), F.count("*").alias("n_sub"))
-    return nested.join(spikes.groupBy(*keys).agg(F.median("time").alias("leaf_time")), keys)
+    inner = medians(spikes, [*keys, "sub_label"], into="t")
+    sizes = inner.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("n_sub"))
+    nested = medians(inner.drop("n"), keys, "t").drop("n")
+    return nested.join(sizes, keys).join(medians(spikes, keys, into="leaf_time").drop("n"), keys)
 
 
 def ordered_clusters(times: DataFrame) -> DataFrame:
@@ -127,8 +151,7 @@ def split_where(rows: DataFrame, condition: Column) -> DataFrame:
 def time_split(spikes: DataFrame, start: float, stop: float) -> DataFrame:
     """Sub-clusters cut into what lies in [start, stop) and the rest; empty parts don't appear."""
     inside = (F.col("time") >= start) & (F.col("time") < stop)
-    parts = spikes.withColumn("within", inside).groupBy(RECORDING, "label", "sub_label", "within")
-    return parts.agg(F.count("*").alias("n"), F.median("time").alias("med_time"))
+    return medians(spikes.withColumn("within", inside), [RECORDING, "label", "sub_label", "within"])
 
 
 def match_several(clusters: DataFrame, labels: list[int] | None = None, nodes: list[int] | None = None, members: DataFrame | None = None) -> DataFrame:
@@ -156,12 +179,13 @@ def every_kth(rows: DataFrame, most: int, position: str = "spike_id") -> DataFra
 
 
 def every_kth_of_cluster(spikes: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """Of each cluster every k-th spike, from a start that a seeded hash of the cluster gives."""
+    """Of each cluster every k-th spike, from a start that a seeded hash (MD5) of the cluster gives."""
     keys = [RECORDING, "label"]
     counts = spikes.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("_k"))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("time", "spike_id")) - 1
     placed = spikes.withColumn("_at", position).join(counts, keys)
-    start = F.pmod(F.xxhash64(F.lit(seed), *keys), F.col("_k"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in keys]).cast("binary"))
+    start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_k")
     return placed.filter((F.col("_at") >= start) & (F.pmod(F.col("_at") - start, F.col("_k")) == 0)).drop("_at", "_k")
 
 
@@ -176,20 +200,47 @@ def toggled(selected: DataFrame, toggles: DataFrame) -> DataFrame:
 
 def cluster(spikes: DataFrame) -> DataFrame:
     """Clusters of a label column: count, median time, and order by it."""
-    grouped = spikes.groupBy(RECORDING, "label").agg(F.count("*").alias("n"), F.median("time").alias("med_time"))
-    return ordered_clusters(grouped)
-
-
-def flatten(spikes: DataFrame, assign_labels: bool = True) -> DataFrame:
-    """Spikes with the label of their cluster (or, without assign_labels, of their sub-cluster)."""
-    return spikes.select(RECORDING, "spike_id", "time", (F.col("label") if assign_labels else F.col("sub_label")).alias("label"))
+    return ordered_clusters(medians(spikes, [RECORDING, "label"]))
+
+
+def node_labels(spikes: DataFrame) -> DataFrame:
+    """recording_id, node and `top`: the label that a flattened row of the node carries. That is the
+    node's own label where the recording's labels are unique, else the node's position in time."""
+    node = "node" if "node" in spikes.columns else "label"
+    keys = [RECORDING, node]
+    times = medians(medians(spikes, [*keys, "sub_label"], into="t").drop("n"), keys, "t").drop("n")
+    labels = spikes.groupBy(*keys).agg(F.min("label").alias("_label"))
+    every = Window.partitionBy(RECORDING)
+    placed = times.join(labels, keys).withColumn("_at", F.row_number().over(every.orderBy("med_time", node)) - 1)
+    repeats = placed.groupBy(RECORDING).agg((F.count("*") > F.countDistinct("_label")).alias("_repeat"))
+    return placed.join(repeats, RECORDING).select(*keys, F.when(F.col("_repeat"), F.col("_at")).otherwise(F.col("_label")).cast("long").alias("top"))
+
+
+def flatten(spikes: DataFrame, depth: int | None = None, assign_labels: bool = True) -> DataFrame:
+    """A hierarchy of clusters, sub-clusters and spikes flattened: to sub-clusters (depth 1: counts and
+    median times), to spikes (depth 2, or None for the lowest there is), or not at all (depth 0). Rows
+    carry their cluster's label as node_labels gives it; without assign_labels they keep the lower one
+    (a sub-cluster's, or a spike's in `spike_label`). A column `node` tells clusters apart that share a
+    label; without it, clusters are labels."""
+    if depth == 0:
+        return spikes
+    node = "node" if "node" in spikes.columns else "label"
+    keys = [RECORDING, *dict.fromkeys((node, "label")), "sub_label"]
+    if depth == 1:
+        rows, lower = medians(spikes, keys), F.col("sub_label")
+    else:
+        lower = F.col("spike_label") if "spike_label" in spikes.columns else F.lit(0)
+        rows = spikes.select(*keys, "spike_id", "time", *(["spike_label"] if "spike_label" in spikes.columns else []))
+    if not assign_labels:
+        return rows.withColumn("label", lower.cast("long"))
+    top = node_labels(spikes)
+    return rows.join(top, [RECORDING, node]).withColumn("label", F.col("top")).drop("top")
 
 
 def flatten_once(spikes: DataFrame) -> DataFrame:
     """Sub-clusters as rows, with their cluster's label and the order by time in it."""
-    inner = spikes.groupBy(RECORDING, "label", "sub_label").agg(F.count("*").alias("n"), F.median("time").alias("med_time"))
     order = Window.partitionBy(RECORDING, "label").orderBy("med_time", "sub_label")
-    return inner.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    return medians(spikes, [RECORDING, "label", "sub_label"]).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
 
 
 def window_hierarchy(spikes: DataFrame, step: int = 2000) -> DataFrame:

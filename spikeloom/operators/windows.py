@@ -18,14 +18,20 @@ def duration_windows(spikes: DataFrame, dt: float) -> DataFrame:
     """
     spine = spikes.groupBy(RECORDING).agg(F.max("time").alias("last")).select(RECORDING, F.ceil(F.col("last") / dt).alias("n"))
     spine = spine.filter("n > 0").select(RECORDING, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("window_idx"))
-    guess = F.floor(F.col("time") / dt)
-    tried = spikes.filter("time >= 0").select(RECORDING, "time", F.explode(F.array(guess - 1, guess, guess + 1)).alias("window_idx"))
+    held = in_windows(spikes, dt).groupBy(RECORDING, "window_idx").agg(F.count("*").alias("n"))
     start = F.col("window_idx") * F.lit(dt)
-    held = tried.filter((F.col("time") >= start) & (F.col("time") < start + dt)).groupBy(RECORDING, "window_idx").agg(F.count("*").alias("n"))
     joined = spine.join(held, [RECORDING, "window_idx"], "left")
     return joined.select(RECORDING, "window_idx", start.alias("start"), (start + dt).alias("stop"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def in_windows(spikes: DataFrame, dt: float) -> DataFrame:
+    """Spikes from 0 on with the window whose borders, as computed, hold them."""
+    guess = F.floor(F.col("time") / dt)
+    tried = spikes.filter("time >= 0").withColumn("window_idx", F.explode(F.array(guess - 1, guess, guess + 1)))
+    start = F.col("window_idx") * F.lit(dt)
+    return tried.filter((F.col("time") >= start) & (F.col("time") < start + dt))
+
+
 def row_windows(spikes: DataFrame, rows: int = 2000) -> DataFrame:
     """Windows of so many consecutive spikes, the last one short: first and after-last position, times."""
     windowed = spikes.withColumn("window_idx", F.floor(F.col("spike_id") / rows))
@@ -37,7 +43,7 @@ def row_windows(spikes: DataFrame, rows: int = 2000) -> DataFrame:
 def trailing_windows(spikes: DataFrame, dt: float, lags: int) -> DataFrame:
     """Frames: frame f shows the windows f, f-1, ... f-lags+1 of each label; counts by lag."""
     frames = duration_windows(spikes, dt).groupBy(RECORDING).agg(F.count("*").alias("frames"))
-    held = spikes.filter("time >= 0").withColumn("window_idx", F.floor(F.col("time") / dt)).groupBy(RECORDING, "window_idx", "label").agg(F.count("*").alias("n"))
+    held = in_windows(spikes, dt).groupBy(RECORDING, "window_idx", "label").agg(F.count("*").alias("n"))
     shown = held.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags - 1)))).join(frames, RECORDING)
     return shown.withColumn("frame", F.col("window_idx") + F.col("lag")).filter("window_idx < frames AND frame < frames").select(RECORDING, "frame", "lag", "label", "n")
 

@@ -60,3 +60,24 @@ def test_exponential_rate():
 def test_weighted_kmeans():
     label = kernels.weighted_kmeans_1d(np.array([0.0, 1.0, 10.0, 11.0]), np.array([1.0, 5.0, 2.0, 2.0]), 2)
     assert label.tolist() == [0, 0, 1, 1]
+
+
+def test_parts_of_a_line():
+    for groups in (1, 2, 3, 5):
+        rng = np.random.default_rng(groups)
+        x = np.concatenate([rng.normal(7 * i, 1, 150) for i in range(groups)])
+        part = kernels.parts_1d(x)
+        assert part.max() + 1 == groups
+        assert np.mean(part == np.repeat(np.arange(groups), 150)) > 0.98
+    assert kernels.parts_1d(np.random.default_rng(0).exponential(size=400)).max() == 0
+
+
+def test_guided_split_takes_a_forced_number_that_comes_out():
+    rng = np.random.default_rng(6)
+    shapes = np.array([[0.0, 0, 0], [9, 0, 0], [18, 0, 0]])
+    truth = np.repeat([0, 1, 2], 120)
+    x = shapes[truth] + rng.normal(size=(360, 3))
+    wrong = truth.copy()
+    wrong[::10] = (wrong[::10] + 1) % 3  # a guide with mistakes
+    assert (kernels.guided_split(x, wrong, 0, 3) == truth).mean() > 0.98 or (2 - kernels.guided_split(x, wrong, 0, 3) == truth).mean() > 0.98
+    assert (kernels.guided_split(x[:120], wrong[:120], 0, 2) == np.searchsorted(np.unique(wrong[:120]), wrong[:120])).all()  # one group only: the guide stays

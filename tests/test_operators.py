@@ -90,9 +90,35 @@ def test_edits(spark):
 
 
 def test_edit_log():
-    log = [("merge", [1, 2]), ("delete", [3]), ("undo", []), ("hide", [0]), ("reveal", []), ("undo", []), ("redo", [])]
-    assert curate.fold_edits([0, 1, 2, 3], log) == {0: 5, 1: 4, 2: 4, 3: 3}
-    assert curate.fold_edits([0, 1], [("delete", [0]), ("restore", [])]) == {0: 0, 1: 1}
+    fold = lambda n, log: curate.fold_edits({i: i for i in range(n)}, {i: float(-i) for i in range(n)}, [(a, x, {}) for a, x in log])
+    assert fold(4, [("merge", [1, 2]), ("delete", [3]), ("undo", []), ("hide", [0]), ("reveal", []), ("undo", []), ("redo", [])]) == {0: 5, 1: 4, 2: 4, 3: 3}
+    assert fold(2, [("delete", [0]), ("restore", [])]) == {0: 0, 1: 1}
+    # two hidden clusters come back in the order of their times
+    assert fold(3, [("hide", [0]), ("hide", [2]), ("reveal", [])]) == {1: 1, 2: 2, 0: 3}
+
+
+def test_medians_by_selection(spark, monkeypatch):
+    """As F.median: ties, even counts, groups of one, and groups far larger than the sketch keeps."""
+    rng = np.random.default_rng(4)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "ties": [5.0] * 1001, "mixed": [1.0] * 50 + [2.0] * 50, "many": rng.normal(size=30_000).tolist(), "steps": rng.integers(0, 7, 20_001).astype(float).tolist()}
+    rows = spark.createDataFrame([("r", k, float(v)) for k, g in groups.items() for v in g] + [("r", "two", None)], "recording_id string, k string, time double").repartition(5)
+    for accuracy in (10_000, 200):
+        monkeypatch.setattr(model, "ACCURACY", accuracy)
+        got = {r.k: (r.n, r.med_time) for r in model.medians(rows, ["recording_id", "k"]).collect()}
+        assert got == {k: (len(g), float(np.median(g))) for k, g in groups.items()}
+    counted = model.medians(rows.filter("k = 'many'"), ["recording_id", "k"])
+    assert counted.count() == 1
+
+
+def test_flattened_labels(spark):
+    """Labels where they are unique in the recording, else positions in time."""
+    rows = [(r, node, label, node * 10 + sub, t) for r, node, label, sub, t in [("u", 0, 7, 0, 9.0), ("u", 0, 7, 1, 8.0), ("u", 1, 4, 0, 1.0), ("v", 0, 7, 0, 9.0), ("v", 0, 7, 1, 8.0), ("v", 1, 7, 0, 1.0)]]
+    table = spark.createDataFrame(rows, "recording_id string, node long, label long, sub_label long, time double").withColumn("spike_id", F.col("sub_label"))
+    expected = {("u", 0): 7, ("u", 1): 7, ("u", 10): 4, ("v", 0): 1, ("v", 1): 1, ("v", 10): 0}
+    for depth in (None, 1, 2):
+        assert {(r.recording_id, r.sub_label): r.label for r in model.flatten(table, depth).collect()} == expected
+    assert {r.label for r in model.flatten(table, 1, assign_labels=False).collect()} == {0, 1, 10}
+    assert model.flatten(table, 0).columns == table.columns
 
 
 def test_rates_and_violations(spark):
