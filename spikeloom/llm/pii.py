@@ -51,12 +51,14 @@ DIGIT = re.compile("[0-9]")
 ASSIGNED_WORDS = ("key", "secret", "token", "passw", "pwd", "passphrase", "bearer", "authorization")
 ASSIGNED = re.compile(
     r"(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwor[dt]|passwd|pwd|passphrase|bearer|authorization)"
-    r"[\"']?(?:\s{0,4}[:=]>?\s{0,4}|\s{1,4})[\"']?([^\s\"'<>,;]{8,256})",
+    r"[\"']?(?:\s{0,4}[:=]>?\s{0,4}|\s{1,4})[\"']?([^\s\"'<>,;]{8,})",
     re.I,
 )
-RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,512}(?![A-Za-z0-9_+/=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{24,}(?![A-Za-z0-9_+/=-])")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 WORD_NAME = "[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{1,30}"
 TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sr")
 TITLED = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra?)\.? {WORD_NAME}(?:[ -]{WORD_NAME}){{0,2}}")
@@ -135,6 +137,24 @@ def base_spans(text: str, numbers: list[tuple[int, int, str]] | None = None) ->
     return out
 
 
+def _private_keys(text: str) -> list[tuple[int, int]]:
+    """From each begin marker to the next end marker, if what lies between is a key's; markers in any
+    number and order are looked at once."""
+    ends = [m.span() for m in KEY_END.finditer(text)]
+    out, body, at = [], 0, 0  # body: how far the run of a key's characters goes that was looked at last
+    for m in KEY_BEGIN.finditer(text):
+        while at < len(ends) and ends[at][0] < m.end():
+            at += 1
+        if at == len(ends):
+            break
+        if out and m.start() < out[-1][1]:
+            continue
+        body = body if m.end() <= body else KEY_BODY.match(text, m.end()).end()
+        if ends[at][0] <= body:
+            out.append((m.start(), ends[at][1]))
+    return out
+
+
 def loose_spans(text: str, numbers: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
     """Proposals of the looser patterns."""
     out = []
@@ -159,8 +179,8 @@ def loose_spans(text: str, numbers: list[tuple[int, int, str]]) -> list[tuple[st
         out += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
     if "eyJ" in text:
         out += [("secret", *m.span()) for m in JWT.finditer(text)]
-    if "-----BEGIN" in text and text.count("-----BEGIN") <= text.count("-----END"):
-        out += [("secret", *m.span()) for m in PRIVATE_KEY.finditer(text)]
+    if "-----BEGIN" in text:
+        out += [("secret", *span) for span in _private_keys(text)]
     if holds(text, TITLES):
         out += [("person", *m.span()) for m in TITLED.finditer(text)]
     if not GIVEN_NAMES.isdisjoint(words) or not GIVEN_NAMES.isdisjoint(w.lstrip("\"'([{<-*_") for w in words if not w[0].isalnum()):
