@@ -15,8 +15,9 @@ take more than half of (copies of one article on a host) stays whole. On other p
 data are joined in page order, but for those that consist of links mostly and hold no block of a role
 that the others have. Menus, page headers, footers, sidebars, forms, scripts and styles are left out by
 their elements. Names of containers tell adverts, notices, side matter and reader comments: plain ones
-(`comments`, `ad`, `cookie-notice`) everywhere, those that an article may use for its own parts
-(`side`, `related`, `share`) only outside an article, or in it where the template holds the container.
+(`comments`, `ad`, `cookie-notice`) everywhere, in an article as whole names alone; longer ones there
+(`menu-planning`) and those that an article may use for its own parts (`side`, `related`, `share`)
+only outside an article, or in it where the template holds the container.
 Names of headings, paragraphs and other text elements say nothing. A page of template blocks alone
 keeps them.
 
@@ -30,7 +31,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -51,6 +53,10 @@ VOID = {"br", "hr", "img", "input", "link", "meta", "source", "wbr", "area", "ba
 INLINE = {"a", "b", "i", "u", "s", "em", "strong", "span", "small", "sub", "sup", "code", "mark", "abbr", "cite", "q", "font", "big", "tt", "kbd", "var", "samp", "time", "label", "del", "ins", "bdi", "bdo", "dfn", "data", "wbr"}
 LEFT_OUT = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "fieldset", "canvas", "audio", "video", *RAW}
 MAIN = {"article", "main"}
+#: Left open, these end where an article begins; others that are left out, if the page doesn't close them all.
+OPEN_ENDED = ("head", "nav", "header", "form", "menu")
+#: Elements that hold text and each other alone: any other element but inline ones ends them.
+PHRASES = ("button", "select", "option")
 #: An open one of these ends where its like, or any of the listed elements, begins.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Elements of running text: their class names say nothing about what they hold.
@@ -58,6 +64,8 @@ TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "
 #: Class names and ids of what isn't the article: alone, or first or last in a name with hyphens.
 PLAIN = r"ads?|advert\w*|sponsor\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|comments?|replies|disqus|newsletter|subscribe|signup|login|footer|masthead|toolbar|pagination|pager"
 OTHER = re.compile(rf"(?:^|\s)(?:(?:{PLAIN})(?:[_-]\S*)?|\S*[_-](?:{PLAIN}))(?:$|\s)", re.I)
+#: The same in an article, where a longer name may be that of its subject: the whole name only.
+OTHER_WHOLE = re.compile(rf"(?:^|\s)(?:{PLAIN})(?:$|\s)", re.I)
 #: Names that an article may give to its own parts: alone only.
 MAYBE = re.compile(r"(?:^|\s)(?:side|banner|promo\w*|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommended|widget\w*)(?:$|\s)", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|topbar)(?:$|[\s_-])", re.I)
@@ -95,6 +103,8 @@ def read(page: str | None) -> tuple[list[int], list[Block]]:
     tags: list[int] = []
     blocks: list[Block] = []
     stack: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = [("", 0, False, False, False, ())]  # element, role, left out, in an article, in a link, maybe
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
+    solid: list[int] = []  # where in the stack are elements that aren't inline
     pending: list[str] = []
     linked = True  # so far, all of the pending text
 
@@ -113,22 +123,30 @@ def read(page: str | None) -> tuple[list[int], list[Block]]:
         linked = True
 
     def shut(until: int) -> None:
-        if any(name not in INLINE for name, *_ in stack[until:]):
+        if solid and solid[-1] >= until:
             flush()
+        while solid and solid[-1] >= until:
+            solid.pop()
+        for name, *_ in stack[until:]:
+            places[name].pop()
         del stack[until:]
 
     source, end = page or "", 0
+
+    @lru_cache(maxsize=None)
+    def unclosed(name: str) -> bool:
+        """Whether the page opens more of these elements than it closes."""
+        return len(re.findall(rf"<{name}\b", source, re.I)) > len(re.findall(rf"</{name}\b", source, re.I))
+
     for m in TOKEN.finditer(source):
         if m.start() > end:
             add(source[end : m.start()])
         end = m.end()
         if name := m["close"]:
             name = name.lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    shut(i)
-                    tags.append(_hash(stack[-1][1], f"/{name}"))
-                    break
+            if places[name]:
+                shut(places[name][-1])
+                tags.append(_hash(stack[-1][1], f"/{name}"))
             if name not in INLINE:
                 flush()
         elif name := m["open"]:
@@ -142,28 +160,31 @@ def read(page: str | None) -> tuple[list[int], list[Block]]:
                 continue
             if name not in INLINE:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):  # what this element ends
-                    open_name = stack[i][0]
-                    if open_name == "p" or name in CLOSED_BY.get(open_name, ()):
-                        shut(i)
-                        break
-                    if open_name not in INLINE:
-                        break
+                for phrase in PHRASES:  # these hold no other element
+                    if places[phrase] and name not in PHRASES:
+                        shut(places[phrase][0])
+                if solid and ((above := stack[solid[-1]][0]) == "p" or name in CLOSED_BY.get(above, ())):  # what this element ends
+                    shut(solid[-1])
                 if name in MAIN:  # a menu or form left open doesn't swallow the article
-                    for i in range(1, len(stack)):
-                        if stack[i][0] in ("head", "nav", "header", "form", "menu"):
-                            shut(i)
-                            break
+                    still = [places[x][0] for x in OPEN_ENDED if places[x]] + [places[x][0] for x in LEFT_OUT if places[x] and unclosed(x)]
+                    if still:
+                        shut(min(still))
             _, role, out, main, link, maybe = stack[-1]
             named = " ".join(a or b or c for _, a, b, c in NAMES.findall(m["attributes"] or "")) if m["attributes"] else ""
             role = _hash(role, f"{name} {named}")
             main = main or name in MAIN
             out = out or name in LEFT_OUT or not main and name == "header"
             if named and name not in TEXT:
-                out = out or bool(OTHER.search(named)) or not main and bool(HEADER.search(named) or MAYBE.search(named))
-                if main and MAYBE.search(named):
-                    maybe = (*maybe, role)
+                if main:
+                    out = out or bool(OTHER_WHOLE.search(named))
+                    if MAYBE.search(named) or OTHER.search(named):
+                        maybe = (*maybe, role)
+                else:
+                    out = out or bool(OTHER.search(named) or HEADER.search(named) or MAYBE.search(named))
             tags.append(role)
+            places[name].append(len(stack))
+            if name not in INLINE:
+                solid.append(len(stack))
             stack.append((name, role, out, main, link or name == "a", maybe))
     if end < len(source):
         add(source[end:])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -476,6 +477,28 @@ def test_an_article_element_that_misleads(spark):
     assert all(got[i].endswith(f"Title {i} " + f"the text {i} of this page " * 8 + f"the text {i} of this page") for i in got)
 
 
+def test_longer_names_in_an_article_are_those_of_its_subject():
+    for name in ("comments-policy", "menu-planning", "login-guide", "ads-history", "navigation-systems", "subscribe-model", "replies-analysis", "my-footer"):
+        page = f'<article><p>Some text is first.</p><div class="{name}"><p>inner words here</p></div></article>'
+        assert html_extract.main_text(page, set()) == "Some text is first. inner words here"
+    page = '<article><p>Some text is first.</p><div class="comments"><p>a reader says</p></div></article>'
+    assert html_extract.main_text(page, set()) == "Some text is first."
+
+
+def test_elements_left_open_end_at_the_article():
+    page = "<aside>menu <a href=x>x</a><article><p>One two three.</p><button>Share<p>Four five.</p></article>"
+    assert html_extract.main_text(page, set()) == "One two three. Four five."
+    page = "<aside><article>teaser</article></aside><article><p>One two three four five six seven.</p></article>"
+    assert html_extract.main_text(page, set()) == "One two three four five six seven."
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<b>" * 60_000 + "<p>x</p>" * 60_000, "<div>" * 60_000 + "</span>" * 60_000, "<button>" * 60_000 + "<p>" * 60_000])
+def test_elements_left_open_in_number(page):
+    began = time.time()
+    html_extract.read(page)
+    assert time.time() - began < 20
+
+
 def test_long_attribute_values_and_repeated_rows(spark):
     html = f"<article><p title='{'a > b ' * 2000}tail'>Hello</p></article>"
     pages = spark.createDataFrame([(1, "http://h/", html)] * 3 + [(2, "http://h/", None)], "page_id long, url string, html string")
