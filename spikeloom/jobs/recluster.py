@@ -36,7 +36,7 @@ def by_shape(subs: DataFrame, parts: int = 4) -> DataFrame:
     scores, fitted by sums over blocks of sub-clusters; two sub-clusters or fewer stay together."""
     subs = subs.select(*CLUSTER, "sub_label", "med_time", "centroid").transform(held)
     scored = features.principal_scores(subs, 6, "centroid", keys=CLUSTER).transform(held)
-    return _by_time(mixtures.grouped(scored, list(CLUSTER), "pcs", parts, 0, order="sub_label", dips=False, least=3), subs)
+    return _by_time(mixtures.grouped(scored, list(CLUSTER), "pcs", parts, 0, order="sub_label", starts=1, dips=False, least=3), subs)
 
 
 def by_time(subs: DataFrame, parts: int = 3) -> DataFrame:

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io as bytes_io
+import re
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spikeloom.operators.held import held
+
 SPIKES = "recording_id string, spike_id long, time double, waveform array<double>, label int"
 STIMULI = "recording_id string, category string, stim_id long, start_time double"
 
@@ -20,8 +25,13 @@ def read_spikes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPIKES).parquet(path)
 
 
+#: Name of an array file: the recording, quoted, and the row of the recording that it starts at.
+PART = re.compile(r"^(.*?)(?:\.(\d+))?\.npy$")
+
+
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """NumPy array files, one recording each: (recording_id, row, values). Nothing is unpickled."""
+    """NumPy array files, one recording each or one part of it (named by its first row, as write_arrays
+    does): (recording_id, row, values). Nothing is unpickled."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,14 +39,34 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
             for name, content in batch[["path", "content"]].itertuples(index=False):
                 x = np.load(bytes_io.BytesIO(content), allow_pickle=False)
                 x = x.reshape(len(x), -1).astype("float64")
-                recording = name.rsplit("/", 1)[-1].removesuffix(".npy")
+                recording, first = PART.match(unquote(name.rsplit("/", 1)[-1])).groups()
                 for at in range(0, len(x), 10_000):
                     part = x[at : at + 10_000]
-                    yield pd.DataFrame({"recording_id": recording, "row": np.arange(at, at + len(part)), "values": list(part)})
+                    yield pd.DataFrame({"recording_id": unquote(recording), "row": np.arange(at, at + len(part)) + int(first or 0), "values": list(part)})
 
     return files.mapInPandas(load, "recording_id string, row long, values array<double>")
 
 
+def write_arrays(spikes: DataFrame, path: str, values: str = "waveform", rows: int = 65_536) -> DataFrame:
+    """NumPy array files of a vector column, in the order of spike_id, `rows` spikes of a recording at
+    most in each. Returns (recording_id, first, n) of the files, once they are written; a task that
+    runs again writes the same file."""
+
+    def save(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("spike_id", kind="stable")
+        system, root = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        system.create_dir(root)
+        recording, first = g["recording_id"].iat[0], int(g["spike_id"].iat[0])
+        content = bytes_io.BytesIO()
+        np.save(content, np.stack(g[values].to_numpy()), allow_pickle=False)
+        with system.open_output_stream(f"{root}/{quote(recording, safe='')}.{first:012d}.npy") as out:
+            out.write(content.getvalue())
+        return pd.DataFrame({"recording_id": [recording], "first": [first], "n": [len(g)]})
+
+    dealt = spikes.select("recording_id", "spike_id", values).withColumn("_file", F.floor(F.col("spike_id") / rows))
+    return held(dealt.groupBy("recording_id", "_file").applyInPandas(save, "recording_id string, first long, n long"))
+
+
 def _numbered(stimuli: DataFrame) -> DataFrame:
     """Stimuli with an id: their place in time, from 0, in the recording and category."""
     order = Window.partitionBy("recording_id", "category").orderBy("start_time")
