@@ -632,9 +632,25 @@ def q9(spark, sf):
     return rounded(metrics.stacked_histogram(spikes_ev(spark, sf), HIGH), "density_across", "density_within", digits=9)
 
 
-@query("q10_q11_interval_fits")
+#: The fit in SQL: damped Gauss-Newton steps by recursion, from one over the mean; each takes the first of the halved steps that lowers the cost.
+FITS = """, b AS (SELECT recording_id, label, least(floor(isi * 100 / 86400.0), 99)::BIGINT AS bin, count(*) AS n FROM i WHERE isi BETWEEN 0 AND 86400.0 GROUP BY 1, 2, 3),
+t AS (SELECT recording_id, label, sum(n) AS total FROM b GROUP BY 1, 2), s AS (SELECT recording_id, label, unnest(generate_series(0, 99)) AS bin FROM (SELECT DISTINCT recording_id, label FROM sp)),
+h AS (SELECT recording_id, label, list([(bin + 0.5) * 864.0, coalesce(n, 0) / total / 864.0] ORDER BY bin) AS p FROM s LEFT JOIN b USING (recording_id, label, bin) JOIN t USING (recording_id, label) WHERE (bin + 0.5) * 864.0 > 3600.0 GROUP BY 1, 2),
+fit AS (
+  SELECT recording_id, label, p, 0 AS k, list_sum(list_transform(p, lambda x: x[2])) / greatest(list_sum(list_transform(p, lambda x: x[1] * x[2])), 1e-12) AS r FROM h WHERE list_sum(list_transform(p, lambda x: x[2])) > 0
+  UNION ALL
+  SELECT recording_id, label, p, k + 1, coalesce(list_filter(list_transform(range(40), lambda j: r + step / 2.0 ** j), lambda c: c > 0 AND list_sum(list_transform(p, lambda x: (x[2] - c * exp(-c * x[1])) ** 2)) <= cost)[1], r)
+  FROM (SELECT *, list_sum(list_transform(p, lambda x: (x[2] - r * exp(-r * x[1])) ** 2)) AS cost,
+      list_sum(list_transform(p, lambda x: exp(-r * x[1]) * (1 - r * x[1]) * (x[2] - r * exp(-r * x[1])))) / list_sum(list_transform(p, lambda x: (exp(-r * x[1]) * (1 - r * x[1])) ** 2)) AS step FROM fit WHERE k < 200)
+), u AS (SELECT recording_id, label, count(*) FILTER (isi < 60.0) AS n_short, max(time) - min(time) AS duration FROM i GROUP BY 1, 2),
+e AS (SELECT recording_id, label, n_short, r, r * duration AS m FROM u LEFT JOIN (SELECT * FROM fit WHERE k = 200) USING (recording_id, label))
+SELECT recording_id, label, n_short, round(r, 9) AS fit_rate, round(n_short / m, 6) AS q_index, round(exp(n_short * ln(m) - m - lgamma(n_short + 1)), 6) AS chance FROM e"""
+
+
+@query("q10_q11_interval_fits", "WITH RECURSIVE " + ISI + FITS)
 def q10(spark, sf):
-    return recluster.interval_fits(spikes_ev(spark, sf), HIGH * 24, skip=HIGH, short=REFRACTORY)
+    found = recluster.interval_fits(spikes_ev(spark, sf), HIGH * 24, skip=HIGH, short=REFRACTORY)
+    return rounded(rounded(found, "q_index", "chance"), "fit_rate", digits=9)
 
 
 @query("q12_cluster_cards", f"WITH {EV} SELECT recording_id, label, count(*) AS n, count(DISTINCT sub_label) AS n_sub FROM sp GROUP BY 1, 2")

@@ -291,7 +291,7 @@ def inlier_by_zscore(x: np.ndarray, limit: float = 2.0) -> np.ndarray:
     return np.abs(zscores(s)).max(axis=1) < limit
 
 
-def exponential_rate(centres: np.ndarray, density: np.ndarray, rounds: int = 100) -> float | None:
+def exponential_rate(centres: np.ndarray, density: np.ndarray, rounds: int = 200) -> float | None:
     """The l of the least-squares fit of l * exp(-l x), by damped Gauss-Newton from 1 / mean."""
     if len(centres) == 0 or not np.isfinite(density).all() or density.sum() <= 0:
         return None
@@ -301,7 +301,7 @@ def exponential_rate(centres: np.ndarray, density: np.ndarray, rounds: int = 100
         e = np.exp(-rate * centres)
         slope = e * (1 - rate * centres)
         step = float((slope * (density - rate * e)).sum() / max((slope**2).sum(), 1e-300))
-        while abs(step) > 1e-12 and (rate + step <= 0 or cost(rate + step) > cost(rate)):
+        while abs(step) > 1e-14 * rate and (rate + step <= 0 or cost(rate + step) > cost(rate)):
             step /= 2
         rate += step
         if abs(step) <= 1e-10 * rate:

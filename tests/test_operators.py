@@ -233,6 +233,11 @@ def test_sources(spark, tmp_path):
     np.save(tmp_path / "bad.npy", np.array([{}], dtype=object), allow_pickle=True)
     with pytest.raises(Exception, match="allow_pickle"):
         io.read_arrays(spark, str(tmp_path / "bad.npy")).collect()
+    waves = spark.createDataFrame([("a/b c", i, [float(i), 1.0]) for i in range(25)] + [("d", 0, [7.0, 8.0])], "recording_id string, spike_id long, waveform array<double>")
+    files = io.write_arrays(waves, str(tmp_path / "arrays"), rows=10).collect()
+    assert sorted((r.recording_id, r.first, r.n) for r in files) == [("a/b c", 0, 10), ("a/b c", 10, 10), ("a/b c", 20, 5), ("d", 0, 1)]
+    read = io.read_arrays(spark, str(tmp_path / "arrays")).orderBy("recording_id", "row").collect()
+    assert [(r.recording_id, r.row, r.values) for r in read] == [("a/b c", i, [float(i), 1.0]) for i in range(25)] + [("d", 0, [7.0, 8.0])]
     (tmp_path / "s.csv").write_text("start_time\n1.5\n2.5\n")
     assert [(r.category, r.start_time) for r in io.read_stimulus_csv(spark, str(tmp_path / "s.csv")).collect()] == [("playback", 1.5), ("playback", 2.5)]
     out = str(tmp_path / "sorted")
