@@ -14,9 +14,9 @@ def held(df: DataFrame) -> DataFrame:
     that no side is ever taken for small, and in a long loop planning itself becomes slow.) Files go when
     the session ends."""
     spark = df.sparkSession
-    root = spark.sparkContext.getCheckpointDir()
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set the checkpoint folder first: SparkContext.setCheckpointDir")
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     path = f"{root}/held-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
