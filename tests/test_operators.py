@@ -153,6 +153,20 @@ def test_alignment_and_psth(spark):
     assert {r.bin for r in p if r.per_trial} == {0, 2, 12, 16, 19} and {r.n_stim for r in p} == {1}
 
 
+def test_aligned_spikes_are_not_moved_again(spark):
+    """One join of the two inputs, stimuli without spikes among its rows."""
+    rng = np.random.default_rng(6)
+    times, starts = rng.integers(0, 600, 300) / 10, rng.integers(-90, 700, 80) / 10
+    stimuli = spark.createDataFrame([("r", "live", i, s) for i, s in enumerate(starts.tolist())], io.STIMULI)
+    found = align.align(spikes(spark, times.tolist()).hint("merge"), stimuli, -0.7, 1.1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(_bucket") <= 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    expected = [(i, round(t - s, 6)) for i, s in enumerate(starts) for t in times if s - 0.7 <= t < s + 1.1]
+    expected += [(i, None) for i, s in enumerate(starts) if not any(s - 0.7 <= t < s + 1.1 for t in times)]
+    got = [(r.stim_id, None if r.rel_time is None else round(r.rel_time, 6)) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_psth_counts_a_units_own_stimuli(spark):
     """Against a loop over units and stimuli, with ties and stimuli outside a unit's extent."""
     rng = np.random.default_rng(4)
