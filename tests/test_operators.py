@@ -167,6 +167,18 @@ def test_aligned_spikes_are_not_moved_again(spark):
     assert sorted(got, key=repr) == sorted(expected, key=repr)
 
 
+def test_bin_borders_are_those_of_pairs():
+    """Ranks at borders that rounding moves, against every pair."""
+    rng = np.random.default_rng(7)
+    times, starts = np.unique(rng.integers(0, 30000, 2000) * 0.1 + 2e6), rng.integers(-100, 30000, 300) * 0.1 + 2e6
+    high, bins = 90.3, 21
+    edges = align._edges(times, starts, high, bins)
+    for s, got in zip(starts, np.diff(edges, axis=1)):
+        met = times[(times >= s) & (times < s + high) & (times - s <= high)]
+        at = np.minimum(np.floor((met - s) * bins / high), bins - 1).astype(int)
+        assert got.tolist() == np.bincount(at, minlength=bins).tolist()
+
+
 def test_psth_counts_a_units_own_stimuli(spark):
     """Against a loop over units and stimuli, with ties and stimuli outside a unit's extent."""
     rng = np.random.default_rng(4)
