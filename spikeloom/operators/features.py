@@ -150,16 +150,44 @@ def inliers_1d(rows: DataFrame, value: str = "time", limit: float = 2.0, keys: t
     return rows.join(moments, list(keys)).withColumn("inlier", (F.col("_n") <= 4) | (z < limit)).drop("_n", "_m", "_s")
 
 
+#: Points of a grid cell that a query may meet; of a finer grid's cell in the width, at most so many steps.
+CELL_POINTS, STEPS = 64, 12
+
+
 def closest(points: DataFrame, queries: DataFrame, limit: float = 5.0) -> DataFrame:
     """For each query (recording_id, query_id, qx, qy) its nearest point within the limit, ties to the
-    smallest spike_id. Both sides meet on grid cells as wide as the limit."""
-    cell = lambda c: F.floor(c / limit)
+    smallest spike_id. Equal points, and equal queries, are one. Both sides meet on grid cells, first on
+    cells so narrow that the fullest holds about CELL_POINTS; queries without a point within a cell's
+    width go on to cells four times as wide, up to the limit. A query that goes on lies where points are
+    rare, so the pairs grow with the queries."""
+    distinct = points.groupBy(RECORDING, "x", "y").agg(F.min("spike_id").alias("spike_id")).transform(held)
+    same = queries.select(RECORDING, "query_id", "qx", "qy").transform(held)
+    asked = same.select(RECORDING, "qx", "qy").distinct().transform(held)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = queries.withColumn("_i", F.explode(F.transform(around, lambda d: cell(F.col("qx")) + d))).withColumn("_j", F.explode(F.transform(around, lambda d: cell(F.col("qy")) + d)))
-    dealt = points.withColumn("_i", cell(F.col("x"))).withColumn("_j", cell(F.col("y")))
     d = F.sqrt((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2)
-    met = asked.join(dealt, [RECORDING, "_i", "_j"]).withColumn("distance", d).filter(F.col("distance") < limit)
-    return met.groupBy(RECORDING, "query_id").agg(F.min(F.struct("distance", "spike_id")).alias("m")).select(RECORDING, "query_id", "m.spike_id", "m.distance")
+    cell = lambda c, width: F.floor(F.col(c) / width)
+    width, steps = limit, 0
+    while steps < STEPS:
+        fullest = distinct.groupBy(RECORDING, cell("x", width), cell("y", width)).count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= CELL_POINTS:
+            break
+        width, steps = width / 4, steps + 1
+    found = []
+    for step in range(steps, -1, -1):
+        width = limit / 4**step
+        spread = asked.withColumn("_i", F.explode(F.transform(around, lambda k: cell("qx", width) + k))).withColumn("_j", F.explode(F.transform(around, lambda k: cell("qy", width) + k)))
+        dealt = distinct.withColumn("_i", cell("x", width)).withColumn("_j", cell("y", width))
+        met = spread.join(dealt, [RECORDING, "_i", "_j"]).withColumn("distance", d).filter(F.col("distance") < width)
+        near = met.groupBy(RECORDING, "qx", "qy").agg(F.min(F.struct("distance", "spike_id")).alias("m")).transform(held)
+        found.append(near)
+        if step:
+            asked = asked.join(near, [RECORDING, "qx", "qy"], "left_anti").transform(held)
+            if asked.isEmpty():
+                break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return same.join(every, [RECORDING, "qx", "qy"]).select(RECORDING, "query_id", "m.spike_id", "m.distance")
 
 
 def ks_statistics(values: DataFrame, keys: list[str]) -> DataFrame:

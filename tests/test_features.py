@@ -93,3 +93,23 @@ def test_sample_of_clusters(table):
         at = sorted(order.index(r.spike_id) for r in rows if r.label == c)
         k = max(1, len(order) // 10)
         assert len(set(np.diff(at))) == 1 and at[1] - at[0] == k and at[0] < k and at[-1] >= len(order) - k
+
+
+def test_closest_meets_few_points_however_dense(spark):
+    """Dense and lonely points, equal ones and equal queries, against every pair; cells are narrowed where points are dense."""
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal(size=(3000, 2)) * 0.05, rng.uniform(-6, 6, size=(60, 2))])
+    p[7] = p[5] = p[2000]
+    q = np.concatenate([rng.normal(size=(40, 2)) * 0.05, rng.uniform(-7, 7, size=(60, 2)), p[[5, 5, 3001]]])
+    points = spark.createDataFrame([("r", i, *v) for i, v in enumerate(p.tolist())], "recording_id string, spike_id long, x double, y double")
+    queries = spark.createDataFrame([("r", i, *v) for i, v in enumerate(q.tolist())], "recording_id string, query_id long, qx double, qy double")
+    found = features.closest(points, queries, 2.0)
+    got = {r.query_id: (r.spike_id, r.distance) for r in found.collect()}
+    expected = {}
+    for i, v in enumerate(q):
+        d = np.sqrt((p[:, 0] - v[0]) ** 2 + (p[:, 1] - v[1]) ** 2)
+        if d.min() < 2.0:
+            expected[i] = (int(d.argmin()), d.min())
+    assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in expected.items()}
+    assert all(abs(got[i][1] - expected[i][1]) < 1e-12 for i in got)
+    assert found.select("query_id").distinct().count() == found.count() and features.CELL_POINTS < 3000
