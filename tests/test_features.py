@@ -113,3 +113,11 @@ def test_closest_meets_few_points_however_dense(spark):
     assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in expected.items()}
     assert all(abs(got[i][1] - expected[i][1]) < 1e-12 for i in got)
     assert found.select("query_id").distinct().count() == found.count() and features.CELL_POINTS < 3000
+
+
+def test_axes_go_to_the_rows(spark):
+    """No shuffle of rows by recording: the axes' table is of known size."""
+    rows = spark.range(2000).selectExpr("concat('r', id % 2) AS recording_id", "id AS spike_id", "CAST(id AS double) AS time", "array(rand(1), rand(2), rand(3)) AS waveform")
+    for made in (features.principal_scores(rows, 2), features.time_feature(rows)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
