@@ -48,6 +48,10 @@ PILOT = 16
 #: Times the cost of walking a posting that looking one up takes, about.
 LOOK_UP = 4
 
+#: A row of the index is a block of some MB. Sizes are looked at after each row (not after a hundred) and a row
+#: group is about one block: a task holds that many blocks when it writes or reads, whatever the size of its file.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
 BLOCKS = "ids array<long>, sizes array<int>, terms array<string>, ends array<int>, docs array<int>, tfs array<int>"
 HIT = "query int, doc_id long, score long"
 
@@ -273,5 +277,5 @@ def _empty(spark, asked: DataFrame) -> DataFrame:
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K) -> DataFrame:
     """Indexes the documents and ranks them for each item."""
-    blocks = Shelf(docs.sparkSession).put(index(docs, doc_id, text), "index")
+    blocks = Shelf(docs.sparkSession).put(index(docs, doc_id, text), "index", **ROW_GROUPS)
     return search_index(blocks, items, item_id, item_text, k)

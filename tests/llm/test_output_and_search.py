@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -288,3 +289,20 @@ def test_base_spans_are_those_of_the_patterns():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         expected = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, text) if good[k](m.group())]
         assert pii.base_spans(text) == expected
+
+
+def test_a_task_reads_and_writes_the_index_a_block_at_a_time(spark, monkeypatch):
+    """Three long documents in one file: a row group each, so that no task holds them all."""
+    put, files = lexical.Shelf.put, []
+
+    def spied(self, df, name, **options):
+        table = put(self, df, name, **options)
+        files.extend(table.inputFiles() if name == "index" else [])
+        return table
+
+    monkeypatch.setattr(lexical.Shelf, "put", spied)
+    docs = spark.range(3).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', sequence(id, id + 600000))").alias("text"))
+    items = spark.createDataFrame([(1, "0 600002")], "item_id long, text string")
+    assert [r.doc_id for r in lexical.search(docs, items).orderBy("rank").collect()] == [0, 2]
+    kinds = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
+    assert sum(m.num_rows for m in kinds) == 3 == sum(m.num_row_groups for m in kinds)
